@@ -28,10 +28,15 @@ def money_sum(amount: str | Column) -> Column:
     return F.sum(col(amount).cast(MONEY)).cast("double")
 
 
+def rounded(value: str | Column, digits: int) -> Column:
+    """Round half up on the decimal value, so that 1.005 is not taken for 1.00499999."""
+    return F.round(col(value).cast("decimal(38,9)"), digits).cast("double")
+
+
 def ratio(numerator: str | Column, denominator: str | Column, digits: int | None = None) -> Column:
     """``numerator / denominator``, NULL for a zero denominator."""
     value = F.try_divide(col(numerator), col(denominator))
-    return value if digits is None else F.round(value, digits)
+    return value if digits is None else rounded(value, digits)
 
 
 def pct(numerator: str | Column, denominator: str | Column, digits: int | None = 2) -> Column:

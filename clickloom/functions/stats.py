@@ -46,11 +46,15 @@ def wilson(successes: str | Column, n: str | Column, z: float = 1.96) -> Column:
 
 
 def two_prop_ztest(x1: str | Column, n1: str | Column, x2: str | Column, n2: str | Column) -> Column:
-    """Two-sided z-test of two proportions with a pooled standard error: ``struct(diff, z, p)``."""
+    """Two-sided z-test of two proportions with a pooled standard error: ``struct(diff, z, p)``.
+
+    z and p are NULL where there is no variance to test against: every or no unit
+    succeeded, or (in an open funnel) more reached the step than the one before it.
+    """
     a, b = col(x1).cast("double"), col(x2).cast("double")
     m, n = col(n1).cast("double"), col(n2).cast("double")
     diff = F.try_divide(a, m) - F.try_divide(b, n)
     pooled = F.try_divide(a + b, m + n)
     variance = pooled * (F.lit(1.0) - pooled) * (F.try_divide(F.lit(1.0), m) + F.try_divide(F.lit(1.0), n))
-    z = F.try_divide(diff, F.sqrt(variance))
+    z = diff / F.when(variance > 0, F.sqrt(variance))
     return F.struct(diff.alias("diff"), z.alias("z"), two_sided_p(z).alias("p"))

@@ -38,34 +38,35 @@ def _reliable(c: str) -> Column:
     return F.sum(F.when(F.col("add_to_cart_reliable"), F.col(c)))
 
 
+# Factories rather than Columns: a Column can be made only once a session exists.
 SESSION_MEASURES = {
-    "Total Sessions": _sum("sessions"),
-    "Total Users": _sum("first_seen_users"),
-    "Total Orders": _sum("orders"),
-    "Total Revenue": _sum("revenue_usd"),
-    "Purchasing Sessions": _sum("purchasing_sessions"),
-    "Conversion Rate": ratio(_sum("purchasing_sessions"), _sum("sessions")),
-    "AOV": ratio(_sum("revenue_usd"), _sum("orders")),
-    "Revenue per User": ratio(_sum("revenue_usd"), _sum("first_seen_users")),
-    "Revenue per Session": ratio(_sum("revenue_usd"), _sum("sessions")),
-    "Funnel Sessions": _reliable("sessions"),
-    "Funnel Product View": _reliable("product_view_sessions"),
-    "Funnel Cart": _reliable("cart_sessions"),
-    "Funnel Checkout": _reliable("checkout_sessions"),
-    "Funnel Payment": _reliable("payment_sessions"),
-    "Funnel Purchase": _reliable("purchasing_sessions"),
-    "Funnel Conversion": ratio(_reliable("purchasing_sessions"), _reliable("sessions")),
-    "Cart Abandonment": ratio(_reliable("cart_abandoned_sessions"), _reliable("cart_sessions")),
-    "Checkout Abandonment": ratio(_reliable("checkout_abandoned_sessions"), _reliable("checkout_sessions")),
+    "Total Sessions": lambda: _sum("sessions"),
+    "Total Users": lambda: _sum("first_seen_users"),
+    "Total Orders": lambda: _sum("orders"),
+    "Total Revenue": lambda: _sum("revenue_usd"),
+    "Purchasing Sessions": lambda: _sum("purchasing_sessions"),
+    "Conversion Rate": lambda: ratio(_sum("purchasing_sessions"), _sum("sessions")),
+    "AOV": lambda: ratio(_sum("revenue_usd"), _sum("orders")),
+    "Revenue per User": lambda: ratio(_sum("revenue_usd"), _sum("first_seen_users")),
+    "Revenue per Session": lambda: ratio(_sum("revenue_usd"), _sum("sessions")),
+    "Funnel Sessions": lambda: _reliable("sessions"),
+    "Funnel Product View": lambda: _reliable("product_view_sessions"),
+    "Funnel Cart": lambda: _reliable("cart_sessions"),
+    "Funnel Checkout": lambda: _reliable("checkout_sessions"),
+    "Funnel Payment": lambda: _reliable("payment_sessions"),
+    "Funnel Purchase": lambda: _reliable("purchasing_sessions"),
+    "Funnel Conversion": lambda: ratio(_reliable("purchasing_sessions"), _reliable("sessions")),
+    "Cart Abandonment": lambda: ratio(_reliable("cart_abandoned_sessions"), _reliable("cart_sessions")),
+    "Checkout Abandonment": lambda: ratio(_reliable("checkout_abandoned_sessions"), _reliable("checkout_sessions")),
 }
 
 PRODUCT_MEASURES = {
-    "Product Revenue": _sum("revenue_usd"),
-    "Product Impressions": _sum("impressions"),
-    "Product Orders": _sum("order_lines"),
+    "Product Revenue": lambda: _sum("revenue_usd"),
+    "Product Impressions": lambda: _sum("impressions"),
+    "Product Orders": lambda: _sum("order_lines"),
 }
 
-COHORT_MEASURES = {"Repeat-visit Rate": ratio(_sum("repeat_visitors"), _sum("users"))}
+COHORT_MEASURES = {"Repeat-visit Rate": lambda: ratio(_sum("repeat_visitors"), _sum("users"))}
 
 # The funnel measure of each stage, in stage order.
 STAGE_MEASURES = (
@@ -96,7 +97,7 @@ def session_measures(
 ) -> DataFrame:
     """Measures over the session facts, sliced by session or date attributes."""
     rows = _filtered(_with_dates(board.sessions, board.dates, "date"), filters)
-    return rows.groupBy(*by).agg(*[SESSION_MEASURES[n].alias(n) for n in names])
+    return rows.groupBy(*by).agg(*[SESSION_MEASURES[n]().alias(n) for n in names])
 
 
 def product_measures(
@@ -108,12 +109,12 @@ def product_measures(
     missing = [c for c in (*by, *(filters or {})) if c not in rows.columns]
     if missing:
         rows = rows.join(board.products.select("item_name", *dict.fromkeys(missing)), "item_name", "left")
-    return _filtered(rows, filters).groupBy(*by).agg(*[PRODUCT_MEASURES[n].alias(n) for n in names])
+    return _filtered(rows, filters).groupBy(*by).agg(*[PRODUCT_MEASURES[n]().alias(n) for n in names])
 
 
 def repeat_visit_rate(board: Dashboard, by: Sequence[str] = (), filters: Filters | None = None) -> DataFrame:
     rows = _filtered(_with_dates(board.cohorts, board.dates, "first_visit_date"), filters)
-    return rows.groupBy(*by).agg(*[c.alias(n) for n, c in COHORT_MEASURES.items()])
+    return rows.groupBy(*by).agg(*[make().alias(n) for n, make in COHORT_MEASURES.items()])
 
 
 def return_rate(board: Dashboard, days: int, by: Sequence[str] = (), filters: Filters | None = None) -> DataFrame:

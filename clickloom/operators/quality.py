@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
-from clickloom.functions.columns import int_param, money_sum, pct, raw_date, share_of_total, string_param, with_one_row
+from clickloom.functions.columns import int_param, money_sum, pct, ratio, raw_date, share_of_total, string_param, with_one_row
 
 
 def _without_id(cfg: AnalyticsConfig) -> Column:
@@ -169,7 +169,7 @@ def dq_purchases(raw: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
         "zero_revenue",
         F.round("revenue", 2).alias("total_revenue_usd"),
         F.round("min_revenue", 2).alias("min_revenue_usd"),
-        F.round(F.try_divide("revenue", "with_revenue"), 2).alias("avg_revenue_usd"),
+        ratio("revenue", "with_revenue", 2).alias("avg_revenue_usd"),
         F.round("max_revenue", 2).alias("max_revenue_usd"),
     )
 

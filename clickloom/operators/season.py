@@ -11,7 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
-from clickloom.functions.columns import literal_table, money_sum, pct, ratio, share_of_total, week_start, with_one_row
+from clickloom.functions.columns import (
+    literal_table,
+    money_sum,
+    pct,
+    ratio,
+    rounded,
+    share_of_total,
+    week_start,
+    with_one_row,
+)
 from clickloom.schema import SEASON_PERIODS
 
 
@@ -111,7 +120,7 @@ def period_summary(
     )
 
     def change(c: str) -> Column:
-        return F.round(F.lit(100) * (F.try_divide(F.col(c), F.col(f"base_{c}")) - 1), 1)
+        return rounded(F.lit(100) * (F.try_divide(F.col(c), F.col(f"base_{c}")) - 1), 1)
 
     return with_one_row(metrics, baseline).select(
         "period_order",
@@ -119,19 +128,19 @@ def period_summary(
         "is_comparison",
         "days",
         "users",
-        F.round("avg_daily_users", 0).alias("avg_daily_users"),
+        rounded("avg_daily_users", 0).alias("avg_daily_users"),
         "sessions",
-        F.round("sessions_per_day", 0).alias("sessions_per_day"),
+        rounded("sessions_per_day", 0).alias("sessions_per_day"),
         pct("new_users_started", "users").alias("pct_users_new_in_period"),
         "purchasing_sessions",
         "buyers",
         "orders",
-        F.round("orders_per_day", 1).alias("orders_per_day"),
+        rounded("orders_per_day", 1).alias("orders_per_day"),
         F.round("revenue", 2).alias("revenue_usd"),
-        F.round("revenue_per_day", 0).alias("revenue_per_day"),
-        F.round("session_conversion", 3).alias("session_conversion_pct"),
-        F.round("user_conversion", 3).alias("user_conversion_pct"),
-        F.round("order_value", 2).alias("aov"),
+        rounded("revenue_per_day", 0).alias("revenue_per_day"),
+        rounded("session_conversion", 3).alias("session_conversion_pct"),
+        rounded("user_conversion", 3).alias("user_conversion_pct"),
+        rounded("order_value", 2).alias("aov"),
         *[change(c).alias(name) for name, c in compared.items()],
     )
 

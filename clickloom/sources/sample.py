@@ -241,7 +241,7 @@ def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(size != 9, F.col("p_name"))
     )
     quantity = F.col("l_quantity").cast("bigint")
-    amount = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)
+    amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
     def items(event: str) -> Column:
         def item(item_name: Column, qty: Column, revenue: Column) -> Column:
