@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.oracle_base import m, n, pc, q, r, s, share, sql
+from checks.oracle_base import m, n, pc, q, r, rm, s, share, sql
 
 # Per source: cart window start, revenue cut-off, days in the cart window, return
 # windows, and the floors for sources and countries.
@@ -109,7 +109,7 @@ def reports(source: str) -> dict[str, str]:
       SELECT count(*) AS purchase_events, count(DISTINCT tx) AS distinct_transactions,
              count(*) - count(DISTINCT tx) AS duplicate_or_null_id_events, {n("tx IS NULL")} AS null_transaction_id,
              {n("tx = '(not set)'")} AS not_set_transaction_id, {n("rev IS NULL")} AS null_revenue,
-             {n("rev = 0")} AS zero_revenue, {r(m("rev"), 2)} AS total_revenue_usd, {r("min(rev)", 2)} AS min_revenue_usd,
+             {n("rev = 0")} AS zero_revenue, {rm(m("rev"))} AS total_revenue_usd, {r("min(rev)", 2)} AS min_revenue_usd,
              {q(m("rev"), "count(rev)", 2)} AS avg_revenue_usd, {r("max(rev)", 2)} AS max_revenue_usd
       FROM ev WHERE name = 'purchase'"""
     tracked = ("view_item", "add_to_cart", "begin_checkout", "add_payment_info", "purchase")
@@ -148,10 +148,10 @@ def reports(source: str) -> dict[str, str]:
                 {n("name = 'purchase'")} AS raw_purchase_events FROM ev) e,
         (SELECT count(*) AS sessions, count(DISTINCT (uid, sid)) FILTER (WHERE sid IS NOT NULL) AS distinct_sessions,
                 count(DISTINCT uid) AS users, {s("pages")} AS page_views_in_sessions, {s("orders")} AS orders,
-                {n("bought")} AS purchasing_sessions, {r(m("revenue"), 2)} AS revenue_usd FROM sess) x"""
+                {n("bought")} AS purchasing_sessions, {rm(m("revenue"))} AS revenue_usd FROM sess) x"""
     out["sessions_by_channel"] = f"""
       SELECT channel AS acq_channel, count(DISTINCT uid) AS users, count(*) AS sessions, {s("orders")} AS orders,
-             {r(m("revenue"), 2)} AS revenue_usd FROM sess GROUP BY channel"""
+             {rm(m("revenue"))} AS revenue_usd FROM sess GROUP BY channel"""
     out["users"] = f"""
       SELECT uid AS user_pseudo_id, fd AS first_visit_date, low AS min_session_number, utype AS user_type,
              fdev AS first_device_category, fcountry AS first_country, channel AS acq_channel, medium AS acq_medium,
@@ -163,7 +163,7 @@ def reports(source: str) -> dict[str, str]:
     out["check_users"] = f"""
       SELECT count(*) AS users, count(DISTINCT uid) AS distinct_users, {s("sessions")} AS total_sessions,
              {n("utype = 'new'")} AS new_users, {n("utype = 'returning'")} AS returning_users,
-             {n("bought")} AS purchasing_users, {s("orders")} AS orders, {r(m("revenue"), 2)} AS revenue_usd,
+             {n("bought")} AS purchasing_users, {s("orders")} AS orders, {rm(m("revenue"))} AS revenue_usd,
              {n("el1")} AS eligible_{w1}d_users, {n("el2")} AS eligible_{w2}d_users,
              {pc(n("utype = 'new' AND el1 AND rt1"), n("utype = 'new' AND el1"))} AS new_user_return_{w1}d_pct,
              {pc(n("utype = 'new' AND el2 AND rt2"), n("utype = 'new' AND el2"))} AS new_user_return_{w2}d_pct
@@ -213,7 +213,7 @@ def reports(source: str) -> dict[str, str]:
       JOIN ({_stage_union(WHOLE, "usr")}) a ON a.o = st.o
       LEFT JOIN ({_stage_union(WHOLE, "usr")}) b ON b.o = st.ref"""
     out["funnel_window_value"] = f"""
-      SELECT count(*) AS users, {n("bought")} AS buyers, {s("orders")} AS orders, {r(m("revenue"), 2)} AS revenue_usd,
+      SELECT count(*) AS users, {n("bought")} AS buyers, {s("orders")} AS orders, {rm(m("revenue"))} AS revenue_usd,
              {q(m("revenue"), n("bought"), 2)} AS revenue_per_buyer, {q(m("revenue"), s("orders"), 2)} AS aov,
              {cart_days} AS days_in_window FROM cu"""
     out["cart_tracking_daily"] = f"""
@@ -226,7 +226,7 @@ def reports(source: str) -> dict[str, str]:
       SELECT coalesce(channel, 'All users') AS acq_channel,
              coalesce(channel, '') IN ('Other (obscured)', 'Data deleted') AS is_obscured, u AS users,
              {pc("u", "(SELECT count(*) FROM usr)")} AS pct_of_users, ss AS sessions, {q("ss", "u", 2)} AS sessions_per_user,
-             b AS purchasers, o AS orders, {pc("b", "u")} AS conversion_rate_pct, {r("rv", 2)} AS revenue_usd,
+             b AS purchasers, o AS orders, {pc("b", "u")} AS conversion_rate_pct, {rm("rv")} AS revenue_usd,
              {pc("rv", f"(SELECT {m('revenue')} FROM usr)")} AS pct_of_revenue, {q("rv", "u", 3)} AS revenue_per_user,
              {q("rv", "o", 2)} AS aov
       FROM (SELECT channel, count(*) AS u, {s("sessions")} AS ss, {n("bought")} AS b, {s("orders")} AS o,
@@ -241,11 +241,11 @@ def reports(source: str) -> dict[str, str]:
     out["channel_sources"] = f"""
       SELECT channel AS acq_channel, medium AS acq_medium, source AS acq_source, count(*) AS users,
              {n("bought")} AS purchasers, {s("orders")} AS orders, {pc(n("bought"), "count(*)")} AS conversion_rate_pct,
-             {r(m("revenue"), 2)} AS revenue_usd, {q(m("revenue"), "count(*)", 3)} AS revenue_per_user
+             {rm(m("revenue"))} AS revenue_usd, {q(m("revenue"), "count(*)", 3)} AS revenue_per_user
       FROM usr GROUP BY ALL HAVING count(*) >= {source_floor}"""
     out["device_performance"] = f"""
       SELECT device AS device_category, c AS sessions, u AS users, {share("c")} AS pct_of_sessions, b AS purchase,
-             o AS orders, {r("rv", 2)} AS revenue_usd, {share("rv")} AS pct_of_revenue,
+             o AS orders, {rm("rv")} AS revenue_usd, {share("rv")} AS pct_of_revenue,
              {pc("b", "c")} AS conversion_rate_pct, {q("rv", "c", 3)} AS revenue_per_session, {q("rv", "o", 2)} AS aov
       FROM (SELECT device, count(*) AS c, count(DISTINCT uid) AS u, {n("bought")} AS b, {s("orders")} AS o,
                    {m("revenue")} AS rv FROM sess GROUP BY device)"""
@@ -260,11 +260,11 @@ def reports(source: str) -> dict[str, str]:
             FROM cs GROUP BY device)"""
     out["device_funnel_users"] = f"""
       SELECT fdev AS device_category, count(*) AS users, {n("bought")} AS purchase, {s("orders")} AS orders,
-             {r(m("revenue"), 2)} AS revenue_usd, {pc(n("bought"), "count(*)")} AS conversion_rate_pct
+             {rm(m("revenue"))} AS revenue_usd, {pc(n("bought"), "count(*)")} AS conversion_rate_pct
       FROM usr GROUP BY fdev"""
     out["country_performance"] = f"""
       SELECT country, u AS users, {share("u")} AS pct_of_users, ss AS sessions, b AS purchasers, o AS orders,
-             {pc("b", "u")} AS conversion_rate_pct, {r("rv", 2)} AS revenue_usd, {share("rv")} AS pct_of_revenue,
+             {pc("b", "u")} AS conversion_rate_pct, {rm("rv")} AS revenue_usd, {share("rv")} AS pct_of_revenue,
              {q("rv", "u", 3)} AS revenue_per_user, {q("rv", "o", 2)} AS aov
       FROM (SELECT fcountry AS country, count(*) AS u, {s("sessions")} AS ss, {n("bought")} AS b, {s("orders")} AS o,
                    {m("revenue")} AS rv FROM usr GROUP BY fcountry)"""
@@ -274,7 +274,7 @@ def reports(source: str) -> dict[str, str]:
       SELECT utype AS user_type, u AS users, {share("u")} AS pct_of_users, ss AS sessions,
              {q("ss", "u", 3)} AS sessions_per_user, {q("dd", "u", 3)} AS active_days_per_user, rp AS repeat_visitors,
              {pc("rp", "u")} AS repeat_visit_rate_pct, b AS buyers, {pc("b", "u")} AS purchase_rate_pct, o AS orders,
-             rb AS repeat_buyers, {r("rv", 2)} AS revenue_usd, {share("rv")} AS pct_of_revenue,
+             rb AS repeat_buyers, {rm("rv")} AS revenue_usd, {share("rv")} AS pct_of_revenue,
              {q("rv", "u", 3)} AS revenue_per_user, {q("rv", "o", 2)} AS aov
       FROM (SELECT utype, count(*) AS u, {s("sessions")} AS ss, {s("days")} AS dd, {n("sessions > 1")} AS rp,
                    {n("bought")} AS b, {s("orders")} AS o, {n("orders > 1")} AS rb, {m("revenue")} AS rv
@@ -285,12 +285,12 @@ def reports(source: str) -> dict[str, str]:
     out["new_vs_returning_window"] = f"""
       SELECT utype AS user_type, count(*) AS users, {q(s("c"), "count(*)", 3)} AS sessions_per_user,
              {pc(n("c > 1"), "count(*)")} AS repeat_visit_rate_pct, {n("o > 0")} AS buyers,
-             {pc(n("o > 0"), "count(*)")} AS purchase_rate_pct, {s("o")} AS orders, {r(m("rv"), 2)} AS revenue_usd,
+             {pc(n("o > 0"), "count(*)")} AS purchase_rate_pct, {s("o")} AS orders, {rm(m("rv"))} AS revenue_usd,
              {q(m("rv"), "count(*)", 3)} AS revenue_per_user, {q(m("rv"), s("o"), 2)} AS aov
       FROM {equal} GROUP BY utype"""
     out["returner_value"] = f"""
       SELECT rt2 AS returned_within_{w2}d, count(*) AS users, {n("o > 0")} AS buyers,
-             {pc(n("o > 0"), "count(*)")} AS purchase_rate_pct, {r(m("rv"), 2)} AS revenue_usd,
+             {pc(n("o > 0"), "count(*)")} AS purchase_rate_pct, {rm(m("rv"))} AS revenue_usd,
              {q(m("rv"), "count(*)", 3)} AS revenue_per_user
       FROM {equal} WHERE utype = 'new' GROUP BY rt2"""
     out["retention_summary"] = " UNION ALL ".join(
@@ -311,7 +311,7 @@ def reports(source: str) -> dict[str, str]:
       FROM usr WHERE utype = 'new' GROUP BY 1"""
     out["sessions_per_user"] = f"""
       SELECT bucket AS sessions_bucket, lo AS min_sessions, u AS users, {share("u")} AS pct_of_users, b AS buyers,
-             {pc("b", "u")} AS purchase_rate_pct, {r("rv", 2)} AS revenue_usd, {share("rv")} AS pct_of_revenue,
+             {pc("b", "u")} AS purchase_rate_pct, {rm("rv")} AS revenue_usd, {share("rv")} AS pct_of_revenue,
              {q("rv", "u", 3)} AS revenue_per_user
       FROM (SELECT CASE WHEN sessions > 5 THEN '6+ sessions' WHEN sessions > 3 THEN '4-5 sessions'
                         WHEN sessions > 1 THEN sessions || ' sessions' ELSE '1 session' END AS bucket,
@@ -320,7 +320,7 @@ def reports(source: str) -> dict[str, str]:
     out["revenue_by_visit_number"] = f"""
       SELECT utype AS user_type, ['1st visit', '2nd visit', '3rd visit or later'][v] AS visit, lo AS min_visit_number,
              c AS sessions, b AS purchasing_sessions, {pc("b", "c")} AS conversion_rate_pct, o AS orders,
-             {r("rv", 2)} AS revenue_usd, {share("rv", by="PARTITION BY utype")} AS pct_of_user_type_revenue
+             {rm("rv")} AS revenue_usd, {share("rv", by="PARTITION BY utype")} AS pct_of_user_type_revenue
       FROM (SELECT u.utype, least(x.visit, 3) AS v, min(x.visit)::INTEGER AS lo, count(*) AS c, {n("x.bought")} AS b,
                    {s("x.orders")} AS o, {m("x.revenue")} AS rv
             FROM ordered x JOIN usr u USING (uid) GROUP BY 1, 2)"""
@@ -351,7 +351,7 @@ def reports(source: str) -> dict[str, str]:
       SELECT ord AS period_order, label AS period, cmp AS is_comparison, days, u AS users, {r("du", 0)} AS avg_daily_users,
              c AS sessions, {q("c", "days", 0)} AS sessions_per_day, {pc("nu", "u")} AS pct_users_new_in_period,
              ps AS purchasing_sessions, b AS buyers, o AS orders, {q("o", "days", 1)} AS orders_per_day,
-             {r("rv", 2)} AS revenue_usd, {q("rv", "days", 0)} AS revenue_per_day,
+             {rm("rv")} AS revenue_usd, {q("rv", "days", 0)} AS revenue_per_day,
              {pc("ps", "c", 3)} AS session_conversion_pct, {pc("b", "u", 3)} AS user_conversion_pct,
              {q("rv", "o", 2)} AS aov, {diffs}
       FROM (SELECT *, {bases}
@@ -363,7 +363,7 @@ def reports(source: str) -> dict[str, str]:
     out["weekly_trend"] = f"""
       SELECT CAST(date_trunc('week', d) AS DATE) AS week_start, count(DISTINCT d) AS days_in_data,
              count(DISTINCT uid) AS users, count(*) AS sessions, count(DISTINCT uid) FILTER (WHERE bought) AS buyers,
-             {n("bought")} AS purchasing_sessions, {s("orders")} AS orders, {r(m("revenue"), 2)} AS revenue_usd,
+             {n("bought")} AS purchasing_sessions, {s("orders")} AS orders, {rm(m("revenue"))} AS revenue_usd,
              {pc(n("bought"), "count(*)", 3)} AS session_conversion_pct,
              {pc("count(DISTINCT uid) FILTER (WHERE bought)", "count(DISTINCT uid)", 3)} AS user_conversion_pct,
              {q(m("revenue"), s("orders"), 2)} AS aov, max(d) < DATE '{revenue_end}' AS purchase_data_reliable
@@ -376,7 +376,7 @@ def reports(source: str) -> dict[str, str]:
                    {n("f_cart")} AS add_to_cart_sessions, {n("f_chk")} AS begin_checkout_sessions,
                    {n("f_pay")} AS add_payment_sessions, {n("bought")} AS purchasing_sessions,
                    count(DISTINCT uid) FILTER (WHERE bought) AS buyers, {s("orders")} AS orders,
-                   {r(m("revenue"), 2)} AS revenue_usd
+                   {rm(m("revenue"))} AS revenue_usd
             FROM sess GROUP BY d) a
       LEFT JOIN (SELECT fd, count(*) AS nu FROM usr WHERE utype = 'new' GROUP BY fd) u ON u.fd = a.date"""
     out["period_funnel"] = f"""
@@ -390,7 +390,7 @@ def reports(source: str) -> dict[str, str]:
     out["period_channel_mix"] = f"""
       SELECT ord AS period_order, label AS period, channel AS acq_channel, c AS sessions,
              {share("c", by="PARTITION BY ord")} AS pct_of_period_sessions, ps AS purchasing_sessions,
-             {pc("ps", "c", 3)} AS session_conversion_pct, {r("rv", 2)} AS revenue_usd
+             {pc("ps", "c", 3)} AS session_conversion_pct, {rm("rv")} AS revenue_usd
       FROM (SELECT ord, label, channel, count(*) AS c, {n("bought")} AS ps, {m("revenue")} AS rv
             FROM sess JOIN period ON d BETWEEN a AND b AND cmp GROUP BY ALL)"""
 
@@ -408,7 +408,7 @@ def reports(source: str) -> dict[str, str]:
              {n("visit = 1")} AS first_seen_users, {n("f_view")} AS product_view_sessions, {n("f_cart")} AS cart_sessions,
              {n("f_cart AND NOT bought")} AS cart_abandoned_sessions, {n("f_chk")} AS checkout_sessions,
              {n("f_chk AND NOT bought")} AS checkout_abandoned_sessions, {n("f_pay")} AS payment_sessions,
-             {n("bought")} AS purchasing_sessions, {s("orders")} AS orders, {r(m("revenue"), 2)} AS revenue_usd
+             {n("bought")} AS purchasing_sessions, {s("orders")} AS orders, {rm(m("revenue"))} AS revenue_usd
       FROM (SELECT x.d AS date, x.channel AS acq_channel, x.device AS device_category, u.utype AS user_type, x.visit,
                    x.f_view, x.f_cart, x.f_chk, x.f_pay, x.bought, x.orders, x.revenue,
                    CASE WHEN g.fcountry IS NULL THEN 'Other (under {country_floor} users)' ELSE x.country END AS bucket
@@ -420,7 +420,7 @@ def reports(source: str) -> dict[str, str]:
       SELECT fd AS first_visit_date, utype AS user_type, count(*) AS users, {n("sessions > 1")} AS repeat_visitors,
              {n("el1")} AS eligible_{w1}d_users, {n("el1 AND rt1")} AS returned_{w1}d,
              {n("el2")} AS eligible_{w2}d_users, {n("el2 AND rt2")} AS returned_{w2}d,
-             {n("bought")} AS buyers, {r(m("revenue"), 2)} AS revenue_usd FROM usr GROUP BY fd, utype"""
+             {n("bought")} AS buyers, {rm(m("revenue"))} AS revenue_usd FROM usr GROUP BY fd, utype"""
 
     # Products.
     if source == "items":
@@ -443,19 +443,19 @@ def reports(source: str) -> dict[str, str]:
           FROM prod WHERE meets"""
         out["product_groups"] = f"""
           SELECT grp AS product_group, p AS products, i AS impressions, a AS cart_adds, l AS order_lines, u AS units,
-                 {r("rv", 2)} AS revenue_usd, {share("rv")} AS pct_of_revenue, {pc("a", "i", 3)} AS view_to_cart_pct,
+                 {rm("rv")} AS revenue_usd, {share("rv")} AS pct_of_revenue, {pc("a", "i", 3)} AS view_to_cart_pct,
                  {pc("l", "i", 3)} AS view_to_purchase_pct
           FROM (SELECT grp, count(*) AS p, {s("imps")} AS i, {s("adds")} AS a, {s("lines")} AS l, {s("units")} AS u,
                        {m("revenue")} AS rv FROM prod GROUP BY grp)"""
         out["product_quadrant_summary"] = f"""
           SELECT quad AS quadrant, p AS products, i AS impressions, {share("i")} AS pct_of_impressions, l AS order_lines,
-                 {r("rv", 2)} AS revenue_usd, {share("rv")} AS pct_of_revenue, {q("pr", "np", 2)} AS avg_unit_price
+                 {rm("rv")} AS revenue_usd, {share("rv")} AS pct_of_revenue, {q("pr", "np", 2)} AS avg_unit_price
           FROM (SELECT quad, count(*) AS p, {s("imps")} AS i, {s("lines")} AS l, {m("revenue")} AS rv, {m("price")} AS pr,
                        count(price) AS np FROM prod WHERE meets GROUP BY quad)"""
         out["check_products"] = f"""
           SELECT count(*) AS products, {n("meets")} AS products_meeting_view_floor, {n("lines > 0")} AS products_sold,
                  {s("imps")} AS total_impressions, {s("adds")} AS identified_cart_adds, {s("lines")} AS order_lines,
-                 {s("units")} AS units, {r(m("revenue"), 2)} AS item_revenue_usd,
+                 {s("units")} AS units, {rm(m("revenue"))} AS item_revenue_usd,
                  {r(f"{m('revenue')} - (SELECT {m('revenue')} FROM sess)", 2)} AS item_minus_order_revenue_usd,
                  {n("grp = 'Other'")} AS products_in_other_group,
                  {pc(m("CASE WHEN grp = 'Other' THEN revenue ELSE 0 END"), m("revenue"))} AS pct_revenue_in_other_group
@@ -464,7 +464,7 @@ def reports(source: str) -> dict[str, str]:
           SELECT d AS date, item AS item_name, coalesce(grp, 'Other') AS product_group,
                  coalesce(quad, 'Below 600 impressions') AS quadrant, {n("kind = 1")} AS impressions,
                  {n("kind = 2")} AS cart_adds, {n("kind = 3")} AS order_lines, coalesce({s("qty")}, 0) AS units,
-                 coalesce({r(m("amt"), 2)}, 0) AS revenue_usd
+                 coalesce({rm(m("amt"))}, 0) AS revenue_usd
           FROM (SELECT d, item, 1 AS kind, NULL::BIGINT AS qty, NULL::DOUBLE AS amt FROM imp
                 UNION ALL SELECT d, item, 2, NULL, NULL FROM crt
                 UNION ALL SELECT d, item, 3, qty, amt FROM pur)

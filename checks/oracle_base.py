@@ -14,6 +14,11 @@ def r(x: str, digits: int) -> str:
     return f"round(CAST({x} AS DECIMAL(38, 9)), {digits})::DOUBLE"
 
 
+def rm(amount: str, digits: int = 2) -> str:
+    """Round an amount, which has four decimals; fewer digits keep large totals exact."""
+    return f"round(CAST({amount} AS DECIMAL(38, 4)), {digits})::DOUBLE"
+
+
 def q(a: str, b: str, digits: int | None = None) -> str:
     x = f"(({a}) / nullif({b}, 0))"
     return x if digits is None else r(x, digits)

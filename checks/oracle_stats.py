@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.oracle import SETTINGS, on_reports
-from checks.oracle_base import m, n, pc, q, r, s, sql
+from checks.oracle_base import m, n, pc, q, r, rm, s, sql
 
 # Complementary error function, Numerical Recipes 6.2 (fixed values).
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587,
@@ -165,7 +165,7 @@ def statistics() -> dict[str, str]:
     out["quadrant_leaders"] = on_reports(
         "items",
         f"""SELECT quadrant, position, item_name, product_group, impressions, order_lines, view_to_purchase_pct,
-                   {r("revenue_usd", 2)} AS revenue_usd
+                   {rm("revenue_usd")} AS revenue_usd
             FROM (SELECT *, row_number() OVER (PARTITION BY quadrant ORDER BY
                     CASE WHEN quadrant LIKE 'High%' THEN impressions ELSE revenue_usd END DESC, item_name) AS position
                   FROM products WHERE meets_view_floor) WHERE position <= 8""",
@@ -198,9 +198,10 @@ def statistics() -> dict[str, str]:
         "items",
         f"""SELECT {r("ly", 4)} AS low_yield_per_1k, {r("hy", 4)} AS hidden_yield_per_1k, {r("li * 0.1::DOUBLE", 4)} AS moved_impressions,
                    {r("li * 0.1::DOUBLE / 1000 * (hy * 0.5::DOUBLE - ly) * 30 / 2557", 2)} AS monthly_gain
-            FROM (SELECT a.impressions AS li, a.revenue_usd * 1000 / a.impressions AS ly, b.revenue_usd * 1000 / b.impressions AS hy
-                  FROM product_quadrant_summary a, product_quadrant_summary b
-                  WHERE a.quadrant LIKE 'High%' AND b.quadrant LIKE 'Hidden%')""",
+            FROM (SELECT max(impressions) FILTER (WHERE quadrant LIKE 'High%') AS li,
+                         max(revenue_usd * 1000 / impressions) FILTER (WHERE quadrant LIKE 'High%') AS ly,
+                         max(revenue_usd * 1000 / impressions) FILTER (WHERE quadrant LIKE 'Hidden%') AS hy
+                  FROM product_quadrant_summary)""",
         "product_quadrant_summary",
     )
     lo, hi = _wilson("returned", "eligible_users")

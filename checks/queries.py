@@ -23,10 +23,12 @@ from clickloom.sources.tables import TableStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Adapter, configuration, and the partition column of the stored raw events.  The
+# clickstream is stored as daily directories; the others span thousands of days.
 SOURCES = {
-    "clicks": (sample.clickstream, sample.CLICKSTREAM),
-    "history": (sample.order_history, sample.ORDER_HISTORY),
-    "items": (sample.item_events, sample.ITEM_EVENTS),
+    "clicks": (sample.clickstream, sample.CLICKSTREAM, "event_date"),
+    "history": (sample.order_history, sample.ORDER_HISTORY, None),
+    "items": (sample.item_events, sample.ITEM_EVENTS, None),
 }
 
 _workspaces: dict[tuple[str, str, str], Workspace] = {}
@@ -35,8 +37,10 @@ _workspaces: dict[tuple[str, str, str], Workspace] = {}
 def workspace(spark: SparkSession, sf_dir: str, source: str) -> Workspace:
     key = (spark.sparkContext.applicationId, sf_dir, source)
     if key not in _workspaces:
-        adapter, cfg = SOURCES[source]
-        _workspaces[key] = Workspace(spark, adapter(spark, sf_dir), cfg, TableStore(spark))
+        adapter, cfg, partition_by = SOURCES[source]
+        store = TableStore(spark)
+        raw = store.build("raw_events", adapter(spark, sf_dir), partition_by)
+        _workspaces[key] = Workspace(spark, raw, cfg, store)
     return _workspaces[key]
 
 
@@ -84,9 +88,7 @@ TABLES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
     "clean_events": ("clicks", lambda w: sessions.clean_events(w.raw)),
     "clean_orders": (
         "clicks",
-        lambda w: sessions.clean_orders(w.events, w.cfg).select(
-            "transaction_id", "event_ts", "user_pseudo_id", "ga_session_id", "event_date", "purchase_revenue_usd"
-        ),
+        lambda w: sessions.clean_orders(w.events, w.cfg),
     ),
     "first_touch": ("clicks", lambda w: sessions.first_touch(w.events, w.cfg)),
     "channel_label": (
@@ -115,7 +117,7 @@ TABLES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
             "item_name", "quadrant", "median_impressions", "median_view_to_purchase_pct"
         ),
     ),
-    "products": ("items", lambda w: product.build_products(w.raw, w.aliases, w.cfg)),
+    "products": ("items", lambda w: w.products),
 }
 
 

@@ -65,22 +65,28 @@ def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 # --- raw event fields ----------------------------------------------------------
 
 
-def _param(key: str) -> Column:
-    # get() yields NULL when the key is absent, where [0] would raise.
-    return F.get(F.filter("event_params", lambda p: p["key"] == key), F.lit(0))["value"]
+def _param(key: str, kind: str) -> Column:
+    """The value of an event parameter; NULL when the key is absent.
+
+    Keys and values are read as two parallel arrays, so that a scan for a number
+    does not read the strings, which are most of an event.
+    """
+    position = F.array_position("event_params.key", key)
+    return F.get(f"event_params.value.{kind}", (position - 1).cast("int"))
 
 
 def int_param(key: str) -> Column:
-    return _param(key)["int_value"]
+    return _param(key, "int_value")
 
 
 def string_param(key: str) -> Column:
-    return _param(key)["string_value"]
+    return _param(key, "string_value")
 
 
 def raw_date(event_date: str | Column = "event_date") -> Column:
     """The DateType value of a ``yyyymmdd`` string."""
-    return F.to_date(col(event_date), "yyyyMMdd")
+    day = col(event_date).cast("int")
+    return F.make_date((day / 10_000).cast("int"), (day / 100).cast("int") % 100, day % 100)
 
 
 def week_start(day: str | Column) -> Column:

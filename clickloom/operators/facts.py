@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
 from clickloom.functions.columns import all_of, literal_table, money_sum, week_start
-from clickloom.operators.product import _stack, item_cart_adds, item_impressions, item_purchases
+from clickloom.operators.product import ACTIVITY, stack
 from clickloom.operators.season import in_period
 from clickloom.operators.users import eligible_flag, returned_flag
 from clickloom.schema import FUNNEL_STAGES
@@ -91,34 +91,25 @@ def fact_sessions(sessions: DataFrame, users: DataFrame, cfg: AnalyticsConfig) -
         "orders",
         "revenue_usd",
     ]
-    facts = _stack([with_bucket(activity), with_bucket(arrivals)], grain, measures)
+    stacked = stack([with_bucket(activity), with_bucket(arrivals)], grain, measures)
+    facts = stacked.groupBy(*grain).agg(*[F.sum(m).alias(m) for m in measures])
     return facts.withColumn("revenue_usd", F.round(F.col("revenue_usd").cast("double"), 2))
 
 
-def fact_product_daily(raw: DataFrame, aliases: DataFrame, products: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+def fact_product_daily(activity: DataFrame, products: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """Products by date, for dates with an impression, a cart add or an order line."""
-    key = ["event_date", "item_name"]
-    shown = item_impressions(raw, aliases, cfg).groupBy(*key).agg(F.count(F.lit(1)).alias("impressions"))
-    added = item_cart_adds(raw, aliases, cfg).groupBy(*key).agg(F.count(F.lit(1)).alias("cart_adds"))
-    bought = (
-        item_purchases(raw, aliases, cfg)
-        .groupBy(*key)
-        .agg(
-            F.count(F.lit(1)).alias("order_lines"),
-            F.sum("quantity").alias("units"),
-            F.sum(F.col("revenue").cast("decimal(18,4)")).alias("revenue_usd"),
-        )
-    )
-    measures = ["impressions", "cart_adds", "order_lines", "units", "revenue_usd"]
-    facts = _stack([shown, added, bought], key, measures)
+    daily = activity.groupBy("event_date", "item_name").agg(*[F.sum(c).alias(c) for c in ACTIVITY])
     labels = products.select("item_name", "product_group", "quadrant")
-    return facts.join(labels, "item_name", "left").select(
+    return daily.join(labels, "item_name", "left").select(
         F.col("event_date").alias("date"),
         "item_name",
         F.coalesce("product_group", F.lit(cfg.default_product_group)).alias("product_group"),
         F.coalesce("quadrant", F.lit(cfg.below_floor_label)).alias("quadrant"),
-        *measures[:-1],
-        F.round(F.col("revenue_usd").cast("double"), 2).alias("revenue_usd"),
+        "impressions",
+        "cart_adds",
+        "order_lines",
+        "units",
+        F.round(F.col("revenue").cast("double"), 2).alias("revenue_usd"),
     )
 
 

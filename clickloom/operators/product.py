@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from clickloom.config import QUADRANTS, AnalyticsConfig
 from clickloom.functions.columns import (
+    MONEY,
     group_by_words,
     literal_table,
     money_sum,
     pct,
     ratio,
+    raw_date,
     share_of_total,
     with_one_row,
 )
@@ -43,49 +45,52 @@ def _canonical(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     return renamed.withColumn("item_name", F.coalesce("canonical", "item_name")).drop("raw", "canonical")
 
 
+def _items(events: DataFrame, keys: list[str], fields: dict[str, str], cfg: AnalyticsConfig) -> DataFrame:
+    """One row per item with a usable name, unescaped.
+
+    The fields are taken out of ``items`` one by one, which lets the scan skip the
+    others; the keys are computed before the explode, once per event.
+    """
+    zipped = F.arrays_zip(*[F.col(f"items.{field}").alias(field) for field in ("item_name", *fields)])
+    rows = events.select(*keys, F.explode(zipped).alias("item"))
+    return rows.where(_usable(F.col("item.item_name"), cfg)).select(
+        *keys,
+        _unescaped(F.col("item.item_name")).alias("item_name"),
+        *[F.col(f"item.{field}").alias(name) for field, name in fields.items()],
+    )
+
+
 def item_impressions(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """Each product shown, once per user and event time, under its canonical name.
 
     A name repeated inside an event is dropped before the event is exploded, which
     leaves the distinct over all events little to remove.
     """
-    names = F.array_distinct(
-        F.transform(F.filter("items.item_name", lambda n: _usable(n, cfg)), _unescaped)
+    usable = F.filter("items.item_name", lambda n: _usable(n, cfg))
+    names = F.array_distinct(F.transform(usable, _unescaped))
+    events = raw.where(F.col("event_name") == "view_item").select(
+        "user_pseudo_id", "event_timestamp", raw_date().alias("event_date"), names.alias("names")
     )
-    shown = raw.where(F.col("event_name") == "view_item").select(
-        "user_pseudo_id", "event_timestamp", "event_date", F.explode(names).alias("item_name")
+    shown = events.select(
+        "user_pseudo_id", "event_timestamp", "event_date", F.explode("names").alias("item_name")
     )
-    distinct = _canonical(shown, aliases).distinct()
-    return distinct.withColumn("event_date", F.to_date("event_date", "yyyyMMdd"))
+    return _canonical(shown, aliases).distinct()
 
 
 def item_cart_adds(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """Items added to the cart: only the added item of an event carries a quantity."""
-    added = F.filter(
-        "items", lambda i: i["quantity"].isNotNull() & _usable(i["item_name"], cfg)
-    )
-    rows = raw.where(F.col("event_name") == "add_to_cart").select(
-        "user_pseudo_id", F.to_date("event_date", "yyyyMMdd").alias("event_date"), F.explode(added).alias("item")
-    )
-    return _canonical(
-        rows.select("user_pseudo_id", "event_date", _unescaped(F.col("item.item_name")).alias("item_name")), aliases
+    events = raw.where(F.col("event_name") == "add_to_cart").select(
+        "user_pseudo_id", raw_date().alias("event_date"), "items"
     )
+    listed = _items(events, ["user_pseudo_id", "event_date"], {"quantity": "quantity"}, cfg)
+    return _canonical(listed.where(F.col("quantity").isNotNull()).drop("quantity"), aliases)
 
 
 def item_purchases(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """The item lines of the clean orders."""
-    orders = clean_orders(clean_events(raw, ["items"]), cfg, carry=["items"])
-    lines = orders.select("user_pseudo_id", "event_date", F.explode("items").alias("item"))
-    return _canonical(
-        lines.where(_usable(F.col("item.item_name"), cfg)).select(
-            "user_pseudo_id",
-            "event_date",
-            _unescaped(F.col("item.item_name")).alias("item_name"),
-            F.col("item.quantity").alias("quantity"),
-            F.col("item.item_revenue_in_usd").alias("revenue"),
-        ),
-        aliases,
-    )
+    orders = clean_orders(clean_events(raw, ["items"]), cfg, carry=["event_date", "items"])
+    fields = {"quantity": "quantity", "item_revenue_in_usd": "revenue"}
+    return _canonical(_items(orders, ["user_pseudo_id", "event_date"], fields, cfg), aliases)
 
 
 def product_group(name: str | Column, cfg: AnalyticsConfig) -> Column:
@@ -95,11 +100,11 @@ def product_group(name: str | Column, cfg: AnalyticsConfig) -> Column:
     )
 
 
-def _stack(frames: list[DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
-    """Combine frames that measure different things about the same keys.
+def stack(frames: list[DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
+    """Put frames that measure different things about the same keys on top of each other.
 
-    Each frame contributes zeros for the measures it lacks, so one grouping does
-    the work of a chain of full outer joins.
+    Each frame has zeros for the measures it lacks, so that one grouping of the
+    result does the work of a chain of full outer joins.
     """
 
     def widened(df: DataFrame) -> DataFrame:
@@ -108,54 +113,62 @@ def _stack(frames: list[DataFrame], keys: list[str], measures: list[str]) -> Dat
     stacked = widened(frames[0])
     for df in frames[1:]:
         stacked = stacked.unionByName(widened(df))
-    return stacked.groupBy(*keys).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
+    return stacked
+
+
+ACTIVITY = ("impressions", "cart_adds", "order_lines", "units", "revenue")
+
+
+def item_activity(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+    """Impressions, cart adds and order lines by date, product and user.
+
+    The product table and the daily product facts are both sums over this one, so
+    the items of the raw events are taken apart once.
+    """
+    keys = ["event_date", "item_name", "user_pseudo_id"]
+    rows = F.count(F.lit(1))
+    shown = item_impressions(raw, aliases, cfg).groupBy(*keys).agg(rows.alias("impressions"))
+    added = item_cart_adds(raw, aliases, cfg).groupBy(*keys).agg(rows.alias("cart_adds"))
+    bought = (
+        item_purchases(raw, aliases, cfg)
+        .groupBy(*keys)
+        .agg(
+            rows.alias("order_lines"),
+            F.coalesce(F.sum("quantity"), F.lit(0)).alias("units"),
+            F.coalesce(F.sum(F.col("revenue").cast(MONEY)), F.lit(0)).cast("decimal(28,4)").alias("revenue"),
+        )
+    )
+    return stack([shown, added, bought], keys, list(ACTIVITY))
 
 
-def product_totals(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+def product_totals(activity: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """One row per product with its counts.
 
     Users are counted by folding to (product, user) first, so that a product shown
     to everyone is reduced in every task before it is gathered.
     """
     in_window = F.col("event_date") >= F.lit(cfg.cart_reliable_from)
+    by_user = activity.groupBy("item_name", "user_pseudo_id").agg(
+        *[F.sum(c).alias(c) for c in ACTIVITY],
+        F.sum(F.when(in_window, F.col("impressions")).otherwise(0)).alias("impressions_cart_window"),
+        F.sum(F.when(in_window, F.col("order_lines")).otherwise(0)).alias("order_lines_cart_window"),
+    )
 
-    def fold(rows: DataFrame, per_user: dict[str, Column], users_as: str) -> DataFrame:
-        by_user = rows.groupBy("item_name", "user_pseudo_id").agg(*[c.alias(n) for n, c in per_user.items()])
-        return by_user.groupBy("item_name").agg(
-            *[F.sum(n).alias(n) for n in per_user], F.count("user_pseudo_id").alias(users_as)
-        )
+    def users(having: str) -> Column:
+        return F.count(F.when(F.col(having) > 0, F.col("user_pseudo_id")))
 
-    rows = F.count(F.lit(1))
-    shown = fold(
-        item_impressions(raw, aliases, cfg),
-        {"impressions": rows, "impressions_cart_window": F.count_if(in_window)},
-        "impression_users",
-    )
-    added = fold(item_cart_adds(raw, aliases, cfg), {"cart_adds": rows}, "cart_users")
-    bought = fold(
-        item_purchases(raw, aliases, cfg),
-        {
-            "order_lines": rows,
-            "order_lines_cart_window": F.count_if(in_window),
-            "units": F.sum("quantity"),
-            "revenue_usd": F.sum(F.col("revenue").cast("decimal(18,4)")),
-        },
-        "buyers",
+    return by_user.groupBy("item_name").agg(
+        F.sum("impressions").alias("impressions"),
+        users("impressions").alias("impression_users"),
+        F.sum("impressions_cart_window").alias("impressions_cart_window"),
+        F.sum("cart_adds").alias("cart_adds"),
+        users("cart_adds").alias("cart_users"),
+        F.sum("order_lines").alias("order_lines"),
+        F.sum("order_lines_cart_window").alias("order_lines_cart_window"),
+        users("order_lines").alias("buyers"),
+        F.sum("units").alias("units"),
+        F.sum("revenue").cast("double").alias("revenue_usd"),
     )
-    measures = [
-        "impressions",
-        "impression_users",
-        "impressions_cart_window",
-        "cart_adds",
-        "cart_users",
-        "order_lines",
-        "order_lines_cart_window",
-        "buyers",
-        "units",
-        "revenue_usd",
-    ]
-    stacked = _stack([shown, added, bought], ["item_name"], measures)
-    return stacked.withColumn("revenue_usd", F.col("revenue_usd").cast("double"))
 
 
 def product_rates(totals: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
@@ -197,8 +210,12 @@ def product_quadrants(rated: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
 
 
 def build_products(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
-    """One row per product."""
-    return product_quadrants(product_rates(product_totals(raw, aliases, cfg), cfg), cfg)
+    """One row per product, in one plan.
+
+    The medians read the rates several times; a job that can store the rates should
+    do so and build on them, as the workspace does.
+    """
+    return product_quadrants(product_rates(product_totals(item_activity(raw, aliases, cfg), cfg), cfg), cfg)
 
 
 def products_export(products: DataFrame) -> DataFrame:

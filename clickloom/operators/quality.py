@@ -36,8 +36,8 @@ def dq_overview(raw: DataFrame) -> DataFrame:
     )
     totals = users.agg(
         F.sum("events").alias("total_events"),
-        raw_date(F.min("first_day").cast("string")).alias("first_date"),
-        raw_date(F.max("last_day").cast("string")).alias("last_date"),
+        raw_date(F.min("first_day")).alias("first_date"),
+        raw_date(F.max("last_day")).alias("last_date"),
         F.count("user_pseudo_id").alias("users"),
         F.coalesce(F.sum(F.when(F.col("user_pseudo_id").isNotNull(), F.col("sessions"))), F.lit(0)).alias(
             "sessions_with_id"

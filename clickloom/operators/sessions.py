@@ -41,15 +41,19 @@ def clean_events(raw: DataFrame, extra: Sequence[str | Column] = ()) -> DataFram
     )
 
 
-def clean_orders(events: DataFrame, cfg: AnalyticsConfig, carry: Sequence[str] = ()) -> DataFrame:
+ORDER_COLUMNS = ("ga_session_id", "event_date", "purchase_revenue_usd")
+
+
+def clean_orders(events: DataFrame, cfg: AnalyticsConfig, carry: Sequence[str] = ORDER_COLUMNS) -> DataFrame:
     """One row per order: the earliest event of each real transaction id, and every
     id-less purchase that has revenue.
 
     The id-less purchases share no key with one another, so they are filtered, not
     grouped.  The earliest event of an id is an aggregate rather than a row number,
-    so that a much-repeated id shrinks before the shuffle.
+    so that a much-repeated id shrinks before the shuffle.  Equal times are settled
+    by the user and then by the carried columns.
     """
-    columns = ["event_ts", "user_pseudo_id", "ga_session_id", "event_date", "purchase_revenue_usd", *carry]
+    columns = ["event_ts", "user_pseudo_id", *carry]
     purchases = events.where(F.col("event_name") == "purchase")
     transaction = F.col("transaction_id")
     no_id = transaction.isNull() | (transaction == cfg.missing_transaction_id)

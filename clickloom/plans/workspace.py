@@ -53,9 +53,18 @@ class Workspace:
     def aliases(self) -> DataFrame:
         return product.item_aliases(self.spark, self.cfg)
 
+    @cached_property
+    def item_activity(self) -> DataFrame:
+        return self._table("item_activity", product.item_activity(self.raw, self.aliases, self.cfg))
+
+    @cached_property
+    def product_rates(self) -> DataFrame:
+        totals = product.product_totals(self.item_activity, self.cfg)
+        return self._table("product_rates", product.product_rates(totals, self.cfg))
+
     @cached_property
     def products(self) -> DataFrame:
-        return self._table("products", product.build_products(self.raw, self.aliases, self.cfg))
+        return self._table("products", product.product_quadrants(self.product_rates, self.cfg))
 
     @cached_property
     def periods(self) -> DataFrame:
@@ -71,7 +80,7 @@ class Workspace:
 
     @cached_property
     def fact_product_daily(self) -> DataFrame:
-        daily = facts.fact_product_daily(self.raw, self.aliases, self.products, self.cfg)
+        daily = facts.fact_product_daily(self.item_activity, self.products, self.cfg)
         return self._table("fact_product_daily", daily)
 
     @cached_property

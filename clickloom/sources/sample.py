@@ -22,6 +22,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table that is only a few files out to all cores.
+
+    A file with a single row group is read by one task.  A large table has files
+    enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, 16) else df
+
+
 def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
@@ -97,7 +107,7 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
     events = (
-        _table(spark, sf_dir, "events")
+        _spread(_table(spark, sf_dir, "events"))
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         .withColumn("day", F.date_diff(F.col("ts").cast("date"), F.lit(date(2024, 1, 1))))
         .join(customers.select("c_custkey", "n_name"), F.col("user_id") == F.col("c_custkey"), "left")
@@ -177,7 +187,7 @@ def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     user, key, status = F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderstatus")
     orders = (
-        _table(spark, sf_dir, "orders")
+        _spread(_table(spark, sf_dir, "orders"))
         .join(nations.select("c_custkey", "n_name", "c_mktsegment"), user == F.col("c_custkey"), "left")
         .withColumn("day", F.date_add(F.col("o_orderdate").cast("date"), ((user % 7) * 180).cast("int")))
     )
@@ -226,7 +236,7 @@ ITEM_EVENTS = AnalyticsConfig(
 def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as product views, cart adds and purchases that carry items."""
     lines = (
-        _table(spark, sf_dir, "lineitem")
+        _spread(_table(spark, sf_dir, "lineitem"))
         .join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(
             _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"),
