@@ -230,7 +230,7 @@ def statistics() -> dict[str, str]:
         "history",
         f"""SELECT count(*) AS cohorts, {_r6("min(x)")} AS lowest_pct, {_r6("max(x)")} AS highest_pct
             FROM (SELECT 100 * return_30d_pct / nullif(return_180d_pct, 0) AS x FROM retention_by_cohort_week
-                  WHERE eligible_180d_users = new_users)""",
+                  WHERE eligible_180d_users = new_users AND cohort_week >= DATE '1995-01-01')""",
         "retention_by_cohort_week",
     )
     repeats = """
@@ -248,7 +248,7 @@ def statistics() -> dict[str, str]:
     out["baseline_sensitivity"] = on_reports(
         "history",
         f"""SELECT a.period_order, a.period, a.orders_per_day_vs_baseline_pct, {_r6(adjusted)} AS adjusted_baseline_per_day,
-                   {r(f"100 * (a.orders_per_day / {adjusted} - 1)", 1)} AS adjusted_vs_baseline_pct
+                   {r(f"100 * (a.orders_per_day / {adjusted} - 1)", 2)} AS adjusted_vs_baseline_pct
             FROM period_summary a, period_summary b, ({baseline}) k
             WHERE b.period_order = 1 AND a.period_order <> 1 AND a.is_comparison""",
         "period_summary",
