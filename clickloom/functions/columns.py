@@ -53,6 +53,14 @@ def share_of_total(value: str | Column, within: Sequence[str] = (), digits: int
     return pct(value, F.sum(col(value)).over(Window.partitionBy(*within)), digits)
 
 
+def from_row(condition: Column, value: str | Column) -> Column:
+    """The value of the one row that meets the condition, next to every row.
+
+    Like ``share_of_total``, only for frames that are already down to a few groups.
+    """
+    return F.max(F.when(condition, col(value))).over(Window.partitionBy())
+
+
 def all_of(flags: Iterable[str | Column]) -> Column:
     return reduce(lambda a, b: a & b, [col(f) for f in flags])
 

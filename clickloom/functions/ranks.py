@@ -2,58 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.functions.columns import with_one_row
-
 SMALL = 10_000
 ACCURACY = 10_000
 MARGIN = 0.001
 
 
 def value_at_ranks(
-    df: DataFrame, value: str, fraction: float, ranks: dict[str, Callable[[Column], Column]]
+    df: DataFrame, values: Sequence[str], fraction: float, ranks: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
-    """The values at given ranks (zero-based, ascending), as one row.
+    """The values of each column at given ranks (zero-based, ascending), as one row.
 
-    ``ranks`` maps an output name to the rank as a function of the number of
-    non-NULL values; all of them must lie near ``fraction`` of that number.
+    ``ranks`` maps a name to the rank as a function of the number of non-NULL values;
+    all of them must lie near ``fraction`` of that number.  The results are named
+    ``<column>_<name>``, are doubles, and are NULL where there is no such rank.
 
     A quantile sketch brackets the fraction (its rank error is a tenth of the
     margin), the values below the bracket are only counted, and only the distinct
     values inside it, a five-hundredth of the data, are put in order.  The result
-    is exact.  A NULL comes out where there is no such rank.
+    is exact.
     """
-    values = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    long = df.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in values]))
+    ).where(F.col("v").isNotNull())
     quantiles = F.percentile_approx("v", [max(0.0, fraction - MARGIN), min(1.0, fraction + MARGIN)], ACCURACY)
-    bounds = values.agg(
-        F.count(F.lit(1)).alias("n"), quantiles.alias("q"), F.min("v").alias("lowest"), F.max("v").alias("highest")
-    ).select(
-        "n",
-        F.when(F.col("n") <= SMALL, F.col("lowest")).otherwise(F.get("q", F.lit(0))).alias("lo"),
-        F.when(F.col("n") <= SMALL, F.col("highest")).otherwise(F.get("q", F.lit(1))).alias("hi"),
+    bounds = (
+        long.groupBy("c")
+        .agg(F.count(F.lit(1)).alias("n"), quantiles.alias("q"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
+        .select(
+            "c",
+            "n",
+            F.when(F.col("n") <= SMALL, F.col("lowest")).otherwise(F.get("q", F.lit(0))).alias("lo"),
+            F.when(F.col("n") <= SMALL, F.col("highest")).otherwise(F.get("q", F.lit(1))).alias("hi"),
+        )
     )
-    bracketed = with_one_row(values, bounds).where(F.col("v") <= F.col("hi"))
+    # One row of bounds per named column.
+    bracketed = long.join(F.broadcast(bounds), "c").where(F.col("v") <= F.col("hi"))
     # Everything below the bracket becomes the single NULL value, which sorts first.
-    counted = bracketed.groupBy(F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"), "n").agg(
+    counted = bracketed.groupBy("c", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(
         F.count(F.lit(1)).alias("rows")
     )
-    upto = F.sum("rows").over(Window.orderBy(F.col("v").asc_nulls_first()))
-    placed = counted.select("v", "n", (upto - F.col("rows")).alias("first_rank"), (upto - 1).alias("last_rank"))
-    return placed.agg(
-        *[
-            F.max(F.when(rank(F.col("n")).between(F.col("first_rank"), F.col("last_rank")), F.col("v"))).alias(name)
-            for name, rank in ranks.items()
-        ]
-    )
+    upto = F.sum("rows").over(Window.partitionBy("c").orderBy(F.col("v").asc_nulls_first()))
+    placed = counted.select("c", "v", "n", (upto - F.col("rows")).alias("first_rank"), (upto - 1).alias("last_rank"))
+
+    def at(c: str, rank: Callable[[Column], Column]) -> Column:
+        here = rank(F.col("n")).between(F.col("first_rank"), F.col("last_rank"))
+        return F.max(F.when((F.col("c") == c) & here, F.col("v")))
+
+    return placed.agg(*[at(c, rank).alias(f"{c}_{name}") for c in values for name, rank in ranks.items()])
 
 
-def exact_median(df: DataFrame, value: str, name: str) -> DataFrame:
-    """The median (the mean of the two middle values if their number is even), as one row."""
+def exact_medians(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """The median of each column, as one row of ``median_<column>``.
+
+    With an even number of values it is the mean of the two in the middle.
+    """
     middle = value_at_ranks(
-        df, value, 0.5, {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}
+        df, values, 0.5, {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}
+    )
+    return middle.select(
+        *[((F.col(f"{c}_low") + F.col(f"{c}_high")) / F.lit(2.0)).alias(f"median_{c}") for c in values]
     )
-    return middle.select(((F.col("low") + F.col("high")) / F.lit(2.0)).alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
-from clickloom.functions.columns import money_sum, pct, ratio, with_one_row
+from clickloom.functions.columns import from_row, money_sum, pct, ratio
 from clickloom.operators.funnel import main_step_counts
 
 
@@ -27,9 +27,15 @@ def channel_performance(users: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     with_total = by_channel.rollup("acq_channel").agg(
         *sums, money_sum("revenue").alias("revenue"), F.grouping("acq_channel").alias("is_total")
     )
-    total = by_channel.agg(F.sum("users").alias("all_users"), money_sum("revenue").alias("all_revenue"))
-    label = F.when(F.col("is_total") == 1, F.lit(cfg.all_users_label)).otherwise(F.col("acq_channel"))
-    return with_one_row(with_total.withColumn("acq_channel", label), total).select(
+    total = F.col("is_total") == 1
+    rows = with_total.withColumns(
+        {
+            "acq_channel": F.when(total, F.lit(cfg.all_users_label)).otherwise(F.col("acq_channel")),
+            "all_users": from_row(total, "users"),
+            "all_revenue": from_row(total, "revenue"),
+        }
+    )
+    return rows.select(
         "acq_channel",
         F.col("acq_channel").isin(*cfg.obscured_channels).alias("is_obscured"),
         "users",

@@ -17,7 +17,7 @@ from clickloom.functions.columns import (
     share_of_total,
     with_one_row,
 )
-from clickloom.functions.ranks import exact_median
+from clickloom.functions.ranks import exact_medians
 from clickloom.operators.sessions import clean_events, clean_orders
 from clickloom.schema import ITEM_ALIASES
 
@@ -193,10 +193,7 @@ def product_quadrants(rated: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     strong, busy, hidden, weak = QUADRANTS
     meets_floor = F.col("impressions") >= cfg.impression_floor
     floor = rated.where(meets_floor)
-    medians = with_one_row(
-        exact_median(floor, "impressions", "median_impressions"),
-        exact_median(floor, "view_to_purchase_pct", "median_view_to_purchase_pct"),
-    )
+    medians = exact_medians(floor, ["impressions", "view_to_purchase_pct"])
     seen = F.col("impressions") >= F.col("median_impressions")
     sells = F.col("view_to_purchase_pct") >= F.col("median_view_to_purchase_pct")
     quadrant = F.when(seen & sells, strong).when(seen, busy).when(sells, hidden).otherwise(weak)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
 from clickloom.functions.columns import (
+    from_row,
     literal_table,
     money_sum,
     pct,
@@ -19,7 +20,6 @@ from clickloom.functions.columns import (
     rounded,
     share_of_total,
     week_start,
-    with_one_row,
 )
 from clickloom.schema import SEASON_PERIODS
 
@@ -105,7 +105,11 @@ def period_metrics(sessions: DataFrame, users: DataFrame, periods: DataFrame) ->
 def period_summary(
     sessions: DataFrame, users: DataFrame, periods: DataFrame, cfg: AnalyticsConfig
 ) -> DataFrame:
-    """Each period in total, per day, and against the baseline period."""
+    """Each period in total, per day, and against the baseline period.
+
+    There are as many rows as configured periods, so the baseline is looked up among
+    them instead of being computed a second time.
+    """
     metrics = period_metrics(sessions, users, periods)
     compared = {
         "daily_users_vs_baseline_pct": "avg_daily_users",
@@ -115,14 +119,12 @@ def period_summary(
         "conversion_vs_baseline_pct": "session_conversion",
         "aov_vs_baseline_pct": "order_value",
     }
-    baseline = metrics.where(F.col("period_order") == cfg.baseline_period).select(
-        *[F.col(c).alias(f"base_{c}") for c in compared.values()]
-    )
+    is_baseline = F.col("period_order") == cfg.baseline_period
 
     def change(c: str) -> Column:
-        return rounded(F.lit(100) * (F.try_divide(F.col(c), F.col(f"base_{c}")) - 1), 1)
+        return rounded(F.lit(100) * (F.try_divide(F.col(c), from_row(is_baseline, c)) - 1), 1)
 
-    return with_one_row(metrics, baseline).select(
+    return metrics.select(
         "period_order",
         "period",
         "is_comparison",

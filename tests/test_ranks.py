@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.functions import ranks
-from clickloom.functions.ranks import exact_median, value_at_ranks
+from clickloom.functions.ranks import exact_medians, value_at_ranks
 from tests.conftest import one
 
 
@@ -18,13 +18,13 @@ def test_median_of_small_sets(spark, size):
     rng = random.Random(size)
     values = [rng.randint(-20, 20) for _ in range(size)]
     df = spark.createDataFrame([(v,) for v in values], "x bigint")
-    assert one(exact_median(df, "x", "m"))["m"] == statistics.median(values)
+    assert one(exact_medians(df, ["x"]))["median_x"] == statistics.median(values)
 
 
 def test_median_ignores_nulls_and_may_be_null(spark):
     df = spark.createDataFrame([(None,), (3.0,), (5.0,)], "x double")
-    assert one(exact_median(df, "x", "m"))["m"] == 4.0
-    assert one(exact_median(df.where("x < 0"), "x", "m"))["m"] is None
+    assert one(exact_medians(df, ["x"]))["median_x"] == 4.0
+    assert one(exact_medians(df.where("x < 0"), ["x"]))["median_x"] is None
 
 
 @pytest.mark.parametrize("size", [20_000, 20_001])
@@ -35,13 +35,18 @@ def test_median_beyond_the_small_size_uses_a_bracket(spark, size):
     )
     assert size > ranks.SMALL
     values = [r.x for r in df.collect()]
-    assert one(exact_median(df, "x", "m"))["m"] == statistics.median(values)
+    assert one(exact_medians(df, ["x"]))["median_x"] == statistics.median(values)
+
+
+def test_medians_of_several_columns_at_once(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, None), (4, 1.5), (9, 2.5)], "x bigint, y double")
+    assert one(exact_medians(df, ["x", "y"])) == {"median_x": 3.0, "median_y": 1.5}
 
 
 def test_value_at_a_high_rank(spark):
     df = spark.range(50_000).select(((F.col("id") * 104_729) % 50_021).alias("x"))
     values = sorted(r.x for r in df.collect())
-    got = one(value_at_ranks(df, "x", 0.8, {"v": lambda n: n - F.floor(n * 0.2)}))["v"]
+    got = one(value_at_ranks(df, ["x"], 0.8, {"v": lambda n: n - F.floor(n * 0.2)}))["x_v"]
     assert got == values[50_000 - 10_000]
 
 
