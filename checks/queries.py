@@ -97,7 +97,7 @@ TABLES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
         .groupBy("acq_medium", sessions.channel_label(w.cfg).alias("acq_channel"))
         .agg(F.count(F.lit(1)).alias("users")),
     ),
-    "sessions": ("clicks", lambda w: sessions.build_sessions(sessions.clean_events(w.raw), w.cfg)),
+    "sessions": ("clicks", lambda w: sessions.build_sessions(w.events, w.cfg, w.first_touch)),
     "users": ("history", lambda w: w.users),
     "cart_window_sessions": ("clicks", lambda w: w.cart_sessions),
     "cart_window_users": ("clicks", lambda w: w.cart_users),

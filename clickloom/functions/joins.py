@@ -1,0 +1,28 @@
+"""Joins whose keys may be very uneven."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def salted_join(
+    rows: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str | Column], salts: int = 32
+) -> DataFrame:
+    """Inner join of many rows to a lookup with one row per key.
+
+    The rows of a key are dealt over ``salts`` tasks by ``spread_by``, and the lookup
+    is repeated for each of them, so a key with a third of the rows is shared out.
+    Adaptive execution cannot do this by itself when the lookup comes out of an
+    aggregate or when the result is grouped by the same key.  For lookups that are
+    much smaller than the rows.
+    """
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    return (
+        rows.withColumn("_salt", salt)
+        .join(lookup.withColumn("_salt", every_salt), [key, "_salt"])
+        .drop("_salt")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
-from clickloom.functions.columns import all_of, literal_table, money_sum, week_start
+from clickloom.functions.columns import MONEY, all_of, literal_table, money_sum, week_start
 from clickloom.operators.product import ACTIVITY, stack
 from clickloom.operators.season import in_period
 from clickloom.operators.users import eligible_flag, returned_flag
@@ -68,7 +68,7 @@ def fact_sessions(sessions: DataFrame, users: DataFrame, cfg: AnalyticsConfig) -
             F.count_if("reached_add_payment_info").alias("payment_sessions"),
             F.count_if("purchased").alias("purchasing_sessions"),
             F.sum("orders").alias("orders"),
-            F.sum(F.col("revenue_usd").cast("decimal(18,4)")).alias("revenue_usd"),
+            F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue_usd"),
         )
     )
     arrivals = users.groupBy(

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
-from clickloom.functions.columns import all_of, money_sum, pct, ratio, share_of_total, week_start
+from clickloom.functions.columns import MONEY, all_of, money_sum, pct, ratio, share_of_total, week_start
+from clickloom.functions.joins import salted_join
 from clickloom.operators.users import eligible_flag, first_session_key, returned_flag
 
 
@@ -46,18 +47,24 @@ def _equal_window(users: DataFrame, sessions: DataFrame, label: str, days: int)
     """Activity of each eligible user in days 0 to ``days`` after the first visit.
 
     That is ``days + 1`` dates.  Every user has at least the first visit itself.
+    Sessions are folded to user-days before the join, so that no user brings more
+    rows to it than there are days in the data.
     """
     eligible = users.where(eligible_flag(days)).select("user_pseudo_id", label, "first_visit_date")
+    user_days = sessions.groupBy("user_pseudo_id", "session_date").agg(
+        F.count(F.lit(1)).alias("sessions"),
+        F.sum("orders").alias("orders"),
+        F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue"),
+    )
     age = F.date_diff("session_date", "first_visit_date")
     return (
-        sessions.select("user_pseudo_id", "session_date", "orders", "revenue_usd")
-        .join(eligible, "user_pseudo_id")
+        user_days.join(eligible, "user_pseudo_id")
         .where(age.between(0, days))
         .groupBy("user_pseudo_id", label)
         .agg(
-            F.count(F.lit(1)).alias("sessions"),
+            F.sum("sessions").alias("sessions"),
             F.sum("orders").alias("orders"),
-            money_sum("revenue_usd").alias("revenue"),
+            F.sum("revenue").cast("double").alias("revenue"),
         )
     )
 
@@ -234,7 +241,7 @@ def revenue_by_visit_number(sessions: DataFrame, users: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sessions"),
         F.count_if("purchased").alias("purchasing_sessions"),
         F.sum("orders").alias("orders"),
-        F.sum(F.col("revenue_usd").cast("decimal(18,4)")).alias("revenue"),
+        F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue"),
     ]
     columns = ["user_pseudo_id", "purchased", "orders", "revenue_usd"]
     by_time = Window.partitionBy("user_pseudo_id").orderBy("session_start_ts", "ga_session_id")
@@ -280,18 +287,19 @@ def first_purchases(sessions: DataFrame) -> DataFrame:
     """Per buyer, the visit number and date of the first purchase.
 
     The visit number is one more than the sessions before it, so it is a count over
-    the sessions of buyers rather than a numbering of everybody's sessions.
+    the sessions of buyers rather than a numbering of everybody's sessions.  A
+    buyer's sessions are counted in several tasks and the counts then added.
     """
-    key = first_session_key()
+    visit = first_session_key()
     first_buy = (
         sessions.where("purchased")
         .groupBy("user_pseudo_id")
-        .agg(F.min(key).alias("first_buy"), F.min("session_date").alias("first_buy_date"))
+        .agg(F.min(visit).alias("first_buy"), F.min("session_date").alias("first_buy_date"))
     )
+    visits = sessions.select("user_pseudo_id", "session_start_ts", "ga_session_id")
     return (
-        sessions.select("user_pseudo_id", key.alias("visit"))
-        .join(first_buy, "user_pseudo_id")
-        .where(F.col("visit") <= F.col("first_buy"))
+        salted_join(visits, first_buy, "user_pseudo_id", ["session_start_ts", "ga_session_id"])
+        .where(visit <= F.col("first_buy"))
         .groupBy("user_pseudo_id", "first_buy_date")
         .agg(F.count(F.lit(1)).alias("first_buy_visit"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
 from clickloom.functions.columns import (
+    MONEY,
     from_row,
     literal_table,
     money_sum,
@@ -44,7 +45,7 @@ def _user_days(sessions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sessions"),
         F.count_if("purchased").alias("purchasing_sessions"),
         F.sum("orders").alias("orders"),
-        F.sum(F.col("revenue_usd").cast("decimal(18,4)")).alias("revenue"),
+        F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue"),
     )
 
 
@@ -190,7 +191,7 @@ def daily_trend(sessions: DataFrame, users: DataFrame, cfg: AnalyticsConfig) ->
         F.count(F.lit(1)).alias("sessions"),
         *[F.count_if(flag).alias(name) for name, flag in steps.items()],
         F.sum("orders").alias("orders"),
-        F.sum(F.col("revenue_usd").cast("decimal(18,4)")).alias("revenue"),
+        F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue"),
     )
     daily = per_user.groupBy("date").agg(
         F.count("user_pseudo_id").alias("users"),

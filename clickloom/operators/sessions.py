@@ -122,8 +122,15 @@ def session_activity(events: DataFrame) -> DataFrame:
     )
 
 
-def build_sessions(events: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
-    """One row per user and session id."""
+def build_sessions(events: DataFrame, cfg: AnalyticsConfig, touch: DataFrame | None = None) -> DataFrame:
+    """One row per user and session id.
+
+    Pass ``touch`` as a stored table where there is a store: a join of two shuffled
+    tables can be split by adaptive execution at a user with very many sessions, a
+    join to an aggregate cannot.
+    """
+    if touch is None:
+        touch = first_touch(events, cfg)
     activity = session_activity(events)
     order_totals = (
         clean_orders(events, cfg)
@@ -137,7 +144,7 @@ def build_sessions(events: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     else:
         with_orders = activity.join(order_totals, SESSION_KEY, "left")
     orders = F.coalesce("orders", F.lit(0))
-    return with_orders.join(first_touch(events, cfg), "user_pseudo_id").select(
+    return with_orders.join(touch, "user_pseudo_id").select(
         *SESSION_KEY,
         "ga_session_number",
         "session_start_ts",

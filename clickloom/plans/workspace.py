@@ -32,9 +32,13 @@ class Workspace:
     def events(self) -> DataFrame:
         return self._table("events_clean", sessions.clean_events(self.raw))
 
+    @cached_property
+    def first_touch(self) -> DataFrame:
+        return self._table("first_touch", sessions.first_touch(self.events, self.cfg))
+
     @cached_property
     def sessions(self) -> DataFrame:
-        return self._table("sessions", sessions.build_sessions(self.events, self.cfg))
+        return self._table("sessions", sessions.build_sessions(self.events, self.cfg, self.first_touch))
 
     @cached_property
     def users(self) -> DataFrame:
