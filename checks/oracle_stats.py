@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.oracle import SETTINGS, on_reports
+from checks.oracle import SETTINGS, on_reports, report
 from checks.oracle_base import m, n, pc, q, r, rm, s, sql
 
 # Complementary error function, Numerical Recipes 6.2 (fixed values).
@@ -413,8 +413,14 @@ def measures() -> dict[str, str]:
 
 
 def inputs_on_data() -> dict[str, str]:
-    """Configured tables (aliases, periods, stages, dates) set against the data."""
+    """Sources and sinks, and configured tables (aliases, periods, stages, dates) set against the data."""
     return {
+        "events_in_range": sql(
+            "clicks",
+            """SELECT strftime(d, '%Y%m%d') AS event_date, name AS event_name, count(*) AS events FROM ev
+               WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY ALL""",
+        ),
+        "csv_export": report("history", "fact_cohort_daily"),
         "item_aliases": sql(
             "items",
             """SELECT raw, canon AS canonical, count(i.name) AS items

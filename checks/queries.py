@@ -8,6 +8,7 @@ the pipeline does.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from clickloom.operators import funnel, inference, metrics, product, quality, se
 from clickloom.operators.season import in_period
 from clickloom.plans.reports import BY_NAME
 from clickloom.plans.workspace import Workspace
+from clickloom.schema import cohort_csv
 from clickloom.sources import sample
-from clickloom.sources.tables import TableStore
+from clickloom.sources.events import read_events
+from clickloom.sources.tables import TableStore, read_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +163,23 @@ TABLES |= {
 }
 
 
+def _events_in_range(ws: Workspace) -> DataFrame:
+    days = read_events(ws.spark, ws.store.path("raw_events"), date(2024, 1, 5), date(2024, 1, 20))
+    return days.groupBy("event_date", "event_name").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _csv_export(ws: Workspace) -> DataFrame:
+    path = ws.store.path("fact_cohort_daily_csv")
+    write_csv(ws.fact_cohort_daily, path)
+    return read_csv(ws.spark, path, cohort_csv(ws.cfg.return_windows))
+
+
+TABLES |= {
+    "events_in_range": ("clicks", _events_in_range),
+    "csv_export": ("history", _csv_export),
+}
+
+
 def _tested_countries(ws: Workspace) -> DataFrame:
     return inference.segment_vs_rest(_get(ws, "country_performance"), ws.cfg)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import types as T
 
 EVENT_PARAM = T.StructType(
@@ -137,18 +139,6 @@ DASHBOARD_CSV = {
         units=_LONG,
         revenue_usd=_DBL,
     ),
-    "fact_cohort_daily": _columns(
-        first_visit_date=_DATE,
-        user_type=_STR,
-        users=_LONG,
-        repeat_visitors=_LONG,
-        eligible_7d_users=_LONG,
-        returned_7d=_LONG,
-        eligible_30d_users=_LONG,
-        returned_30d=_LONG,
-        buyers=_LONG,
-        revenue_usd=_DBL,
-    ),
     "funnel_stages": _columns(stage_order=T.IntegerType(), stage=_STR),
     "products_export": _columns(
         item_name=_STR,
@@ -174,3 +164,22 @@ DASHBOARD_CSV = {
         median_view_to_purchase_pct=_DBL,
     ),
 }
+
+
+def cohort_csv(return_windows: Sequence[int] = (7, 30)) -> T.StructType:
+    """Declared types of the cohort facts, whose columns depend on the return windows."""
+    follow_up = {}
+    for days in return_windows:
+        follow_up |= {f"eligible_{days}d_users": _LONG, f"returned_{days}d": _LONG}
+    return _columns(
+        first_visit_date=_DATE,
+        user_type=_STR,
+        users=_LONG,
+        repeat_visitors=_LONG,
+        **follow_up,
+        buyers=_LONG,
+        revenue_usd=_DBL,
+    )
+
+
+DASHBOARD_CSV["fact_cohort_daily"] = cohort_csv()

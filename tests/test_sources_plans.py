@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from checks import queries as registered
 from clickloom import schema
 from clickloom.config import AnalyticsConfig
+from clickloom.functions.joins import salted_join
 from clickloom.operators import metrics, product, quality, sessions
 from clickloom.plans import pipeline
 from clickloom.plans.reports import REPORTS
@@ -93,6 +94,54 @@ def test_visit_numbers_are_limited_before_the_shuffle(spark):
     assert "Exchange" in text.split("WindowGroupLimit")[1]
 
 
+def test_a_user_with_most_sessions_is_split_over_tasks(spark, tmp_path):
+    """The join of sessions to users is split where one user has a third of the rows."""
+    n = 60_000
+    user = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), (F.col("id") % 20_000).cast("string")))
+    when = F.timestamp_micros(F.col("id") * 1_000_000 + 1_604_224_800_000_000)
+    events = spark.range(n).select(
+        when.cast("date").alias("event_date"),
+        when.alias("event_ts"),
+        F.lit("page_view").alias("event_name"),
+        user.alias("user_pseudo_id"),
+        F.col("id").alias("ga_session_id"),
+        F.lit(1).cast("bigint").alias("ga_session_number"),
+        F.lit("desktop").alias("device_category"),
+        F.lit("Chile").alias("country"),
+        F.lit("organic").alias("acq_medium"),
+        F.lit("s").alias("acq_source"),
+        F.lit(None).cast("string").alias("transaction_id"),
+        F.lit(None).cast("double").alias("purchase_revenue_usd"),
+    )
+    lowered = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for key, value in lowered.items():
+        spark.conf.set(key, value)
+    try:
+        store = TableStore(spark, str(tmp_path))
+        stored = store.build("events", events)
+        touch = store.build("touch", sessions.first_touch(stored, CFG))
+        built = sessions.build_sessions(stored, CFG, touch).cache()
+        assert built.count() == n
+        assert "skew=true" in plan(built)
+        built.unpersist()
+    finally:
+        for key in lowered:
+            spark.conf.unset(key)
+
+
+def test_salted_join_equals_a_join(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("x"))
+    lookup = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("y"))
+    got = salted_join(rows, lookup, "k", ["x"], salts=4)
+    assert sorted(got.collect()) == sorted(rows.join(lookup, "k").collect())
+
+
 def test_table_store_reads_back_what_it_wrote(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     df = spark.createDataFrame([(1, "a", date(2020, 1, 1)), (2, None, date(2020, 1, 2))], "x int, y string, d date")
