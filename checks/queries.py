@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from checks import oracle, oracle_stats
 from clickloom.functions.columns import rounded, with_one_row
-from clickloom.operators import funnel, inference, metrics, product, quality, sessions
+from clickloom.operators import facts, funnel, inference, metrics, product, quality, sessions, users
 from clickloom.operators.season import in_period
 from clickloom.plans.reports import BY_NAME
 from clickloom.plans.workspace import Workspace
@@ -67,15 +67,15 @@ REPORT_SOURCES = {
         "funnel_abandonment", "funnel_open_checks", "funnel_strict", "funnel_whole_period", "funnel_window_value",
         "cart_tracking_daily", "channel_performance", "channel_funnel", "channel_sources", "device_performance",
         "device_funnel_sessions", "device_funnel_users", "country_performance", "weekly_trend", "daily_trend",
-        "period_funnel", "period_channel_mix", "fact_sessions",
+        "period_funnel", "period_channel_mix",
     ),
     "history": (
         "new_vs_returning", "new_vs_returning_window", "returner_value", "retention_summary", "retention_by_channel",
         "retention_by_cohort_week", "sessions_per_user", "revenue_by_visit_number", "first_purchase_timing",
-        "period_summary", "fact_cohort_daily",
+        "period_summary",
     ),
     "items": (
-        "products_export", "product_groups", "product_quadrant_summary", "check_products", "fact_product_daily",
+        "products_export", "product_groups", "product_quadrant_summary", "check_products",
     ),
 }
 
@@ -83,7 +83,7 @@ REPORT_SOURCES = {
 # against few, item events against none).
 SECOND_SOURCES = {
     "clicks": ("new_vs_returning", "retention_summary", "revenue_by_visit_number", "first_purchase_timing", "sessions_per_user"),
-    "history": ("funnel_steps", "channel_performance", "country_performance", "weekly_trend", "daily_trend", "fact_sessions"),
+    "history": ("funnel_steps", "channel_performance", "country_performance", "weekly_trend", "daily_trend"),
     "items": ("check_sessions", "check_users", "dq_purchases", "device_performance", "period_summary"),
 }
 
@@ -101,9 +101,12 @@ TABLES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
         .agg(F.count(F.lit(1)).alias("users")),
     ),
     "sessions": ("clicks", lambda w: sessions.build_sessions(w.events, w.cfg, w.first_touch)),
-    "users": ("history", lambda w: w.users),
+    "users": ("history", lambda w: users.build_users(w.sessions, w.cfg)),
     "cart_window_sessions": ("clicks", lambda w: w.cart_sessions),
-    "cart_window_users": ("clicks", lambda w: w.cart_users),
+    "cart_window_users": ("clicks", lambda w: funnel.cart_window_users(w.cart_sessions)),
+    "fact_sessions": ("clicks", lambda w: facts.fact_sessions(w.sessions, w.users, w.cfg)),
+    "fact_cohort_daily": ("history", lambda w: facts.fact_cohort_daily(w.users, w.cfg)),
+    "fact_product_daily": ("items", lambda w: facts.fact_product_daily(w.item_activity, w.products, w.cfg)),
     "item_impressions": (
         "items",
         lambda w: product.item_impressions(w.raw, w.aliases, w.cfg),
@@ -116,11 +119,16 @@ TABLES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
     ),
     "product_quadrants": (
         "items",
-        lambda w: w.products.where("meets_view_floor").select(
-            "item_name", "quadrant", "median_impressions", "median_view_to_purchase_pct"
+        lambda w: product.product_quadrants(w.product_rates, w.cfg)
+        .where("meets_view_floor")
+        .select("item_name", "quadrant", "median_impressions", "median_view_to_purchase_pct"),
+    ),
+    "products": (
+        "items",
+        lambda w: product.product_quadrants(
+            product.product_rates(product.product_totals(w.item_activity, w.cfg), w.cfg), w.cfg
         ),
     ),
-    "products": ("items", lambda w: w.products),
 }
 
 

@@ -253,18 +253,24 @@ def revenue_by_visit_number(sessions: DataFrame, users: DataFrame) -> DataFrame:
         .agg(*counts)
     )
     every = sessions.select(*columns).join(user_types, "user_pseudo_id").groupBy("user_type").agg(*counts)
-    later = (
-        every.withColumn("visit_number", F.lit(3))
-        .unionByName(
-            early.select(
-                "user_type", *[(-F.col(m)).alias(m) for m in measures], F.lit(3).alias("visit_number")
+    # Each early visit counts for its own number and against the later visits.
+    early_twice = early.select(
+        "user_type",
+        F.inline(
+            F.array(
+                F.struct("visit_number", *measures),
+                F.struct(F.lit(3).alias("visit_number"), *[(-F.col(m)).alias(m) for m in measures]),
             )
-        )
+        ),
+    )
+    visits = (
+        every.withColumn("visit_number", F.lit(3))
+        .unionByName(early_twice)
         .groupBy("user_type", "visit_number")
         .agg(*[F.sum(m).alias(m) for m in measures])
         .where(F.col("sessions") > 0)
+        .withColumn("revenue", F.col("revenue").cast("double"))
     )
-    visits = early.unionByName(later).withColumn("revenue", F.col("revenue").cast("double"))
     label = (
         F.when(F.col("visit_number") == 1, "1st visit")
         .when(F.col("visit_number") == 2, "2nd visit")

@@ -54,6 +54,7 @@ def _fold_users(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
     per_user = rows.groupBy(*by, "user_pseudo_id").agg(
         *[F.sum(c).alias(c) for c in ("sessions", "purchasing_sessions", "orders", "revenue")], *more
     )
+    known = F.col("user_pseudo_id").isNotNull()
     return per_user.groupBy(*by).agg(
         F.count("user_pseudo_id").alias("users"),
         F.sum("sessions").alias("sessions"),
@@ -63,22 +64,18 @@ def _fold_users(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
         F.sum("revenue").cast("double").alias("revenue"),
         *[F.bit_or(c).alias(c) for c in per_user.columns if c == "weekdays"],
         *[F.max(c).alias(c) for c in per_user.columns if c == "last_day"],
+        *[F.sum(F.when(known, F.col(c))).alias(c) for c in per_user.columns if c == "user_days"],
     )
 
 
 def period_metrics(sessions: DataFrame, users: DataFrame, periods: DataFrame) -> DataFrame:
     """Unrounded totals and per-day rates of each period."""
-    user_days = _user_days(sessions)
     key = ["period_order", "period", "is_comparison", "start_date", "end_date"]
-    totals = _fold_users(in_period(user_days, periods, "session_date"), key)
-
-    daily_users = user_days.groupBy("session_date").agg(F.count("user_pseudo_id").alias("users"))
-    average = (
-        in_period(daily_users, periods, "session_date")
-        .groupBy("period_order")
-        .agg(F.sum("users").alias("user_days"), F.count(F.lit(1)).alias("days_seen"))
-        .select("period_order", ratio("user_days", "days_seen").alias("avg_daily_users"))
-    )
+    # The users of each day, added up over the days, are the user-days of the period.
+    in_periods = in_period(_user_days(sessions), periods, "session_date")
+    totals = _fold_users(in_periods, key, F.count(F.lit(1)).alias("user_days"))
+    dates = sessions.groupBy("session_date").agg(F.count(F.lit(1)).alias("sessions"))
+    average = in_period(dates, periods, "session_date").groupBy("period_order").agg(F.count(F.lit(1)).alias("days_seen"))
     starts = users.groupBy("first_visit_date").agg(F.count_if(F.col("user_type") == "new").alias("new_users"))
     started = (
         in_period(starts, periods, "first_visit_date")
@@ -92,6 +89,7 @@ def period_metrics(sessions: DataFrame, users: DataFrame, periods: DataFrame) ->
         .withColumn("days", days)
         .withColumns(
             {
+                "avg_daily_users": ratio("user_days", "days_seen"),
                 "sessions_per_day": ratio("sessions", "days"),
                 "orders_per_day": ratio("orders", "days"),
                 "revenue_per_day": ratio("revenue", "days"),
