@@ -60,7 +60,7 @@ def _steps_sql() -> str:
 
     return f"""
       SELECT * EXCLUDE (loss), CASE WHEN loss IS NOT NULL THEN
-               1 + (SELECT count(*) FROM (VALUES {stage_list}) z(o, label, diag, ref)
+               1 + (SELECT count(*)::INTEGER FROM (VALUES {stage_list}) z(o, label, diag, ref)
                     JOIN uc a ON a.o = z.o JOIN uc b ON b.o = z.ref
                     WHERE NOT z.diag AND (b.c - a.c) / b.c > loss) END AS users_drop_off_rank
       FROM (
@@ -334,7 +334,7 @@ def reports(source: str) -> dict[str, str]:
             JOIN usr u USING (uid) GROUP BY 1, 2)"""
 
     # Seasonality.
-    facts = f"""SELECT p.ord, p.label, p.cmp, p.b - p.a + 1 AS days, count(DISTINCT x.uid) AS u, count(*) AS c,
+    facts = f"""SELECT p.ord, p.label, p.cmp, (p.b - p.a + 1)::INTEGER AS days, count(DISTINCT x.uid) AS u, count(*) AS c,
                        {n("x.bought")} AS ps, count(DISTINCT x.uid) FILTER (WHERE x.bought) AS b, {s("x.orders")} AS o,
                        {m("x.revenue")} AS rv
                 FROM sess x JOIN period p ON x.d BETWEEN p.a AND p.b GROUP BY p.ord, p.label, p.cmp, p.a, p.b"""
@@ -361,7 +361,7 @@ def reports(source: str) -> dict[str, str]:
             JOIN (SELECT p.ord, {n("x.utype = 'new'")} AS nu FROM usr x
                   JOIN period p ON x.fd BETWEEN p.a AND p.b GROUP BY p.ord) USING (ord))"""
     out["weekly_trend"] = f"""
-      SELECT CAST(date_trunc('week', d) AS DATE) AS week_start, count(DISTINCT d) AS days_in_data,
+      SELECT CAST(date_trunc('week', d) AS DATE) AS week_start, count(DISTINCT d)::INTEGER AS days_in_data,
              count(DISTINCT uid) AS users, count(*) AS sessions, count(DISTINCT uid) FILTER (WHERE bought) AS buyers,
              {n("bought")} AS purchasing_sessions, {s("orders")} AS orders, {rm(m("revenue"))} AS revenue_usd,
              {pc(n("bought"), "count(*)", 3)} AS session_conversion_pct,

@@ -164,7 +164,7 @@ def statistics() -> dict[str, str]:
     )
     out["quadrant_leaders"] = on_reports(
         "items",
-        f"""SELECT quadrant, position, item_name, product_group, impressions, order_lines, view_to_purchase_pct,
+        f"""SELECT quadrant, position::INTEGER AS position, item_name, product_group, impressions, order_lines, view_to_purchase_pct,
                    {rm("revenue_usd")} AS revenue_usd
             FROM (SELECT *, row_number() OVER (PARTITION BY quadrant ORDER BY
                     CASE WHEN quadrant LIKE 'High%' THEN impressions ELSE revenue_usd END DESC, item_name) AS position
