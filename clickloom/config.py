@@ -90,7 +90,7 @@ ITEM_ALIASES = (
 
 QUADRANTS = ("Strong products", "High traffic, low conversion", "Hidden winners", "Weak products")
 
-# --- Funnel and calendar ------------------------------------------------------
+# --- Funnel and calendar (stage labels and periods are fixed values too) ---------
 
 
 @dataclass(frozen=True)

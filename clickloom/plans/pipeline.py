@@ -1,6 +1,8 @@
 """The whole job: raw events to tables, reports and CSV exports.
 
-    spark-submit -m clickloom.plans.pipeline RAW_EVENTS OUTPUT
+    python -m clickloom.plans.pipeline RAW_EVENTS OUTPUT
+
+On a cluster, submit this file with the package in --py-files.
 """
 
 from __future__ import annotations

@@ -22,14 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table that is only a few files out to all cores.
+def _spread(df: DataFrame, at_least: int = 32) -> DataFrame:
+    """Deal the rows of a table that is read by only a few tasks out to the cores.
 
-    A file with a single row group is read by one task.  A large table has files
-    enough and is left as it is.
+    A file with a single row group is read by one task.  A large table is read by
+    many and is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < min(cores, 16) else df
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, at_least)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def _micros(ts: Column) -> Column:

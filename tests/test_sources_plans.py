@@ -230,3 +230,15 @@ def test_product_measures_join_the_product_dimension_only_when_asked(spark):
     assert sum(r["Product Impressions"] for r in rows) == one(
         ws.products.agg(F.sum("impressions").alias("n"))
     )["n"]
+
+
+def test_command_line_builds_only_what_a_report_needs(spark, stored, tmp_path, capsys):
+    pipeline.main([stored, str(tmp_path), "--report", "funnel_steps"])
+    assert capsys.readouterr().out.split() == ["funnel_steps"]
+    assert (tmp_path / "reports" / "funnel_steps").is_dir()
+    assert sorted(p.name for p in (tmp_path / "tables").iterdir()) == [
+        "events_clean",
+        "first_touch",
+        "sessions",
+        "users_cart_window",
+    ]
