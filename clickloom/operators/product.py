@@ -60,21 +60,35 @@ def _items(events: DataFrame, keys: list[str], fields: dict[str, str], cfg: Anal
     )
 
 
-def item_impressions(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
-    """Each product shown, once per user and event time, under its canonical name.
+SHOWN = ["event_date", "item_name", "user_pseudo_id", "quarter_hour"]
+
+
+def _shown(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+    """Distinct impressions, partitioned by date, product, user and quarter of an hour.
 
     A name repeated inside an event is dropped before the event is exploded, which
-    leaves the distinct over all events little to remove.
+    leaves the distinct over all events little to remove.  Both the distinct and a
+    count by the partition columns then need no further shuffle, and even a product
+    that one user is shown all day is spread over a hundred partitions.
     """
     usable = F.filter("items.item_name", lambda n: _usable(n, cfg))
     names = F.array_distinct(F.transform(usable, _unescaped))
     events = raw.where(F.col("event_name") == "view_item").select(
-        "user_pseudo_id", "event_timestamp", raw_date().alias("event_date"), names.alias("names")
+        "user_pseudo_id",
+        "event_timestamp",
+        raw_date().alias("event_date"),
+        F.floor(F.col("event_timestamp") / 900_000_000).alias("quarter_hour"),
+        names.alias("names"),
     )
     shown = events.select(
-        "user_pseudo_id", "event_timestamp", "event_date", F.explode("names").alias("item_name")
+        "user_pseudo_id", "event_timestamp", "event_date", "quarter_hour", F.explode("names").alias("item_name")
     )
-    return _canonical(shown, aliases).distinct()
+    return _canonical(shown, aliases).repartition(*SHOWN).distinct()
+
+
+def item_impressions(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+    """Each product shown, once per user and event time, under its canonical name."""
+    return _shown(raw, aliases, cfg).select("user_pseudo_id", "event_timestamp", "event_date", "item_name")
 
 
 def item_cart_adds(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
@@ -123,11 +137,12 @@ def item_activity(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> D
     """Impressions, cart adds and order lines by date, product and user.
 
     The product table and the daily product facts are both sums over this one, so
-    the items of the raw events are taken apart once.
+    the items of the raw events are taken apart once.  It is not unique by its key:
+    what one key has may come in several rows.
     """
     keys = ["event_date", "item_name", "user_pseudo_id"]
     rows = F.count(F.lit(1))
-    shown = item_impressions(raw, aliases, cfg).groupBy(*keys).agg(rows.alias("impressions"))
+    shown = _shown(raw, aliases, cfg).groupBy(*SHOWN).agg(rows.alias("impressions"))
     added = item_cart_adds(raw, aliases, cfg).groupBy(*keys).agg(rows.alias("cart_adds"))
     bought = (
         item_purchases(raw, aliases, cfg)
