@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 from clickloom.schema import RAW_EVENTS
 
 
+def in_range(raw: DataFrame, first: date | None = None, last: date | None = None) -> DataFrame:
+    """The raw events of a range of days."""
+    if first is not None:
+        raw = raw.where(F.col("event_date") >= first.strftime("%Y%m%d"))
+    if last is not None:
+        raw = raw.where(F.col("event_date") <= last.strftime("%Y%m%d"))
+    return raw
+
+
 def read_events(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:
     """Raw events of a range of days.
 
     ``event_date`` is the partition column, so the range selects directories and
     the other days are never opened.
     """
-    events = spark.read.schema(RAW_EVENTS).parquet(path)
-    if first is not None:
-        events = events.where(F.col("event_date") >= first.strftime("%Y%m%d"))
-    if last is not None:
-        events = events.where(F.col("event_date") <= last.strftime("%Y%m%d"))
-    return events
+    return in_range(spark.read.schema(RAW_EVENTS).parquet(path), first, last)
 
 
 def write_events(raw: DataFrame, path: str) -> None:
