@@ -7,10 +7,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A word, in Java's and Python's notation: a run of characters other than space and \t \n \v \f \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors reach: ``spark.checkpoint.dir``; where that is unset, one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
