@@ -8,6 +8,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ RARE = 32
 MAP_BITS = 25
 #: Index entries or shingles that a bucket is meant for.
 BUCKET = 2_000_000
+#: Sets that are compared with one set in one place.
+PART = 256
 _PAIR = np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -50,10 +53,16 @@ def _buckets(n: int) -> int:
     return min(20, max(4, ceil(np.log2(max(n, 1) / BUCKET)) if n else 4))
 
 
-def _cuts(values: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket begins among sorted values; a bucket is a range of their top bits."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.r_[0, np.searchsorted(values, edges), len(values)]
+def _cut(values: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted values for buckets that have any; a bucket is a range of their top bits."""
+    top = values >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(top) else np.empty(0, int)
+    yield from zip(top[starts].tolist(), starts, np.r_[starts[1:], len(values)], strict=True)
+
+
+def _spread(key: str | None) -> int:
+    """One of a few dozen groups for narrow rows that need no group."""
+    return xxhash.xxh3_64_intdigest(key or "") % 61
 
 
 @dataclass(frozen=True)
@@ -110,13 +119,15 @@ class Scheme:
         return 100 * shared >= self.percent * (len(a) + len(b) - shared)
 
 
-def _sets(frames: Iterator[pd.DataFrame], chars: int = 1 << 23) -> Iterator[list[tuple[object, int, np.ndarray]]]:
-    """Batches of (key, set name, shingles) of the texts that have any."""
+def _sets(
+    frames: Iterator[pd.DataFrame], chars: int = 1 << 23, empty: bool = False
+) -> Iterator[list[tuple[object, int | None, np.ndarray]]]:
+    """Batches of (key, set name, shingles) of the texts that have any, or of all texts."""
     for frame in frames:
         keys, texts = frame["_key"].tolist(), frame["_text"].fillna("").tolist()
         for start, end in batches(texts, chars):
             found = ((k, shingles(t)) for k, t in zip(keys[start:end], texts[start:end], strict=True))
-            yield [(k, set_id(s), s) for k, s in found if len(s)]
+            yield [(k, set_id(s) if len(s) else None, s) for k, s in found if empty or len(s)]
 
 
 def _new(batch: list, seen: set[int]) -> list:
@@ -129,45 +140,40 @@ def _new(batch: list, seen: set[int]) -> list:
     return out
 
 
-def members(rows: DataFrame) -> DataFrame:
-    """(_key, node, size) of every row: its set's name and size (null and 0 where it has none)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingles(t) for t in frame["_text"].fillna("")]
-            nodes = pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64")
-            yield pd.DataFrame({"_key": frame["_key"], "node": nodes, "size": [len(s) for s in sets]})
-
-    return rows.mapInPandas(run, "_key string, node long, size long")
-
-
-def frequent_map(rows: DataFrame, total: int) -> np.ndarray:
-    """A map of the frequent shingles, by their top bits.
+def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
+    """(_key, node, size) of every row (its set's name and size; null and 0 without one), and the frequent shingles.
 
     Every task counts the shingles of its batches and sends them on by range of hash; a bucket adds them up and gives
-    its piece of the map, of fixed size.  A rare shingle that falls on the bit of a frequent one counts as frequent,
-    for every set alike, so that results do not depend on it.
+    its piece of a map by their top bits, of fixed size.  A rare shingle that falls on the bit of a frequent one counts
+    as frequent, for every set alike, so that results do not depend on it.
     """
     bits = _buckets(total)
     low = np.uint64(32 - bits)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for batch in _sets(frames):
-            batch = _new(batch, seen)
-            if not batch:
-                continue
-            values, n = np.unique(np.concatenate([s for _, _, s in batch]), return_counts=True)
-            cuts, out = _cuts(values, bits), []
-            for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if lo < hi:
+        for batch in _sets(frames, empty=True):
+            out = []
+            known = [node for _, node, _ in batch], [len(s) for _, _, s in batch]
+            out.append((-1 - _spread(batch[0][0]), None, None, [k for k, _, _ in batch], *known))
+            batch = _new([row for row in batch if len(row[2])], seen)
+            if batch:
+                values = np.sort(np.concatenate([s for _, _, s in batch]))
+                first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+                n = np.diff(np.r_[first, len(values)]).astype(np.uint32)
+                values = values[first]
+                for k, lo, hi in _cut(values, bits):
                     short = (values[lo:hi] >> low).astype(np.uint32)  # what the bucket leaves open
-                    out.append((k, _pack_sorted(short), _pack(n[lo:hi].astype(np.uint32))))
-            yield pd.DataFrame(out, columns=["bucket", "part", "n"])
+                    out.append((k, _pack_sorted(short), _pack(n[lo:hi]), None, None, None))
+            yield pd.DataFrame(out, columns=["bucket", "part", "n", "keys", "nodes", "sizes"])
 
     piece = max(1, (1 << MAP_BITS) >> bits)
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
+        bucket = parts["bucket"].iloc[0]
+        if bucket < 0:
+            out = pd.DataFrame({c: [x for xs in parts[f"{c}s"] for x in xs] for c in ("key", "node", "size")})
+            return out.rename(columns={"key": "_key"}).assign(bucket=bucket, marks=None, node=out["node"].astype("Int64"))
         short = np.concatenate([_unpack_sorted(b, np.uint32) for b in parts["part"]])
         n = np.concatenate([_unpack(b, np.uint32) for b in parts["n"]])
         order = np.argsort(short, kind="stable")
@@ -176,13 +182,17 @@ def frequent_map(rows: DataFrame, total: int) -> np.ndarray:
         often = short[starts][np.add.reduceat(n, starts) > RARE]
         mark = np.zeros(piece, bool)
         mark[(often.astype(np.uint64) * np.uint64(piece)) >> np.uint64(32)] = True
-        return pd.DataFrame({"bucket": parts["bucket"].iloc[:1], "marks": [np.packbits(mark).tobytes()]})
+        empty = {"_key": [None], "node": pd.array([None], dtype="Int64"), "size": [0]}
+        return pd.DataFrame({"bucket": [bucket], "marks": [np.packbits(mark).tobytes()], **empty})
 
-    found = rows.mapInPandas(count, "bucket int, part binary, n binary").groupBy("bucket")
+    kinds = "bucket int, part binary, n binary, keys array<string>, nodes array<long>, sizes array<long>"
+    found = rows.mapInPandas(count, kinds).groupBy("bucket")
+    kinds = "_key string, node long, size long, bucket int, marks binary"
+    found = stored(found.applyInPandas(lambda x: add(x)[["_key", "node", "size", "bucket", "marks"]], kinds), "profile")
     out = np.zeros(1 << MAP_BITS, bool)
-    for r in found.applyInPandas(add, "bucket int, marks binary").collect():
+    for r in found.where("bucket >= 0").select("bucket", "marks").collect():
         out[r["bucket"] * piece : (r["bucket"] + 1) * piece] = np.unpackbits(np.frombuffer(r["marks"], np.uint8))[:piece]
-    return np.packbits(out)
+    return found.where("bucket < 0").select("_key", "node", "size"), np.packbits(out)
 
 
 def _marked(marks: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -200,7 +210,7 @@ def postings(rows: DataFrame, marks: np.ndarray, scheme: Scheme, total: int) ->
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks, seen = np.frombuffer(shared.value, np.uint8), set()
-        for batch in _sets(frames):
+        for batch in _sets(frames, 1 << 22):
             batch = _new(batch, seen)
             if not batch:
                 continue
@@ -211,18 +221,19 @@ def postings(rows: DataFrame, marks: np.ndarray, scheme: Scheme, total: int) ->
             key, owner = key[order], owner[order]
             nodes = np.array([node for _, node, _ in batch], np.int64)
             sizes = np.array([len(s) for _, _, s in batch], np.int64)
-            cuts, out = _cuts(key, bits), []
-            for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if lo < hi:
-                    used, at = np.unique(owner[lo:hi], return_inverse=True)
-                    out.append((k, _pack_sorted(key[lo:hi]), _pack(at.astype(np.uint32)), _pack(nodes[used]), _pack(sizes[used])))
+            out = []
+            for k, lo, hi in _cut(key, bits):
+                # 32 bits of a key beside its bucket: keys that share them make candidates, which are compared.
+                short = (key[lo:hi] >> np.uint64(32 - bits)).astype(np.uint32)
+                used, at = np.unique(owner[lo:hi], return_inverse=True)
+                out.append((k, _pack_sorted(short), _pack(at.astype(np.uint16)), _pack(nodes[used]), _pack(sizes[used])))
             yield pd.DataFrame(out, columns=["bucket", "key", "owner", "node", "size"])
 
     def meet(parts: pd.DataFrame) -> pd.DataFrame:
         key, node, size = [], [], []
         for k, o, n, s in zip(parts["key"], parts["owner"], parts["node"], parts["size"], strict=True):
-            at = _unpack(o, np.uint32)
-            key.append(_unpack_sorted(k, np.uint64))
+            at = _unpack(o, np.uint16)
+            key.append(_unpack_sorted(k, np.uint32))
             node.append(_unpack(n, np.int64)[at])
             size.append(_unpack(s, np.int64)[at])
         key, node, size = (np.concatenate(x) for x in (key, node, size))
@@ -324,10 +335,18 @@ def _key_map(keys: DataFrame) -> bytes:
     return b"".join(out)
 
 
+def _pack_set(tokens: np.ndarray) -> bytes:
+    """48 bits of each shingle, as many as tell those of two sets apart."""
+    return _pack_sorted(tokens >> np.uint64(16))
+
+
 def set_table(rows: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) of the wanted nodes, made again from the text of one document of each."""
+    """(node, tokens) of the wanted nodes, made again from the text of one document of each.
+
+    A few nodes may be there that are not wanted, and repeated rows may give a node twice; pairs do not mind.
+    """
     first = known.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("_key").alias("_rep"))
-    first = stored(first.join(wanted.select(F.col("node").alias("_w")), F.col("node") == F.col("_w")).drop("_w"), "first")
+    first = first.join(wanted.select(F.col("node").alias("_w")), F.col("node") == F.col("_w"))
     marks = rows.sparkSession.sparkContext.broadcast(_key_map(first.select(F.xxhash64("_rep").alias("h"))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,29 +357,40 @@ def set_table(rows: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame
                 yield frame[_marked(at, frame["h"].to_numpy().view(np.uint64))]
 
         for batch in _sets(chosen()):
-            new = [(k, node, s.tobytes()) for k, node, s in _new(batch, seen)]
-            yield pd.DataFrame(new, columns=["_key", "node", "tokens"])
+            new = [(node, _pack_set(s)) for _, node, s in _new(batch, seen)]
+            yield pd.DataFrame(new, columns=["node", "tokens"])
 
-    made = rows.withColumn("h", F.xxhash64("_key")).mapInPandas(run, "_key string, node long, tokens binary")
-    named = first.select(F.col("node").alias("_node"))
-    made = made.select("node", "tokens").join(named, F.col("node") == F.col("_node")).drop("_node")
-    return stored(made.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    return stored(rows.withColumn("h", F.xxhash64("_key")).mapInPandas(run, "node long, tokens binary"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    """The pairs (a, b) whose sets are similar.
+
+    The sets of all b of an a are sent to where the set of a is; an a with many is dealt out, its set to each part.
+    """
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
+    many = stored(many.select(F.col("a").alias("_a"), F.ceil(F.col("n") / PART).alias("parts")), "many")
+    dealt = pairs.join(many, F.col("a") == F.col("_a"), "left")
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = stored(dealt.select("a", salt.alias("salt"), "b"), "dealt")
+    ends = dealt.select("a", "salt", F.lit(True).alias("own"), F.col("a").alias("node")).distinct()
+    ends = ends.union(dealt.select("a", "salt", F.lit(False), "b"))
+    named = sets.withColumnRenamed("node", "_node")
+    sent = ends.join(named, F.col("node") == F.col("_node")).drop("_node")
+    sent = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = np.empty(0, np.uint64)
         for frame in frames:
-            ok = [
-                scheme.similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                for x, y in zip(frame["ta"], frame["tb"], strict=True)
-            ]
-            yield frame.loc[np.array(ok, bool), ["a", "b"]]
+            out = []
+            for a, own, b, packed in zip(*(frame[c].tolist() for c in ("a", "own", "node", "tokens")), strict=True):
+                if own:
+                    tokens = _unpack_sorted(packed, np.uint64)
+                elif scheme.similar(tokens, _unpack_sorted(packed, np.uint64)):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    return joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return sent.select("a", "own", "node", "tokens").mapInPandas(run, "a long, b long")
 
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -379,9 +409,9 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", perce
     scheme = Scheme(percent)
     kind = df.schema[key].dataType
     rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
-    known = stored(members(rows), "members")
-    total = known.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    marks = frequent_map(rows, total)
+    letters = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("n")).first()["n"]
+    total = letters // 6  # shingles, about: it only sizes the buckets
+    known, marks = profiled(rows, total)
     runs = stored(postings(rows, marks, scheme, total), "postings")
     wanted = runs.select(F.explode("nodes").alias("node")).distinct()
     sets = set_table(rows, known, wanted)

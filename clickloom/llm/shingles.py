@@ -17,17 +17,55 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class _Words(dict):
-    """Hash of each word met, at most half a million at a time."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0xD1342543DE82EF95
+_BLOCK = 1 << 18
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
 
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest block so far needs."""
 
-_WORDS = _Words()
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 1 << 12, 2 * len(self.up))
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                factors = np.full(size, base, np.uint64)
+                factors[0] = 1
+                setattr(self, name, np.cumprod(factors, dtype=np.uint64))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of every word of a block: its polynomial in the base, from running sums over all bytes at once."""
+    space = np.r_[True, _SPACE[data], True]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _POWERS.upto(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word, in order.  Long texts go block by block, cut at white space."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    if len(data) <= _BLOCK:
+        return _hashes(data)
+    breaks = np.flatnonzero(_SPACE[data])
+    out, at = [], 0
+    while at < len(data):
+        i = np.searchsorted(breaks, at + _BLOCK)  # the first white space after a block's length
+        end = int(breaks[i]) + 1 if i < len(breaks) else len(data)
+        out.append(_hashes(data[at:end]))
+        at = end
+    return np.concatenate(out)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -36,18 +74,18 @@ def shingles(text: str | None) -> np.ndarray:
     Words are runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return, with
     A-Z in lower case.  Fewer than five words are one shingle; without words there is none.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
+    w = word_hashes(text) if text else np.empty(0, np.uint64)
+    n = len(w)
     if not n:
-        return np.empty(0, np.uint64)
-    w = mixed(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n))
+        return w
     if n < SIZE:
-        return mixed((w * _ODD[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n) * _LENGTH)
+        return mixed((w * _ODD[:n]).sum(keepdims=True, dtype=np.uint64) + np.array([n], np.uint64) * _LENGTH)
     m = n - SIZE + 1
     h = w[:m] * _ODD[0]
     for k in range(1, SIZE):
-        h = h + w[k : k + m] * _ODD[k]
-    return np.unique(mixed(h))
+        h += w[k : k + m] * _ODD[k]
+    h = np.sort(mixed(h))
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def set_id(tokens: np.ndarray) -> int:
