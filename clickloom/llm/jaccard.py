@@ -88,8 +88,8 @@ class Scheme:
         both = n + self.least(n)
         return -(-both * (2 * self.percent - 100) // (100 + self.percent)) - 1 + rare
 
-    def keys(self, tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """Index keys of a set of sorted shingles.
+    def keys(self, tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Index keys of a set of sorted shingles, and whether its prefix reaches into the frequent ones.
 
         The order of shingles is: rare ones by hash, then frequent ones by hash.  Similar sets share a shingle of
         their prefixes, n - least(n) + 1 shingles.  If they share a rare one, it is a key of both.  If not, both
@@ -102,13 +102,25 @@ class Scheme:
         prefix = n - self.least(n) + 1
         rare, often = tokens[~frequent], tokens[frequent]
         if len(rare) >= prefix:
-            return rare[:prefix]
+            return rare[:prefix], False
         pairs = np.sort(mixed(often[:-1] * _PAIR + often[1:]))
         common = self.shared_pairs(n, len(rare))
         keys = [rare, pairs[: max(0, len(pairs) - max(common, 1) + 1)]]
         if any(self.shared_pairs(m, 0) < 1 for m in range(self.least(n), min(n * 100 // self.percent, 64) + 1)):
             keys.append(often)
-        return np.unique(np.concatenate(keys))
+        return np.unique(np.concatenate(keys)), True
+
+    def enough(self, w: Column, x: Column, y: Column) -> Column:
+        """Whether sets with traits x and y that share w keys can be similar.
+
+        What two sets share beyond the end of a prefix is at most what the longer rest holds, least(n) - 1.  So of the
+        (n + m) p / (100 + p) shingles that similar sets share, all others are keys of both, unless both prefixes
+        reach into the frequent shingles; then one key will do.
+        """
+        n, m = F.shiftright(x, 1), F.shiftright(y, 1)
+        shared = F.ceil((n + m) * self.percent / (100 + self.percent) - 1e-9)
+        rest = F.ceil(F.greatest(n, m) * self.percent / 100 - 1e-9) - 1
+        return ((x.bitwiseAND(y).bitwiseAND(1)) == 1) | (w >= shared - rest)
 
     def fits(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Whether sets of these sizes can be similar."""
@@ -201,9 +213,10 @@ def _marked(marks: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def postings(rows: DataFrame, marks: np.ndarray, scheme: Scheme, total: int) -> DataFrame:
-    """(run, nodes, sizes): the sets that share a key, for every different list of two sets or more.
+    """(run, n, nodes, traits): the sets that share a key, for every different list of two sets or more.
 
-    Index entries go by range of key to buckets, of which there are the more the more entries there are.
+    n is the number of keys that have the list (in a bucket); a trait is twice a set's size, and one more if its
+    prefix reaches into the frequent shingles.  Index entries go by range of key to buckets, of which there are the more the more entries there are.
     """
     bits = _buckets(total // 3)
     shared = rows.sparkSession.sparkContext.broadcast(marks.tobytes())
@@ -214,13 +227,13 @@ def postings(rows: DataFrame, marks: np.ndarray, scheme: Scheme, total: int) ->
             batch = _new(batch, seen)
             if not batch:
                 continue
-            keys = [scheme.keys(s, _marked(marks, s)) for _, _, s in batch]
+            keys, heavy = zip(*(scheme.keys(s, _marked(marks, s)) for _, _, s in batch), strict=True)
             owner = np.repeat(np.arange(len(batch), dtype=np.uint32), [len(k) for k in keys])
             key = np.concatenate(keys)
             order = np.argsort(key, kind="stable")
             key, owner = key[order], owner[order]
             nodes = np.array([node for _, node, _ in batch], np.int64)
-            sizes = np.array([len(s) for _, _, s in batch], np.int64)
+            sizes = np.array([2 * len(s) + h for (_, _, s), h in zip(batch, heavy, strict=True)], np.int64)
             out = []
             for k, lo, hi in _cut(key, bits):
                 # 32 bits of a key beside its bucket: keys that share them make candidates, which are compared.
@@ -244,79 +257,88 @@ def postings(rows: DataFrame, marks: np.ndarray, scheme: Scheme, total: int) ->
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[starts, len(key)])
         run = mixed(np.add.reduceat(mixed(node.view(np.uint64)), starts) + n.astype(np.uint64)).view(np.int64)
-        _, one = np.unique(run, return_index=True)
-        one = one[n[one] > 1]
-        out = [(run[i], node[starts[i] : starts[i] + n[i]], size[starts[i] : starts[i] + n[i]]) for i in one]
-        return pd.DataFrame(out, columns=["run", "nodes", "sizes"])
+        _, one, times = np.unique(run, return_index=True, return_counts=True)
+        at = [(i, t, slice(starts[i], starts[i] + n[i])) for i, t in zip(one, times, strict=True) if n[i] > 1]
+        out = [(run[i], t, node[s], size[s]) for i, t, s in at]
+        return pd.DataFrame(out, columns=["run", "n", "nodes", "traits"])
 
     kinds = "bucket int, key binary, owner binary, node binary, size binary"
     found = rows.mapInPandas(index, kinds).groupBy("bucket")
-    return found.applyInPandas(meet, "run long, nodes array<long>, sizes array<long>")
+    return found.applyInPandas(meet, "run long, n long, nodes array<long>, traits array<long>")
+
+
+_PAIRS = "a long, b long, x long, y long, w long"
+
+
+def _pairs_frame(found: list[tuple]) -> pd.DataFrame:
+    """Distinct pairs (a < b) with their traits (x, y), and the keys they share (w), from (nodes, traits, nodes, traits, n)."""
+    if not found:
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in "abxyw"})
+    a, x, b, y = (np.concatenate([np.broadcast_to(f[i], np.shape(f[2])) for f in found]) for i in range(4))
+    w = np.repeat([f[4] for f in found], [len(f[2]) for f in found])
+    turn = a > b
+    frame = {"a": np.where(turn, b, a), "b": np.where(turn, a, b), "x": np.where(turn, y, x), "y": np.where(turn, x, y)}
+    return pd.DataFrame(frame | {"w": w}).groupby(["a", "b"], as_index=False).agg({"x": "first", "y": "first", "w": "sum"})
 
 
-def _pairs_frame(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
-    """Distinct pairs (smaller, larger)."""
-    if not a:
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    x, y = np.concatenate(a), np.concatenate(b)
-    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+def _counted(pairs: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs that share keys enough."""
+    total = pairs.groupBy("a", "b").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.sum("w").alias("w"))
+    return total.where(scheme.enough(F.col("w"), F.col("x"), F.col("y"))).select("a", "b")
 
 
 def to_pivots(runs: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs (a, b) of each posting's members with a pivot of it that they fit in size: as many as there are members.
 
     The pivot is the smallest node, so that postings of one group mostly share it; members that cannot be similar to
-    it choose a pivot among themselves.
+    it choose a pivot among themselves.  Keys are counted where the pivot is the same, so a pair may fall short.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            a, b = [], []
-            for nodes, sizes in zip(frame["nodes"], frame["sizes"], strict=True):
-                nodes, sizes = np.asarray(nodes), np.asarray(sizes)
+            found = []
+            for n, nodes, traits in zip(frame["n"], frame["nodes"], frame["traits"], strict=True):
                 while len(nodes) > 1:
                     p = nodes.argmin()
-                    fit = scheme.fits(sizes, sizes[p])
+                    fit = scheme.fits(traits >> 1, traits[p] >> 1)
                     fit[p] = False
-                    a.append(np.full(fit.sum(), nodes[p]))
-                    b.append(nodes[fit])
+                    if fit.any():
+                        found.append((nodes[p], traits[p], nodes[fit], traits[fit], n))
                     fit[p] = True
-                    nodes, sizes = nodes[~fit], sizes[~fit]
-            yield _pairs_frame(a, b)
+                    nodes, traits = nodes[~fit], traits[~fit]
+            yield _pairs_frame(found)
 
-    return runs.mapInPandas(run, "a long, b long").distinct()
+    return _counted(runs.select("n", "nodes", "traits").mapInPandas(run, _PAIRS), scheme)
 
 
 def across(runs: DataFrame, reached: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b) in the postings whose sets are not yet in one component and fit in size."""
-    entries = runs.select("run", F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
-    entries = entries.select("run", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("size")).distinct()
+    """Pairs (a, b) in the postings whose sets are not yet in one component, fit in size and share keys enough."""
+    lists = runs.groupBy("run").agg(F.sum("n").alias("n"), F.first(F.arrays_zip("nodes", "traits")).alias("m"))
+    entries = lists.select("run", "n", F.explode("m").alias("m")).select("run", "n", "m.nodes", "m.traits")
     known = reached.select(F.col("node").alias("_node"), "component")
-    entries = entries.join(known, F.col("node") == F.col("_node"), "left")
-    entries = stored(entries.select("run", "node", "size", F.coalesce("component", "node").alias("c")), "entries")
-    mixed_runs = entries.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    mixed_runs = mixed_runs.select(F.col("run").alias("_run"))
-    left = entries.join(mixed_runs, F.col("run") == F.col("_run")).drop("_run")
-    lists = left.groupBy("run").agg(F.collect_list(F.struct("node", "size", "c")).alias("m"))
-    lists = lists.select("run", F.col("m.node").alias("nodes"), F.col("m.size").alias("sizes"), F.col("m.c").alias("cs"))
+    entries = entries.join(known, F.col("nodes") == F.col("_node"), "left")
+    entries = entries.select("run", "n", "nodes", "traits", F.coalesce("component", "nodes").alias("c"))
+    entries = stored(entries, "entries")
+    several = entries.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    left = entries.join(several.select(F.col("run").alias("_run")), F.col("run") == F.col("_run")).drop("_run")
+    lists = left.groupBy("run", "n").agg(F.collect_list(F.struct("nodes", "traits", "c")).alias("m"))
+    lists = lists.select("n", "m.nodes", "m.traits", "m.c")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            a, b = [], []
-            for nodes, sizes, cs in zip(frame["nodes"], frame["sizes"], frame["cs"], strict=True):
-                nodes, sizes, cs = np.asarray(nodes), np.asarray(sizes), np.asarray(cs)
-                order = np.argsort(sizes, kind="stable")
-                nodes, sizes, cs = nodes[order], sizes[order], cs[order]
+            found = []
+            for n, nodes, traits, cs in zip(*(frame[c] for c in ("n", "nodes", "traits", "c")), strict=True):
+                order = np.argsort(traits, kind="stable")
+                nodes, traits, cs = nodes[order], traits[order], cs[order]
+                sizes = traits >> 1
                 ends = np.searchsorted(sizes, sizes * 100 // scheme.percent, side="right")
                 for i, end in enumerate(ends.tolist()):  # partners of i are no smaller, and fit
                     other = np.flatnonzero(cs[i + 1 : end] != cs[i]) + i + 1
                     if len(other):
-                        a.append(np.full(len(other), nodes[i]))
-                        b.append(nodes[other])
-            yield _pairs_frame(a, b)
+                        found.append((nodes[i], traits[i], nodes[other], traits[other], n))
+            yield _pairs_frame(found)
 
-    return lists.mapInPandas(run, "a long, b long").distinct()
+    return _counted(lists.mapInPandas(run, _PAIRS), scheme)
 
 
 def _key_map(keys: DataFrame) -> bytes:
@@ -340,13 +362,14 @@ def _pack_set(tokens: np.ndarray) -> bytes:
     return _pack_sorted(tokens >> np.uint64(16))
 
 
-def set_table(rows: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) of the wanted nodes, made again from the text of one document of each.
+def set_table(rows: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, tokens) of the nodes in the pairs, made again from the text of one document of each.
 
     A few nodes may be there that are not wanted, and repeated rows may give a node twice; pairs do not mind.
     """
     first = known.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("_key").alias("_rep"))
-    first = first.join(wanted.select(F.col("node").alias("_w")), F.col("node") == F.col("_w"))
+    wanted = pairs.select(F.col("a").alias("_w")).union(pairs.select("b")).distinct()
+    first = first.join(wanted, F.col("node") == F.col("_w"))
     marks = rows.sparkSession.sparkContext.broadcast(_key_map(first.select(F.xxhash64("_rep").alias("h"))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -413,14 +436,11 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", perce
     total = letters // 6  # shingles, about: it only sizes the buckets
     known, marks = profiled(rows, total)
     runs = stored(postings(rows, marks, scheme, total), "postings")
-    wanted = runs.select(F.explode("nodes").alias("node")).distinct()
-    sets = set_table(rows, known, wanted)
     pairs = stored(to_pivots(runs, scheme), "pairs")
-    links = stored(verified(pairs, sets, scheme), "similar")
-    reached = components(links)
-    more = across(runs, reached, scheme)
+    links = stored(verified(pairs, set_table(rows, known, pairs), scheme), "similar")
+    more = across(runs, components(links), scheme)
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(stored(verified(more, sets, scheme), "similar"))
+    links = links.union(stored(verified(more, set_table(rows, known, more), scheme), "similar"))
     return _told(known, links, key, kind)
 
 
