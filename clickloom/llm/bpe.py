@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from clickloom.llm.common import as_text
 from clickloom.llm.numpy_bpe import loaded
-from clickloom.llm.units import batches, split_units
+from clickloom.llm.units import UnitCache, batches, split_units
 
 
 def _ids(texts: list[str], path: str) -> Iterator[list[int]]:
@@ -25,6 +26,18 @@ def _ids(texts: list[str], path: str) -> Iterator[list[int]]:
             yield list(chain.from_iterable(cache.values(u)))
 
 
+@lru_cache(maxsize=2)
+def _told(path: str) -> UnitCache:
+    """For each unit: the number of its ids, the ids in decimal, and the bytes that they decode to."""
+    bpe, _ = loaded(path)
+
+    def told(units: list[str]) -> list[tuple[int, bytes, bytes]]:
+        ids = bpe.encode_units(units)
+        return [(len(i), ",".join([bpe.decimal[k] for k in i]).encode(), bpe.decode(i).encode()) for i in ids]
+
+    return UnitCache(told)
+
+
 def encoded(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the token ids of each whole text (null text: no ids)."""
 
@@ -56,14 +69,18 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     kind = df.schema[key].dataType
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, _ = loaded(path)
-        decimal = bpe.decimal
+        cache = _told(path)
         for frame in frames:
-            rows = []
-            for ids in _ids(frame["_text"].fillna("").tolist(), path):
-                joined = ",".join(map(decimal.__getitem__, ids)).encode()
-                back = bpe.decode(ids).encode()
-                rows.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest()))
+            texts, rows = frame["_text"].fillna("").tolist(), []
+            for start, end in batches(texts):
+                units = [split_units(t) for t in texts[start:end]]
+                cache.add(units)
+                for u in units:
+                    told = cache.values(u)
+                    joined = b",".join([d for _, d, _ in told if d])
+                    back = b"".join([t for _, _, t in told])
+                    n = sum([k for k, _, _ in told])
+                    rows.append((n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "_key", frame["_key"].to_numpy())
             yield out

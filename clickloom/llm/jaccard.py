@@ -166,7 +166,8 @@ def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
         seen: set[int] = set()
         for batch in _sets(frames, empty=True):
             out = []
-            known = [node for _, node, _ in batch], [len(s) for _, _, s in batch]
+            # Without nulls, which pandas would meet by turning the whole numbers into floats.
+            known = [node or 0 for _, node, _ in batch], [len(s) for _, _, s in batch]
             out.append((-1 - _spread(batch[0][0]), None, None, [k for k, _, _ in batch], *known))
             batch = _new([row for row in batch if len(row[2])], seen)
             if batch:
@@ -185,7 +186,7 @@ def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
         bucket = parts["bucket"].iloc[0]
         if bucket < 0:
             out = pd.DataFrame({c: [x for xs in parts[f"{c}s"] for x in xs] for c in ("key", "node", "size")})
-            return out.rename(columns={"key": "_key"}).assign(bucket=bucket, marks=None, node=out["node"].astype("Int64"))
+            return out.rename(columns={"key": "_key"}).assign(bucket=bucket, marks=None)
         short = np.concatenate([_unpack_sorted(b, np.uint32) for b in parts["part"]])
         n = np.concatenate([_unpack(b, np.uint32) for b in parts["n"]])
         order = np.argsort(short, kind="stable")
@@ -194,7 +195,7 @@ def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
         often = short[starts][np.add.reduceat(n, starts) > RARE]
         mark = np.zeros(piece, bool)
         mark[(often.astype(np.uint64) * np.uint64(piece)) >> np.uint64(32)] = True
-        empty = {"_key": [None], "node": pd.array([None], dtype="Int64"), "size": [0]}
+        empty = {"_key": [None], "node": [0], "size": [0]}
         return pd.DataFrame({"bucket": [bucket], "marks": [np.packbits(mark).tobytes()], **empty})
 
     kinds = "bucket int, part binary, n binary, keys array<string>, nodes array<long>, sizes array<long>"
@@ -204,7 +205,8 @@ def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
     out = np.zeros(1 << MAP_BITS, bool)
     for r in found.where("bucket >= 0").select("bucket", "marks").collect():
         out[r["bucket"] * piece : (r["bucket"] + 1) * piece] = np.unpackbits(np.frombuffer(r["marks"], np.uint8))[:piece]
-    return found.where("bucket < 0").select("_key", "node", "size"), np.packbits(out)
+    node = F.when(F.col("size") > 0, F.col("node")).alias("node")
+    return found.where("bucket < 0").select("_key", node, "size"), np.packbits(out)
 
 
 def _marked(marks: np.ndarray, tokens: np.ndarray) -> np.ndarray:

@@ -19,14 +19,41 @@ from clickloom.llm.tokens import library
 from clickloom.llm.units import UnitCache, batches, split_units
 
 
-@lru_cache(maxsize=2)
-def _loaded(path: str) -> UnitCache:
-    tokenizer = library(path)
+class UnitIds:
+    """Ids (32-bit, as bytes) of units, encoded many at a time.
+
+    Plain units, a space and then no other, are joined to one text: each begins with the only token in it
+    whose first byte is a space, so the ids are cut there.  All others are encoded alone.
+    """
 
-    def ids(units: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def __init__(self, path: str, together: int = 500):
+        self.tokenizer = library(path)
+        self.together = together
+        spaced = [i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[spaced] = True
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, units: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(units)
+        plain, other = [], []
+        for i, u in enumerate(units):
+            (plain if u[:1] == " " and " " not in u[1:] and "<|" not in u else other).append(i)
+        groups = [plain[i : i + self.together] for i in range(0, len(plain), self.together)]
+        for group, ids in zip(groups, self.ids(["".join(units[i] for i in g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")]) * 4
+            for i, lo, hi in zip(group, cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True):
+                out[i] = ids[lo:hi]
+        for i, ids in zip(other, self.ids([units[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
 
-    return UnitCache(ids)
+
+@lru_cache(maxsize=2)
+def _loaded(path: str) -> UnitCache:
+    return UnitCache(UnitIds(path))
 
 
 def pieces(
