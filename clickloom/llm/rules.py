@@ -36,8 +36,8 @@ def words_of(text: Column) -> Column:
 
 def _windows(words: Column) -> Column:
     """A hash of every three neighbouring words."""
-    three = lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
-    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), three)
+    some = lambda w: F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+    return _let(words, lambda w: F.transform(some(w), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
 
 
 def _repeated_words(windows: Column) -> Column:
@@ -164,7 +164,8 @@ def cleaned(df: DataFrame, text: str = "text", host: str = "source", chars: str
 
     Texts without such a line stay as they are; where one goes, ``chars`` (if the table has it) is counted anew.
     """
-    rows = measured(df, text)
+    # Stored, so that the measures are taken once, and not again inside the filter that Spark would push below them.
+    rows = stored(measured(df, text), "measures")
     frequent = boilerplate(rows, host)
     kept = judged(rows, frequent, host).where("_kept")
     stays = lambda x: ~(has_word(x) & F.array_contains(F.col("_frequent"), line_hash(x)))
