@@ -63,6 +63,13 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_a_key(spark):
+    data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [0.01, 1.0]), (4, [1.0, 0.01]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in vectors.near_duplicates(df).where("vec_id is not null").collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False)]
+
+
 def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
