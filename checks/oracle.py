@@ -334,10 +334,10 @@ def reports(source: str) -> dict[str, str]:
             JOIN usr u USING (uid) GROUP BY 1, 2)"""
 
     # Seasonality.
-    facts = f"""SELECT p.ord, p.label, p.cmp, (p.b - p.a + 1)::INTEGER AS days, count(DISTINCT x.uid) AS u, count(*) AS c,
-                       {n("x.bought")} AS ps, count(DISTINCT x.uid) FILTER (WHERE x.bought) AS b, {s("x.orders")} AS o,
-                       {m("x.revenue")} AS rv
-                FROM sess x JOIN period p ON x.d BETWEEN p.a AND p.b GROUP BY p.ord, p.label, p.cmp, p.a, p.b"""
+    facts = f"""SELECT p.ord, p.label, p.cmp, (p.b - p.a + 1)::INTEGER AS days, count(DISTINCT x.uid) AS u, count(x.d) AS c,
+                       {n("x.bought")} AS ps, count(DISTINCT x.uid) FILTER (WHERE x.bought) AS b,
+                       coalesce({s("x.orders")}, 0) AS o, coalesce({m("x.revenue")}, 0) AS rv
+                FROM period p LEFT JOIN sess x ON x.d BETWEEN p.a AND p.b GROUP BY p.ord, p.label, p.cmp, p.a, p.b"""
     changes = (
         ("daily_users", "du"), ("sessions_per_day", "c / days"), ("orders_per_day", "o / days"),
         ("revenue_per_day", "rv / days"), ("conversion", "100 * ps / c"), ("aov", "rv / nullif(o, 0)"),
@@ -349,17 +349,17 @@ def reports(source: str) -> dict[str, str]:
     )
     out["period_summary"] = f"""
       SELECT ord AS period_order, label AS period, cmp AS is_comparison, days, u AS users, {r("du", 0)} AS avg_daily_users,
-             c AS sessions, {q("c", "days", 0)} AS sessions_per_day, {pc("nu", "u")} AS pct_users_new_in_period,
+             c AS sessions, {q("c", "days", 0)} AS sessions_per_day, {pc("coalesce(nu, 0)", "u")} AS pct_users_new_in_period,
              ps AS purchasing_sessions, b AS buyers, o AS orders, {q("o", "days", 1)} AS orders_per_day,
              {rm("rv")} AS revenue_usd, {q("rv", "days", 0)} AS revenue_per_day,
              {pc("ps", "c", 3)} AS session_conversion_pct, {pc("b", "u", 3)} AS user_conversion_pct,
              {q("rv", "o", 2)} AS aov, {diffs}
       FROM (SELECT *, {bases}
             FROM ({facts})
-            JOIN (SELECT p.ord, avg(y.u) AS du FROM (SELECT d, count(DISTINCT uid) AS u FROM sess GROUP BY d) y
-                  JOIN period p ON y.d BETWEEN p.a AND p.b GROUP BY p.ord) USING (ord)
-            JOIN (SELECT p.ord, {n("x.utype = 'new'")} AS nu FROM usr x
-                  JOIN period p ON x.fd BETWEEN p.a AND p.b GROUP BY p.ord) USING (ord))"""
+            LEFT JOIN (SELECT p.ord, avg(y.u) AS du FROM (SELECT d, count(DISTINCT uid) AS u FROM sess GROUP BY d) y
+                       JOIN period p ON y.d BETWEEN p.a AND p.b GROUP BY p.ord) USING (ord)
+            LEFT JOIN (SELECT p.ord, {n("x.utype = 'new'")} AS nu FROM usr x
+                       JOIN period p ON x.fd BETWEEN p.a AND p.b GROUP BY p.ord) USING (ord))"""
     out["weekly_trend"] = f"""
       SELECT CAST(date_trunc('week', d) AS DATE) AS week_start, count(DISTINCT d)::INTEGER AS days_in_data,
              count(DISTINCT uid) AS users, count(*) AS sessions, count(DISTINCT uid) FILTER (WHERE bought) AS buyers,
@@ -402,7 +402,7 @@ def reports(source: str) -> dict[str, str]:
              strftime(dt, '%b %Y') AS month_label, CAST(date_trunc('month', dt) AS DATE) AS month_start, label AS period,
              dt >= DATE '{cart}' AS add_to_cart_reliable, dt < DATE '{revenue_end}' AS purchase_data_reliable
       FROM (SELECT CAST(unnest(generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS DATE) AS dt)
-      JOIN period ON dt BETWEEN a AND b"""
+      LEFT JOIN period ON dt BETWEEN a AND b"""
     out["fact_sessions"] = f"""
       SELECT date, acq_channel, device_category, bucket AS country, user_type, count(*) AS sessions,
              {n("visit = 1")} AS first_seen_users, {n("f_view")} AS product_view_sessions, {n("f_cart")} AS cart_sessions,

@@ -179,7 +179,7 @@ def derived(cart_from: str, windows: tuple[int, int], items: bool = False) -> st
     return f"""
 ordr AS (
   (SELECT DISTINCT ON (tx) tx, ts, uid, sid, d, rev{carried} FROM ev
-   WHERE name = 'purchase' AND tx <> '(not set)' ORDER BY tx, ts, uid)
+   WHERE name = 'purchase' AND tx <> '(not set)' ORDER BY tx, ts, uid, sid NULLS FIRST, rev NULLS FIRST)
   UNION ALL
   SELECT tx, ts, uid, sid, d, rev{carried} FROM ev
   WHERE name = 'purchase' AND coalesce(tx, '(not set)') = '(not set)' AND rev > 0

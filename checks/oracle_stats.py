@@ -351,22 +351,23 @@ def measures() -> dict[str, str]:
     def total(c: str) -> str:
         return f"(sum({c}) {kept})::BIGINT"
 
-    out["measures_funnel"] = on_reports(
-        "clicks",
-        f"""SELECT period, {", ".join(f'{total(c)} AS "{name}"' for name, c in funnel.items())}
-            FROM ({by_day}) GROUP BY period""",
-        "fact_sessions",
-        "dim_date",
-    )
-    out["measures_abandonment"] = on_reports(
-        "clicks",
-        f"""SELECT country, {_r6(q(total("purchasing_sessions"), total("sessions")))} AS "Funnel Conversion",
-                   {_r6(q(total("cart_abandoned_sessions"), total("cart_sessions")))} AS "Cart Abandonment",
-                   {_r6(q(total("checkout_abandoned_sessions"), total("checkout_sessions")))} AS "Checkout Abandonment"
-            FROM ({by_day}) GROUP BY country""",
-        "fact_sessions",
-        "dim_date",
-    )
+    for source, suffix in (("clicks", ""), ("history", "__history")):
+        out[f"measures_funnel{suffix}"] = on_reports(
+            source,
+            f"""SELECT period, {", ".join(f'{total(c)} AS "{name}"' for name, c in funnel.items())}
+                FROM ({by_day}) GROUP BY period""",
+            "fact_sessions",
+            "dim_date",
+        )
+        out[f"measures_abandonment{suffix}"] = on_reports(
+            source,
+            f"""SELECT country, {_r6(q(total("purchasing_sessions"), total("sessions")))} AS "Funnel Conversion",
+                       {_r6(q(total("cart_abandoned_sessions"), total("cart_sessions")))} AS "Cart Abandonment",
+                       {_r6(q(total("checkout_abandoned_sessions"), total("checkout_sessions")))} AS "Checkout Abandonment"
+                FROM ({by_day}) GROUP BY country""",
+            "fact_sessions",
+            "dim_date",
+        )
     labels = ("Sessions", "Product view", "Add to cart", "Begin checkout", "Add payment info", "Purchase")
     columns = list(funnel.values())
     rows = " UNION ALL ".join(

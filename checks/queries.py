@@ -21,8 +21,8 @@ from clickloom.plans.reports import BY_NAME
 from clickloom.plans.workspace import Workspace
 from clickloom.schema import cohort_csv
 from clickloom.sources import sample
-from clickloom.sources.events import in_range, read_events
-from clickloom.sources.tables import TableStore, named_folder, read_csv, shared_folder, write_csv
+from clickloom.sources.events import read_events
+from clickloom.sources.tables import TableStore, read_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,12 +42,8 @@ def workspace(spark: SparkSession, sf_dir: str, source: str) -> Workspace:
     if key not in _workspaces:
         adapter, cfg, partition_by = SOURCES[source]
         raw = adapter(spark, sf_dir)
-        # A cluster that names no shared folder gets lazy tables: slower, the same results.
-        local = spark.sparkContext.master.startswith("local")
-        store = TableStore(spark) if local or named_folder(spark) else None
-        if store is not None:
-            raw = store.build("raw_events", raw, partition_by)
-        _workspaces[key] = Workspace(spark, raw, cfg, store)
+        store = TableStore(spark)
+        _workspaces[key] = Workspace(spark, store.build("raw_events", raw, partition_by), cfg, store)
     return _workspaces[key]
 
 
@@ -177,15 +173,12 @@ TABLES |= {
 
 def _events_in_range(ws: Workspace) -> DataFrame:
     first, last = date(2024, 1, 5), date(2024, 1, 20)
-    if ws.store is None:
-        days = in_range(ws.raw, first, last)
-    else:
-        days = read_events(ws.spark, ws.store.path("raw_events"), first, last)
+    days = read_events(ws.spark, ws.store.path("raw_events"), first, last)
     return days.groupBy("event_date", "event_name").agg(F.count(F.lit(1)).alias("events"))
 
 
 def _csv_export(ws: Workspace) -> DataFrame:
-    path = f"{ws.store.folder if ws.store else shared_folder(ws.spark)}/fact_cohort_daily_csv"
+    path = ws.store.path("fact_cohort_daily_csv")
     write_csv(ws.fact_cohort_daily, path)
     return read_csv(ws.spark, path, cohort_csv(ws.cfg.return_windows))
 
@@ -350,6 +343,9 @@ MEASURES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
     "measures_ratios": ("clicks", _ratios),
     "measures_funnel": ("clicks", _funnel),
     "measures_abandonment": ("clicks", _abandonment),
+    # Its periods leave most dates out.
+    "measures_funnel__history": ("history", _funnel),
+    "measures_abandonment__history": ("history", _abandonment),
     "measures_funnel_stages": ("clicks", _funnel_stages),
     "measures_product": ("items", _product),
     "measures_repeat_visits": ("history", _repeat_visits),

@@ -27,6 +27,7 @@ CHANNEL_BY_MEDIUM = {
 DEFAULT_CHANNEL = "Other (obscured)"
 OBSCURED_CHANNELS = ("Other (obscured)", "Data deleted")
 ALL_USERS_LABEL = "All users"
+UNKNOWN_COUNTRY = "(not set)"
 
 FUNNEL_EVENTS = (
     "session_start",
@@ -164,6 +165,7 @@ class AnalyticsConfig:
     default_channel: str = DEFAULT_CHANNEL
     obscured_channels: tuple[str, ...] = OBSCURED_CHANNELS
     all_users_label: str = ALL_USERS_LABEL
+    unknown_country: str = UNKNOWN_COUNTRY
 
     # Funnel.
     funnel_events: tuple[str, ...] = FUNNEL_EVENTS

@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 10_000
 ACCURACY = 10_000
-MARGIN = 0.001
+#: Half widths of the bracket, as fractions; the first that spans so many ranks is used.
+MARGINS = (0.001, 0.01, 0.1, 1.0)
+RANKS = 10
 
 
 def value_at_ranks(
@@ -21,24 +22,19 @@ def value_at_ranks(
     all of them must lie near ``fraction`` of that number.  The results are named
     ``<column>_<name>``, are doubles, and are NULL where there is no such rank.
 
-    A quantile sketch brackets the fraction (its rank error is a tenth of the
+    A quantile sketch brackets the fraction (its rank error is at most a tenth of the
     margin), the values below the bracket are only counted, and only the distinct
-    values inside it, a five-hundredth of the data, are put in order.  The result
-    is exact.
+    values inside it are put in order: a five-hundredth of much data, and more of
+    little, so that the bracket always spans some ranks.  The result is exact.
     """
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in values]))
     ).where(F.col("v").isNotNull())
-    quantiles = F.percentile_approx("v", [max(0.0, fraction - MARGIN), min(1.0, fraction + MARGIN)], ACCURACY)
-    bounds = (
-        long.groupBy("c")
-        .agg(F.count(F.lit(1)).alias("n"), quantiles.alias("q"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
-        .select(
-            "c",
-            "n",
-            F.when(F.col("n") <= SMALL, F.col("lowest")).otherwise(F.get("q", F.lit(0))).alias("lo"),
-            F.when(F.col("n") <= SMALL, F.col("highest")).otherwise(F.get("q", F.lit(1))).alias("hi"),
-        )
+    ends = [max(0.0, fraction - m) for m in MARGINS] + [min(1.0, fraction + m) for m in MARGINS]
+    found = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("q"))
+    too_narrow = sum((F.col("n") * m < RANKS).cast("int") for m in MARGINS[:-1])
+    bounds = found.select(
+        "c", "n", F.get("q", too_narrow).alias("lo"), F.get("q", too_narrow + len(MARGINS)).alias("hi")
     )
     # One row of bounds per named column.
     bracketed = long.join(F.broadcast(bounds), "c").where(F.col("v") <= F.col("hi"))

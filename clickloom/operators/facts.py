@@ -17,9 +17,9 @@ from clickloom.schema import FUNNEL_STAGES
 
 
 def dim_date(spark: SparkSession, periods: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
-    """One row per date of the data that belongs to a period."""
+    """One row per date of the data and period it belongs to; the period of other dates is NULL."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(cfg.first_date), F.lit(cfg.last_date))).alias("date"))
-    return in_period(days, periods, "date").select(
+    return in_period(days, periods, "date", "left").select(
         "date",
         F.date_format("date", "EEEE").alias("day_of_week"),
         week_start("date").alias("week_start"),

@@ -70,12 +70,12 @@ COHORT_MEASURES = {"Repeat-visit Rate": lambda: ratio(_sum("repeat_visitors"), _
 
 # The funnel measure of each stage, in stage order.
 STAGE_MEASURES = (
-    ("Sessions", "Funnel Sessions"),
-    ("Product view", "Funnel Product View"),
-    ("Add to cart", "Funnel Cart"),
-    ("Begin checkout", "Funnel Checkout"),
-    ("Add payment info", "Funnel Payment"),
-    ("Purchase", "Funnel Purchase"),
+    (1, "Funnel Sessions"),
+    (2, "Funnel Product View"),
+    (3, "Funnel Cart"),
+    (4, "Funnel Checkout"),
+    (5, "Funnel Payment"),
+    (6, "Funnel Purchase"),
 )
 
 
@@ -147,22 +147,22 @@ def funnel_by_stage(board: Dashboard, by: Sequence[str] = (), filters: Filters |
     """Funnel value, previous value, step conversion and drop-off of each stage, sliced by ``by``.
 
     The stages are not related to the facts: all their values come from one
-    aggregate, whose columns are laid out as rows and matched to the stage list.
+    aggregate, whose columns are laid out as rows and matched to the stage list by order.
     """
     values = session_measures(board, [m for _, m in STAGE_MEASURES], by, filters)
 
     def stage(i: int) -> Column:
-        label, name = STAGE_MEASURES[i]
+        order, name = STAGE_MEASURES[i]
         before = F.col(STAGE_MEASURES[i - 1][1]) if i else F.lit(None).cast("bigint")
         return F.struct(
-            F.lit(label).alias("stage_label"),
+            F.lit(order).alias("stage_order"),
             F.col(name).alias("Funnel Value"),
             before.alias("Funnel Previous"),
         )
 
     rows = values.select(*by, F.inline(F.array(*[stage(i) for i in range(len(STAGE_MEASURES))])))
     conversion = ratio("Funnel Value", "Funnel Previous")
-    return rows.join(board.stages, F.col("stage_label") == F.col("stage")).select(
+    return rows.join(board.stages, "stage_order").select(
         *by,
         "stage_order",
         "stage",
@@ -172,3 +172,22 @@ def funnel_by_stage(board: Dashboard, by: Sequence[str] = (), filters: Filters |
         (F.lit(1.0) - conversion).alias("Step Drop-off"),
     )
 
+
+_BY_STAGE = ("Funnel Value", "Funnel Previous", "Step Conversion", "Step Drop-off")
+_RETURN_RATE = "-day Return Rate"
+
+
+def measure(board: Dashboard, name: str, by: Sequence[str] = (), filters: Filters | None = None) -> DataFrame:
+    """One measure by its name; those of the funnel stages have a row per stage."""
+    if name in SESSION_MEASURES:
+        return session_measures(board, [name], by, filters)
+    if name in PRODUCT_MEASURES:
+        return product_measures(board, [name], by, filters)
+    if name in COHORT_MEASURES:
+        return repeat_visit_rate(board, by, filters).select(*by, name)
+    if name in _BY_STAGE:
+        return funnel_by_stage(board, by, filters).select(*by, "stage_order", "stage", name)
+    if name.endswith(_RETURN_RATE):
+        return return_rate(board, int(name.removesuffix(_RETURN_RATE)), by, filters)
+    raise KeyError(f"no measure is named {name!r}")
+

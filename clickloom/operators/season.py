@@ -31,13 +31,13 @@ def season_periods(spark: SparkSession, cfg: AnalyticsConfig) -> DataFrame:
     return literal_table(spark, rows, SEASON_PERIODS)
 
 
-def in_period(df: DataFrame, periods: DataFrame, day: str) -> DataFrame:
-    """Rows with the period their date falls in; a date in no period drops out.
+def in_period(df: DataFrame, periods: DataFrame, day: str, how: str = "inner") -> DataFrame:
+    """Rows with the period their date falls in; a date in no period drops out, or has none with a left join.
 
     A date range has no key to hash, and the periods come from the configuration, so
     they are small enough to be held next to the rows.
     """
-    return df.join(F.broadcast(periods), F.col(day).between(F.col("start_date"), F.col("end_date")))
+    return df.join(F.broadcast(periods), F.col(day).between(F.col("start_date"), F.col("end_date")), how)
 
 
 def _user_days(sessions: DataFrame) -> DataFrame:
@@ -69,11 +69,10 @@ def _fold_users(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
 
 
 def period_metrics(sessions: DataFrame, users: DataFrame, periods: DataFrame) -> DataFrame:
-    """Unrounded totals and per-day rates of each period."""
-    key = ["period_order", "period", "is_comparison", "start_date", "end_date"]
+    """Unrounded totals and per-day rates of each period; one without sessions or new users counts 0."""
     # The users of each day, added up over the days, are the user-days of the period.
     in_periods = in_period(_user_days(sessions), periods, "session_date")
-    totals = _fold_users(in_periods, key, F.count(F.lit(1)).alias("user_days"))
+    totals = _fold_users(in_periods, ["period_order"], F.count(F.lit(1)).alias("user_days"))
     dates = sessions.groupBy("session_date").agg(F.count(F.lit(1)).alias("sessions"))
     average = in_period(dates, periods, "session_date").groupBy("period_order").agg(F.count(F.lit(1)).alias("days_seen"))
     starts = users.groupBy("first_visit_date").agg(F.count_if(F.col("user_type") == "new").alias("new_users"))
@@ -83,9 +82,12 @@ def period_metrics(sessions: DataFrame, users: DataFrame, periods: DataFrame) ->
         .agg(F.sum("new_users").alias("new_users_started"))
     )
     days = F.date_diff("end_date", "start_date") + 1
+    counts = ["users", "sessions", "purchasing_sessions", "buyers", "orders", "revenue", "new_users_started"]
     return (
-        totals.join(average, "period_order")
-        .join(started, "period_order")
+        periods.join(totals, "period_order", "left")
+        .join(average, "period_order", "left")
+        .join(started, "period_order", "left")
+        .fillna(0, counts)
         .withColumn("days", days)
         .withColumns(
             {

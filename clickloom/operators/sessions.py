@@ -51,9 +51,11 @@ def clean_orders(events: DataFrame, cfg: AnalyticsConfig, carry: Sequence[str] =
     The id-less purchases share no key with one another, so they are filtered, not
     grouped.  The earliest event of an id is an aggregate rather than a row number,
     so that a much-repeated id shrinks before the shuffle.  Equal times are settled
-    by the user and then by the carried columns.
+    by user, session and revenue, whatever is carried, so that an order and its items
+    come from the same event.
     """
-    columns = ["event_ts", "user_pseudo_id", *carry]
+    decided = ["event_ts", "user_pseudo_id", "ga_session_id", "purchase_revenue_usd"]
+    columns = [*decided, *(c for c in carry if c not in decided)]
     purchases = events.where(F.col("event_name") == "purchase")
     transaction = F.col("transaction_id")
     no_id = transaction.isNull() | (transaction == cfg.missing_transaction_id)

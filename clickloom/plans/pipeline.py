@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Iterable
+from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +30,14 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Options that set a date of the configuration.
+DATES = {
+    "first_date": "first day to read",
+    "last_date": "last day to read",
+    "cart_reliable_from": "first day on which cart events can be trusted",
+    "revenue_reliable_until": "first day on which revenue can no longer be trusted",
+}
+
 
 def run(ws: Workspace, out: str, names: Iterable[str] | None = None) -> list[str]:
     """Build the tables a report needs, once, and export each report in order."""
@@ -48,6 +58,10 @@ def main(argv: list[str] | None = None) -> None:
         help="partitions to start a shuffle with; about one per 200 MB of the events' shuffle, which is roughly a "
         "twentieth of the raw events (25,000 for 100 TB)",
     )
+    defaults = AnalyticsConfig()
+    for name, meaning in DATES.items():
+        option = f"--{name.replace('_', '-')}"
+        parser.add_argument(option, type=date.fromisoformat, default=getattr(defaults, name), help=meaning)
     args = parser.parse_args(argv)
 
     builder = SparkSession.builder.appName("clickloom")
@@ -56,8 +70,10 @@ def main(argv: list[str] | None = None) -> None:
     if args.shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", args.shuffle_partitions)
     spark = builder.getOrCreate()
-    cfg = AnalyticsConfig()
+    cfg = replace(defaults, **{name: getattr(args, name) for name in DATES})
     raw = read_events(spark, args.events, cfg.first_date, cfg.last_date)
+    if raw.isEmpty():
+        raise SystemExit(f"{args.events} has no events from {cfg.first_date} to {cfg.last_date}")
     ws = Workspace(spark, raw, cfg, TableStore(spark, f"{args.output}/tables"))
     for name in run(ws, f"{args.output}/reports", args.report):
         print(name)

@@ -110,6 +110,7 @@ PERIODS = (
     SeasonPeriod(1, "base", date(2020, 11, 1), date(2020, 11, 2), True),
     SeasonPeriod(2, "all", date(2020, 11, 2), date(2020, 11, 10), True),  # overlaps the first
     SeasonPeriod(9, "quiet", date(2020, 11, 20), date(2020, 11, 21), False),
+    SeasonPeriod(10, "empty", date(2020, 12, 1), date(2020, 12, 2), False),
 )
 
 
@@ -124,15 +125,18 @@ def test_periods(spark, raw):
     )
     ws = Workspace(spark, events, cfg)
     summary = season.period_summary(ws.sessions, ws.users, ws.periods, cfg).orderBy("period_order").collect()
-    # The quiet period drops out: nobody was seen there for the first time.
-    assert [r.period for r in summary] == ["base", "all"]
+    # Nobody was seen for the first time in the quiet period, and nobody at all in the last.
+    assert [r.period for r in summary] == ["base", "all", "quiet", "empty"]
+    assert (summary[2].sessions, summary[2].users, summary[2].pct_users_new_in_period) == (1, 1, 0.0)
+    assert (summary[3].sessions, summary[3].revenue_usd, summary[3].aov, summary[3].avg_daily_users) == (0, 0.0, None, None)
     assert (summary[0].sessions, summary[0].users, summary[0].buyers, summary[0].days) == (3, 2, 1, 2)
     assert (summary[1].sessions, summary[1].users, summary[1].orders) == (2, 2, 1)
     assert summary[1].orders_per_day_vs_baseline_pct == -77.8
     mix = season.period_channel_mix(ws.sessions, ws.periods)
     assert rows_of(mix, "period_order", "sessions", "pct_of_period_sessions") == [(1, 3, 100.0), (2, 2, 100.0)]
     dates = facts.dim_date(spark, ws.periods, cfg)
-    assert dates.count() == 2 + 9 + 2  # a date in two periods appears in both
+    assert dates.count() == 2 + 9 + 9 + 2  # a date in two periods appears in both
+    assert dates.where("period is null").count() == 9  # and a date in none is kept
     weekly = {r.week_start: r for r in season.weekly_trend(ws.sessions, cfg).collect()}
     assert weekly[date(2020, 10, 26)].days_in_data == 1
     assert (weekly[date(2020, 11, 2)].days_in_data, weekly[date(2020, 11, 2)].users) == (1, 2)

@@ -8,7 +8,6 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.functions import ranks
 from clickloom.functions.ranks import exact_medians, value_at_ranks
 from tests.conftest import one
 
@@ -27,13 +26,12 @@ def test_median_ignores_nulls_and_may_be_null(spark):
     assert one(exact_medians(df.where("x < 0"), ["x"]))["median_x"] is None
 
 
-@pytest.mark.parametrize("size", [20_000, 20_001])
-def test_median_beyond_the_small_size_uses_a_bracket(spark, size):
+@pytest.mark.parametrize("size", [99, 100, 999, 1000, 9_999, 10_000, 20_001])
+def test_median_at_every_width_of_the_bracket(spark, size):
     # Heavily repeated values and a long tail.
     df = spark.range(size).select(
         F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise((F.col("id") * 7919) % 100_003).alias("x")
     )
-    assert size > ranks.SMALL
     values = [r.x for r in df.collect()]
     assert one(exact_medians(df, ["x"]))["median_x"] == statistics.median(values)
 
