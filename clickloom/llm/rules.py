@@ -75,13 +75,12 @@ def line_hash(line: Column) -> Column:
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """Add _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _lines (hash, length) and _sign.
 
-    _sign is the longest word (the last in order of equally long ones): documents that share it count as one when
-    documents are counted, so that copies and near copies of a document do not make its lines boilerplate.
+    _sign is the document's identity when documents are counted: a hash of the whole text in lower case, its white
+    space made single spaces, so that copies of a document count as one and do not make its lines boilerplate.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_words", words_of(whole)).withColumn("_full", F.filter(F.split(whole, "\n"), has_word))
     df = df.withColumn("_windows", _windows(F.col("_words")))
-    longest = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     line = lambda x: F.struct(line_hash(x).alias("h"), F.length(x).alias("w"))
     df = df.withColumns(
         {
@@ -91,7 +90,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             "_n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
             "_n_repeat_words": _repeated_words(F.col("_windows")).cast("long"),
             "_lines": F.transform("_full", line),
-            "_sign": F.xxhash64(longest["w"]),
+            "_sign": F.xxhash64(F.lower(F.array_join("_words", " "))),
         }
     )
     return df.drop("_words", "_full", "_windows")

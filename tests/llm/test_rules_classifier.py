@@ -74,6 +74,20 @@ def test_line_frequency(corpus):
     assert texts[5]["n_chars"] == len(texts[5]["text"]) and texts[100]["n_chars"] == 5
 
 
+def test_documents_that_share_their_longest_word_are_counted(spark):
+    """The shared line holds the longest word of every document that has it; copies still count as one."""
+    rng = random.Random(5)
+    footer = "see https://example.org/" + "terms-and-conditions/" * 9
+    rows = [(i, f"{prose(rng, 8)}\n{footer if i % 2 else footer.upper()}" if i < 90 else prose(rng, 8)) for i in range(120)]
+    copy = prose(rng, 9)
+    rows += [(300 + i, copy.upper() if i % 2 else copy.replace(" ", " \t")) for i in range(80)]
+    docs = spark.createDataFrame([(k, t, "en", "hot", 5, "x") for k, t in rows], SCHEMA)
+    got = {r["doc_id"]: (r["removed_lines"], r["kept"]) for r in rules.rules(docs).collect()}
+    assert got == {k: (int(k < 90), True) for k, _ in rows}
+    texts = {r["doc_id"]: r["text"] for r in rules.cleaned(docs).collect()}
+    assert all("example.org" not in t.lower() for t in texts.values()) and len(texts) == len(rows)
+
+
 def test_rules_plan_has_no_python(corpus):
     plan = rules.rules(corpus)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
