@@ -63,6 +63,22 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("across", [2, 4, 64])
+def test_vectors_that_vary_in_few_directions(spark, across):
+    """Every link is found, in however many of 64 dimensions the vectors and the steps between them lie."""
+    rng = np.random.default_rng(across)
+    flat = rng.normal(size=(across, 64))
+    base = rng.normal(size=(1000, across))
+    x = (np.r_[base, base + 0.2 * rng.normal(size=base.shape), base + 0.3 * rng.normal(size=base.shape)]) @ flat
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    a, b = np.nonzero(x @ x.T >= 0.95)
+    pairs = [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j]
+    count, root = Counter(i for i, _ in pairs), roots(list(range(len(x))), pairs)
+    assert pairs and got == {i: (count[i], root[i]) for i in root}
+
+
 def test_vectors_that_share_a_key(spark):
     data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [0.01, 1.0]), (4, [1.0, 0.01]), (None, [1.0, 0.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
