@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from clickloom.llm.common import shared_folder, stored
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+_ARCHIVE, _INDEXES = re.compile(r"archive/.+\.warc(\.gz)?"), re.compile(r"indexes/.+\.cdxj?(\.gz)?")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -57,7 +59,10 @@ def _wide(extra: bytes, values: list[int]) -> list[int]:
 
 
 def members(file) -> dict[str, Member]:
-    """Members of a package by name, from its central directory (ZIP64 where it has one); ``file`` can seek."""
+    """Stored members of a package by name, from its central directory (ZIP64 where it has one); ``file`` can seek.
+
+    Compressed members are left out; where they are archives or their indexes, that is an error.
+    """
     length = file.size()
     tail_at = max(0, length - 65557)  # the end record and the longest comment
     tail = file.read_at(length - tail_at, tail_at)
@@ -82,6 +87,8 @@ def members(file) -> dict[str, Member]:
         if method == 0:  # others cannot be read by range
             n_name_here, n_extra_here = struct.unpack_from("<HH", file.read_at(30, offset), 26)
             out[name] = Member(name, offset + 30 + n_name_here + n_extra_here, plain)
+        elif _ARCHIVE.fullmatch(name) or _INDEXES.fullmatch(name):
+            raise ValueError(f"{name} is compressed in its package and cannot be read by range")
         at += 46 + n_name + n_extra + n_comment
     return out
 
@@ -125,8 +132,9 @@ def parse_record(raw: bytes) -> dict:
 
 
 def page_of(record_id: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d*)>", record_id)[1]
-    return int(found) if found else None
+    """The page that a record's id names; other writers' ids name none."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id)
+    return int(found[1]) if found else None
 
 
 # ---- writing and reading on Spark
@@ -196,8 +204,37 @@ def write_packages(pages: DataFrame, folder: str, target_bytes: int = 64 << 20,
     return stored(rows.mapInPandas(run, schema), "packages")
 
 
+def indexed(file) -> list[tuple[Member, list[tuple[int, int]]]]:
+    """Each archive of a package with the places (offset, length) of its records, in order, from all indexes.
+
+    Index lines are this writer's, of ``DATA``, or CDXJ lines, which name their file.  An index line that names no
+    place, or a file that is not there, and an archive that no line names are errors.
+    """
+    found = members(file)
+    places: dict[str, set[tuple[int, int]]] = {name: set() for name in found if _ARCHIVE.fullmatch(name)}
+    for name in filter(_INDEXES.fullmatch, found):
+        raw = file.read_at(found[name].size, found[name].start)
+        for line in (zlib.decompress(raw, 31) if name.endswith(".gz") else raw).decode().splitlines():
+            if own := re.fullmatch(r"(\d+) (\d+)", line):
+                of, at = DATA, (int(own[1]), int(own[2]))
+            elif line.startswith("!") or not line.strip():  # CDXJ headers
+                continue
+            elif "{" in line:
+                told = json.loads(line[line.index("{") :])
+                of, at = "archive/" + told["filename"].removeprefix("archive/"), (int(told["offset"]), int(told["length"]))
+            else:
+                raise ValueError(f"unknown line in {name}")
+            if of not in places:
+                raise ValueError(f"{name} names {of}, which is not in the package")
+            places[of].add(at)
+    for name, at in places.items():
+        if found[name].size and not at:
+            raise ValueError(f"no index of {name}")
+    return [(found[name], sorted(at)) for name, at in places.items()]
+
+
 def read_ranges(packages: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
-    """Ranges (path, start, lengths of the records in it) of about ``range_bytes`` that cover all records."""
+    """Ranges (path, start, lengths of the records in it) of about ``range_bytes`` that cover all indexed records."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -205,21 +242,20 @@ def read_ranges(packages: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
             for uri in frame["path"]:
                 store, path = opened(uri)
                 with store.open_input_file(path) as file:
-                    found = members(file)
-                    data, index = found[DATA], found[INDEX]
-                    lines = file.read_at(index.size, index.start).decode().splitlines()
-                start, lengths, size = data.start, [], 0
-                for line in lines:
-                    offset, length = map(int, line.split())
-                    if lengths and size + length > range_bytes:
+                    archives = indexed(file)
+                for data, places in archives:
+                    start, lengths, size = data.start, [], 0
+                    for offset, length in places:
+                        # A range has no gaps: other writers do not index every record.
+                        if lengths and (size + length > range_bytes or start + size != data.start + offset):
+                            out.append((uri, start, lengths))
+                            lengths, size = [], 0
+                        if not lengths:
+                            start = data.start + offset
+                        lengths.append(length)
+                        size += length
+                    if lengths:
                         out.append((uri, start, lengths))
-                        lengths, size = [], 0
-                    if not lengths:
-                        start = data.start + offset
-                    lengths.append(length)
-                    size += length
-                if lengths:
-                    out.append((uri, start, lengths))
             yield pd.DataFrame(out, columns=["path", "start", "lengths"])
 
     return packages.select("path").mapInPandas(run, "path string, start long, lengths array<long>")
@@ -243,7 +279,8 @@ def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
                     raw = file.read_at(int(sum(lengths)), int(start))
                 at, out = 0, []
                 for length in map(int, lengths):
-                    r = parse_record(zlib.decompress(raw[at : at + length], 31))
+                    one = raw[at : at + length]
+                    r = parse_record(zlib.decompress(one, 31) if one[:2] == b"\x1f\x8b" else one)
                     at += length
                     http, _, payload = r["block"].partition(b"\r\n\r\n")
                     size = int(re.search(rb"(?im)^content-length: (\d+)", http)[1])

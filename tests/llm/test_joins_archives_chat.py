@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import random
@@ -237,3 +238,33 @@ def test_pages_round_trip(spark, tmp_path):
         want.append((p, len(body), sha, "response" if first else "revisit", None if first else last, body if first else b""))
     assert Counter((*tuple(r)[:5], bytes(r["payload"])) for r in got) == Counter(want)
     assert archives.round_trip(pages.limit(0)).count() == 0
+
+
+def test_packages_of_several_archives(spark, tmp_path):
+    """Every archive is read, by its own index lines, and what cannot be read is an error."""
+    bodies = [archives.record(i, "u", b"%d" % i, None, False) for i in range(5)]
+    packed = [gzip.compress(b) for b in bodies]
+    line = lambda name, at, n: f'u 2020 {{"filename": "{name}", "offset": "{at}", "length": "{n}"}}\n'
+    one, two = packed[0] + packed[1] + packed[2], bodies[3] + bodies[4]
+    index = "!meta {}\n" + line("a.warc.gz", 0, len(packed[0]))
+    index += line("a.warc.gz", len(packed[0] + packed[1]), len(packed[2]))  # the second record is not indexed
+    index += line("b.warc", 0, len(bodies[3])) + line("b.warc", len(bodies[3]), len(bodies[4]))
+
+    def package(name: str, lines: str, kind: int = zipfile.ZIP_STORED):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("archive/a.warc.gz", one, compress_type=kind)
+            z.writestr("archive/b.warc", two)
+            z.writestr("indexes/index.cdxj", lines)
+        return (tmp_path / name).read_bytes()
+
+    package("good.wacz", index)
+    frame = spark.createDataFrame([(str(tmp_path / "good.wacz"),)], "path string")
+    got = {r["page_id"]: bytes(r["payload"]) for r in archives.read_packages(frame, with_payload=True).collect()}
+    assert got == {i: b"%d" % i for i in (0, 2, 3, 4)}
+    for raw in (
+        package("c.wacz", index, zipfile.ZIP_DEFLATED),
+        package("d.wacz", index[: index.index('u 2020 {"filename": "b.warc"')]),
+        package("e.wacz", index + line("c.warc", 0, 9)),
+    ):
+        with pytest.raises(ValueError):
+            archives.indexed(Bytes(raw))
