@@ -7,7 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import archives, bpe, chat, classifier, jaccard, packing, rules, sharding, tokens, vectors
+from clickloom.llm import (
+    archives,
+    bpe,
+    chat,
+    check_sql,
+    classifier,
+    jaccard,
+    packing,
+    positions,
+    rules,
+    sharding,
+    tokens,
+    vectors,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,9 +83,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_decontamination": check_sql.OP11}
