@@ -20,6 +20,7 @@ from clickloom.llm import (
     sharding,
     tokens,
     vectors,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
