@@ -106,7 +106,8 @@ def projected(matrix: BlockMatrix, onto: np.ndarray, df: DataFrame) -> BlockMatr
 
 def rows_of(matrix: BlockMatrix) -> DataFrame:
     """(i, y): the rows of a matrix whose columns fit in one block."""
-    rows = callMLlibFunc("getIndexedRows", matrix.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    indexed = matrix.toIndexedRowMatrix()  # named, as the JVM's side of it goes with the last reference
+    rows = callMLlibFunc("getIndexedRows", indexed._java_matrix_wrapper._java_model)
     return rows.select(F.col("index").alias("i"), vector_to_array("vector").alias("y"))
 
 
