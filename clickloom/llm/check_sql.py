@@ -32,3 +32,50 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM doc LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)
 """
+
+#: CRC-32 bit by bit: a byte is folded in, then eight steps; prefixes are lists of hashes of their turns.
+OP13 = r"""
+WITH turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT c, count(*) AS own, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                                      lambda a, b: xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1))))) % 4 AS h
+    FROM turns GROUP BY c
+), taken AS (
+    SELECT convs.c, h, convs.c - convs.c % 20 AS base, least(h, coalesce(b.own, 0)) AS from_base
+    FROM convs LEFT JOIN (SELECT c AS base, own FROM convs) b ON b.base = convs.c - convs.c % 20
+), rebuilt AS (
+    SELECT taken.c, place, role, text FROM taken JOIN turns ON turns.c = base WHERE place < h
+    UNION ALL
+    SELECT taken.c, place - h + from_base, role, text FROM taken JOIN turns ON turns.c = taken.c WHERE place >= h
+), paths AS (
+    SELECT c, place + 1 AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+           list(sha256(role) || sha256(text)) OVER (PARTITION BY c ORDER BY place) AS name
+    FROM rebuilt
+    UNION ALL
+    SELECT c, 0, 0, CAST([] AS VARCHAR[]) FROM convs
+), members AS (
+    SELECT c, depth, words, name, depth = max(depth) OVER (PARTITION BY c) AS last FROM paths
+), nodes AS (
+    SELECT name, depth, min(c) AS conv_id, count(*) AS n, max(words) AS words,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends
+    FROM members GROUP BY name, depth
+), children AS (
+    SELECT p.name, count(*) AS n FROM nodes p JOIN nodes k ON k.depth = p.depth + 1 AND k.name[1:p.depth] = p.name
+    GROUP BY p.name
+), below AS (
+    SELECT a.name, sum((k.n - 1) * k.words) AS saved, sum(CASE WHEN children.n IS NULL THEN 1 ELSE 0 END) AS leaves
+    FROM nodes k JOIN members own ON own.c = k.conv_id AND own.depth <= k.depth JOIN nodes a ON a.name = own.name
+    LEFT JOIN children ON children.name = k.name
+    GROUP BY a.name
+)
+SELECT nodes.conv_id, nodes.depth, p.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(children.n, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN below ON below.name = nodes.name
+LEFT JOIN children ON children.name = nodes.name
+LEFT JOIN nodes p ON p.depth = nodes.depth - 1 AND p.name = nodes.name[1:nodes.depth - 1]
+"""

@@ -19,6 +19,7 @@ from clickloom.llm import (
     rules,
     sharding,
     tokens,
+    trie,
     vectors,
     whitening,
 )
@@ -92,9 +93,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_decontamination": check_sql.OP11}
+    return {"op11_decontamination": check_sql.OP11, "op13_prefix_trie": check_sql.OP13}
