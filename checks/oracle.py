@@ -170,6 +170,32 @@ def reports(source: str) -> dict[str, str]:
       FROM usr"""
 
     # Funnel.
+    left = "NOT bought"
+    out["user_days"] = f"""
+      SELECT uid AS user_pseudo_id, d AS session_date, device AS device_category, country, count(*) AS sessions,
+             {s("pages")} AS page_views, {n("f_view")} AS product_view_sessions, {n("f_cart")} AS add_to_cart_sessions,
+             {n("f_chk")} AS begin_checkout_sessions, {n("f_ship")} AS add_shipping_sessions,
+             {n("f_pay")} AS add_payment_sessions, {n("bought")} AS purchasing_sessions,
+             {n(f"f_cart AND {left}")} AS cart_abandoned_sessions, {n(f"f_chk AND {left}")} AS checkout_abandoned_sessions,
+             {s("orders")} AS orders, {m("revenue")} AS revenue
+      FROM sess GROUP BY ALL"""
+    out["active_days"] = f"""
+      SELECT uid AS user_pseudo_id, count(DISTINCT d) AS active_days, any_value(fd) AS first_day,
+             min(CASE WHEN d > fd AND d - fd <= 62 * ceil({w2} / 62.0) THEN d END) AS next_day
+      FROM (SELECT uid, d, min(d) OVER (PARTITION BY uid) AS fd FROM sess) GROUP BY uid"""
+    out["visit_numbers"] = """
+      SELECT uid AS user_pseudo_id, st AS session_start_ts, sid AS ga_session_id, d AS session_date, bought AS purchased,
+             orders, revenue, visit AS visit_number FROM ordered"""
+    out["event_profile"] = f"""
+      SELECT d AS event_date, name AS event_name, uid AS user_pseudo_id, count(*) AS events,
+             {n("sid IS NULL")} AS missing_session_id, min(snum) AS min_session_number,
+             {n("name = 'purchase' AND tx IS NULL")} AS null_transaction_id,
+             {n("name = 'purchase' AND tx = '(not set)'")} AS not_set_transaction_id,
+             {n("name = 'purchase' AND rev IS NULL")} AS null_revenue, {n("name = 'purchase' AND rev = 0")} AS zero_revenue,
+             CASE WHEN bool_or(name = 'purchase' AND rev IS NOT NULL) THEN {m("CASE WHEN name = 'purchase' THEN rev END")} END AS revenue,
+             count(CASE WHEN name = 'purchase' THEN rev END) AS with_revenue,
+             min(CASE WHEN name = 'purchase' THEN rev END) AS min_revenue, max(CASE WHEN name = 'purchase' THEN rev END) AS max_revenue
+      FROM ev GROUP BY d, name, uid"""
     out["cart_window_sessions"] = out["sessions"].replace("FROM sess", "FROM cs")
     out["cart_window_users"] = """
       SELECT uid AS user_pseudo_id, channel AS acq_channel, fdev AS first_device_category, sessions,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from checks import oracle, oracle_stats
 from clickloom.functions.columns import rounded, with_one_row
-from clickloom.operators import facts, funnel, inference, metrics, product, quality, sessions, users
+from clickloom.operators import facts, funnel, inference, metrics, product, quality, sessions, userdays, users
 from clickloom.operators.season import in_period
 from clickloom.plans.reports import BY_NAME
 from clickloom.plans.workspace import Workspace
@@ -43,7 +43,8 @@ def workspace(spark: SparkSession, sf_dir: str, source: str) -> Workspace:
         adapter, cfg, partition_by = SOURCES[source]
         raw = adapter(spark, sf_dir)
         store = TableStore(spark)
-        _workspaces[key] = Workspace(spark, store.build("raw_events", raw, partition_by), cfg, store)
+        stored = store.build("raw_events", raw, partition_by)
+        _workspaces[key] = Workspace(spark, stored, cfg, store, by_date=partition_by is not None)
     return _workspaces[key]
 
 
@@ -87,6 +88,11 @@ SECOND_SOURCES = {
     "items": ("check_sessions", "check_users", "dq_purchases", "device_performance", "period_summary"),
 }
 
+def _active_days(ws: Workspace) -> DataFrame:
+    words = userdays.words_for(ws.cfg.long_window)
+    return userdays.visit_days(userdays.day_bitmaps(ws.user_days, words), words)
+
+
 TABLES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
     "clean_events": ("clicks", lambda w: sessions.clean_events(w.raw)),
     "clean_orders": (
@@ -101,10 +107,15 @@ TABLES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
         .agg(F.count(F.lit(1)).alias("users")),
     ),
     "sessions": ("clicks", lambda w: sessions.build_sessions(w.events, w.cfg, w.first_touch)),
-    "users": ("history", lambda w: users.build_users(w.sessions, w.cfg)),
+    "users": ("history", lambda w: users.users_of(w.user_days, w.cfg)),
+    "user_days": ("clicks", lambda w: w.user_days.select(*userdays.USER_DAY, *userdays.SEGMENT, *userdays.SUMS).withColumn(
+        "revenue", F.col("revenue").cast("double"))),
+    "active_days": ("history", _active_days),
+    "visit_numbers": ("history", lambda w: w.visit_numbers.withColumn("revenue", F.col("revenue").cast("double"))),
+    "event_profile": ("clicks", lambda w: w.event_profile.withColumn("revenue", F.col("revenue").cast("double"))),
     "cart_window_sessions": ("clicks", lambda w: w.cart_sessions),
     "cart_window_users": ("clicks", lambda w: funnel.cart_window_users(w.cart_sessions)),
-    "fact_sessions": ("clicks", lambda w: facts.fact_sessions(w.sessions, w.users, w.cfg)),
+    "fact_sessions": ("clicks", lambda w: facts.fact_sessions(w.user_days, w.users, w.cfg)),
     "fact_cohort_daily": ("history", lambda w: facts.fact_cohort_daily(w.users, w.cfg)),
     "fact_product_daily": ("items", lambda w: facts.fact_product_daily(w.item_activity, w.products, w.cfg)),
     "item_impressions": (
@@ -215,10 +226,10 @@ STATISTICS: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
         lambda w: inference.small_segment_illusion(_get(w, "country_performance"), w.cfg),
     ),
     "pareto": ("history", lambda w: inference.pareto(_get(w, "country_performance"))),
-    "tracking_gaps": ("clicks", lambda w: inference.tracking_gaps(quality.dq_daily_tracking(w.raw, w.cfg), w.cfg)),
+    "tracking_gaps": ("clicks", lambda w: inference.tracking_gaps(quality.daily_tracking(w.event_profile), w.cfg)),
     "tracking_daily_shares": (
         "clicks",
-        lambda w: inference.tracking_daily_shares(quality.dq_daily_tracking(w.raw, w.cfg)),
+        lambda w: inference.tracking_daily_shares(quality.daily_tracking(w.event_profile)),
     ),
     "open_vs_strict": (
         "clicks",

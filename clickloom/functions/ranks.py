@@ -1,4 +1,4 @@
-"""Exact order statistics without sorting everything in one task."""
+"""Exact order statistics and row numbers without sorting everything, or a large group, in one task."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.sources.tables import TableStore
+
 ACCURACY = 10_000
 #: Half widths of the bracket, as fractions; the first that spans so many ranks is used.
 MARGINS = (0.001, 0.01, 0.1, 1.0)
@@ -63,3 +65,27 @@ def exact_medians(df: DataFrame, values: Sequence[str]) -> DataFrame:
     return middle.select(
         *[((F.col(f"{c}_low") + F.col(f"{c}_high")) / F.lit(2.0)).alias(f"median_{c}") for c in values]
     )
+
+
+def prefix_ranks(df: DataFrame, group: str, order: Sequence[str], name: str, store: TableStore) -> DataFrame:
+    """Add each row's place in its group, from 1, in ascending order.
+
+    Rows are range-sorted by group and order, so a large group fills as many parts as it needs.  A row's place is its
+    place in its part, plus the group's rows in earlier parts, of which there is one count for each part and group.
+    The sorted rows are stored, so that both steps see the same parts even if an executor is lost between them.
+    """
+    placed = (
+        df.repartitionByRange(group, *order)
+        .sortWithinPartitions(group, *order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    placed = store.build(f"{name}_parts", placed)
+    spans = placed.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_in")).agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    earlier = Window.partitionBy("_group").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_in"))
+    number = F.col("_row") - F.col("_first") + F.col("_before") + 1
+    return placed.join(spans, same).select(*df.columns, number.alias(name))

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
-from clickloom.functions.columns import MONEY, all_of, literal_table, money_sum, week_start
+from clickloom.functions.columns import all_of, literal_table, money_sum, week_start
 from clickloom.operators.product import ACTIVITY, stack
 from clickloom.operators.season import in_period
+from clickloom.operators.userdays import SEGMENT, SUMS, USER_DAY, user_days
 from clickloom.operators.users import eligible_flag, returned_flag
 from clickloom.schema import FUNNEL_STAGES
 
@@ -39,6 +40,7 @@ def fact_sessions(sessions: DataFrame, users: DataFrame, cfg: AnalyticsConfig) -
 
     A user is first seen in the first session, whose attributes the users table
     already has; those rows are stacked on the sessions instead of numbering them.
+    ``sessions`` may be the stored user-days, which meet the users without a shuffle.
     """
     grain = ["date", "acq_channel", "device_category", "country", "user_type"]
     big = (
@@ -53,23 +55,20 @@ def fact_sessions(sessions: DataFrame, users: DataFrame, cfg: AnalyticsConfig) -
         marked = df.join(big, F.col("country") == F.col("big_country"), "left")
         return marked.withColumn("country", F.coalesce("big_country", F.lit(cfg.small_country_label)))
 
-    left = ~F.col("purchased")
+    named = {
+        "add_to_cart_sessions": "cart_sessions",
+        "begin_checkout_sessions": "checkout_sessions",
+        "add_payment_sessions": "payment_sessions",
+        "revenue": "revenue_usd",
+        "session_date": "date",
+    }
     activity = (
-        sessions.join(users.select("user_pseudo_id", "user_type"), "user_pseudo_id")
-        .withColumnRenamed("session_date", "date")
+        user_days(sessions)
+        .select(*USER_DAY, *SEGMENT, *SUMS, "acq.acq_channel")
+        .withColumnsRenamed(named)
+        .join(users.select("user_pseudo_id", "user_type"), "user_pseudo_id")
         .groupBy(*grain)
-        .agg(
-            F.count(F.lit(1)).alias("sessions"),
-            F.count_if("reached_view_item").alias("product_view_sessions"),
-            F.count_if("reached_add_to_cart").alias("cart_sessions"),
-            F.count_if(F.col("reached_add_to_cart") & left).alias("cart_abandoned_sessions"),
-            F.count_if("reached_begin_checkout").alias("checkout_sessions"),
-            F.count_if(F.col("reached_begin_checkout") & left).alias("checkout_abandoned_sessions"),
-            F.count_if("reached_add_payment_info").alias("payment_sessions"),
-            F.count_if("purchased").alias("purchasing_sessions"),
-            F.sum("orders").alias("orders"),
-            F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue_usd"),
-        )
+        .agg(*[F.sum(named.get(c, c)).alias(named.get(c, c)) for c in SUMS])
     )
     arrivals = users.groupBy(
         F.col("first_visit_date").alias("date"),

@@ -1,6 +1,8 @@
-"""Data quality reports over raw events.
+"""Data quality reports.
 
-Obscured and missing values are counted and reported, never dropped.
+All but the one on obscured values, which reads columns that nothing else does, come from one profile of the
+clean events, so a job reads the raw events once for them and once for the obscured values.  Obscured and missing
+values are counted and reported, never dropped.  The functions named dq_ take raw events and profile them first.
 """
 
 from __future__ import annotations
@@ -9,60 +11,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
-from clickloom.functions.columns import int_param, money_sum, pct, ratio, raw_date, share_of_total, string_param, with_one_row
+from clickloom.functions.columns import MONEY, int_param, pct, ratio, share_of_total, string_param, with_one_row
+from clickloom.operators.sessions import clean_events
 
 
-def _without_id(cfg: AnalyticsConfig) -> Column:
-    transaction = F.col("ecommerce.transaction_id")
-    return transaction.isNull() | (transaction == cfg.missing_transaction_id)
+#: Purchase events by what is wrong with them; the names of counts in the profile.
+ODD_PURCHASES = ("null_transaction_id", "not_set_transaction_id", "null_revenue", "zero_revenue")
+
+
+def event_profile(events: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+    """Clean events folded to (day, name, user): the counts, sums and extremes of which the reports are made.
+
+    Everything in it is a sum, a least or a greatest value, so profiles of several days, or of parts of a day, are
+    merged by folding them again, and distinct users are counted among far fewer rows than there are events.
+    """
+    buys = F.col("event_name") == "purchase"
+    revenue = F.when(buys, F.col("purchase_revenue_usd"))
+    odd = {
+        "null_transaction_id": F.col("transaction_id").isNull(),
+        "not_set_transaction_id": F.col("transaction_id") == cfg.missing_transaction_id,
+        "null_revenue": F.col("purchase_revenue_usd").isNull(),
+        "zero_revenue": F.col("purchase_revenue_usd") == 0,
+    }
+    return events.groupBy("event_date", "event_name", "user_pseudo_id").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col("ga_session_id").isNull()).alias("missing_session_id"),
+        F.min("ga_session_number").alias("min_session_number"),
+        *[F.count_if(buys & test).alias(name) for name, test in odd.items()],
+        F.sum(revenue.cast(MONEY)).alias("revenue"),
+        F.count(revenue).alias("with_revenue"),
+        F.min(revenue).alias("min_revenue"),
+        F.max(revenue).alias("max_revenue"),
+    )
+
+
+def _profile(raw: DataFrame, cfg: AnalyticsConfig | None = None) -> DataFrame:
+    return event_profile(clean_events(raw), cfg or AnalyticsConfig())
 
 
 def dq_overview(raw: DataFrame) -> DataFrame:
+    """Size and coverage of raw events, in one row."""
+    return overview(_profile(raw), clean_events(raw))
+
+
+def overview(profile: DataFrame, events: DataFrame) -> DataFrame:
     """Size and coverage of the data, in one row.
 
-    Three distinct counts over raw events would multiply every event by three.
-    Counting up level by level (session, user, total) needs one pass, and each
-    level is already reduced before it is shuffled.
+    Sessions are counted up level by level (session, user, total) from clean events, as a distinct count of pairs
+    would multiply every event.
     """
-    day = F.col("event_date").cast("int")
-    sessions = raw.groupBy("user_pseudo_id", int_param("ga_session_id").alias("session_id")).agg(
-        F.count(F.lit(1)).alias("events"), F.min(day).alias("first_day"), F.max(day).alias("last_day")
-    )
-    users = sessions.groupBy("user_pseudo_id").agg(
-        F.sum("events").alias("events"),
-        F.min("first_day").alias("first_day"),
-        F.max("last_day").alias("last_day"),
-        F.count("session_id").alias("sessions"),
-    )
+    users = profile.groupBy("user_pseudo_id").agg(F.sum("events").alias("events"))
     totals = users.agg(
-        F.sum("events").alias("total_events"),
-        raw_date(F.min("first_day")).alias("first_date"),
-        raw_date(F.max("last_day")).alias("last_date"),
-        F.count("user_pseudo_id").alias("users"),
-        F.coalesce(F.sum(F.when(F.col("user_pseudo_id").isNotNull(), F.col("sessions"))), F.lit(0)).alias(
-            "sessions_with_id"
-        ),
+        F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"), F.count("user_pseudo_id").alias("users")
     )
-    days = raw.agg(F.count_distinct("event_date").alias("daily_tables"))
-    return with_one_row(totals, days).select(
+    days = profile.groupBy("event_date").agg(F.count(F.lit(1)).alias("rows")).agg(
+        F.count(F.lit(1)).alias("daily_tables"),
+        F.min("event_date").alias("first_date"),
+        F.max("event_date").alias("last_date"),
+    )
+    known = F.col("user_pseudo_id").isNotNull() & F.col("ga_session_id").isNotNull()
+    sessions = events.where(known).select("user_pseudo_id", "ga_session_id").distinct()
+    counted = sessions.agg(F.count(F.lit(1)).alias("sessions_with_id"))
+    return with_one_row(with_one_row(totals, days), counted).select(
         "total_events", "daily_tables", "first_date", "last_date", "users", "sessions_with_id"
     )
 
 
+def _reach(profile: DataFrame, by: str, *counts: str) -> DataFrame:
+    """Sums of the counts and the number of users, by name or day; users are told apart before they are counted."""
+    per_user = profile.groupBy(by, "user_pseudo_id").agg(*[F.sum(c).alias(c) for c in ("events", *counts)])
+    return per_user.groupBy(by).agg(
+        F.sum("events").alias("events"),
+        F.count("user_pseudo_id").alias("users"),
+        F.sum(F.when(F.col("user_pseudo_id").isNull(), F.col("events")).otherwise(0)).alias("missing_user"),
+        *[F.sum(c).alias(c) for c in counts],
+    )
+
+
 def dq_events_by_name(raw: DataFrame) -> DataFrame:
     """Volume, share and reach of each event name."""
-    counts = raw.groupBy("event_name").agg(
-        F.count(F.lit(1)).alias("events"), F.count_distinct("user_pseudo_id").alias("users")
-    )
+    return events_by_name(_profile(raw))
+
+
+def events_by_name(profile: DataFrame) -> DataFrame:
+    counts = _reach(profile, "event_name")
     return counts.select("event_name", "events", share_of_total("events").alias("pct_of_events"), "users")
 
 
 def dq_daily_events(raw: DataFrame) -> DataFrame:
     """Events and users per day."""
-    counts = raw.groupBy("event_date").agg(
-        F.count(F.lit(1)).alias("events"), F.count_distinct("user_pseudo_id").alias("users")
-    )
-    return counts.withColumn("event_date", raw_date())
+    return daily_events(_profile(raw))
+
+
+def daily_events(profile: DataFrame) -> DataFrame:
+    return _reach(profile, "event_date").select("event_date", "events", "users")
 
 
 def inspected_columns() -> dict[str, Column]:
@@ -128,38 +170,39 @@ def dq_obscured_values(raw: DataFrame, columns: dict[str, Column] | None = None)
 
 def dq_funnel_events(raw: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """Volume and reach of the funnel events, and how many lack a user or session id."""
-    counts = (
-        raw.where(F.col("event_name").isin(*cfg.funnel_events))
-        .groupBy("event_name")
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.count_distinct("user_pseudo_id").alias("users"),
-            F.count_if(F.col("user_pseudo_id").isNull()).alias("events_missing_user"),
-            F.count_if(int_param("ga_session_id").isNull()).alias("events_missing_session_id"),
-        )
+    return funnel_events(_profile(raw, cfg), cfg)
+
+
+def funnel_events(profile: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+    counts = _reach(profile.where(F.col("event_name").isin(*cfg.funnel_events)), "event_name", "missing_session_id")
+    return counts.select(
+        "event_name",
+        "events",
+        "users",
+        F.col("missing_user").alias("events_missing_user"),
+        F.col("missing_session_id").alias("events_missing_session_id"),
+        pct("missing_session_id", "events").alias("missing_session_id_pct"),
     )
-    return counts.withColumn("missing_session_id_pct", pct("events_missing_session_id", "events"))
 
 
 def dq_purchases(raw: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """Repeated ids, missing ids and the revenue range of purchase events."""
-    purchases = raw.where(F.col("event_name") == "purchase").select(
-        F.col("ecommerce.transaction_id").alias("transaction_id"),
-        F.col("ecommerce.purchase_revenue_in_usd").alias("revenue"),
-    )
-    totals = purchases.agg(
-        F.count(F.lit(1)).alias("purchase_events"),
-        F.count_distinct("transaction_id").alias("distinct_transactions"),
-        F.count_if(F.col("transaction_id").isNull()).alias("null_transaction_id"),
-        F.count_if(F.col("transaction_id") == cfg.missing_transaction_id).alias("not_set_transaction_id"),
-        F.count_if(F.col("revenue").isNull()).alias("null_revenue"),
-        F.count_if(F.col("revenue") == 0).alias("zero_revenue"),
-        money_sum("revenue").alias("revenue"),
-        F.count("revenue").alias("with_revenue"),
-        F.min("revenue").alias("min_revenue"),
-        F.max("revenue").alias("max_revenue"),
+    return purchases(_profile(raw, cfg), clean_events(raw))
+
+
+def purchases(profile: DataFrame, events: DataFrame) -> DataFrame:
+    """Everything from the profile but the distinct transaction ids, which need the purchase events."""
+    buys = F.col("event_name") == "purchase"
+    totals = profile.where(buys).agg(
+        F.coalesce(F.sum("events"), F.lit(0)).alias("purchase_events"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*ODD_PURCHASES, "with_revenue")],
+        F.sum("revenue").cast("double").alias("revenue"),
+        F.min("min_revenue").alias("min_revenue"),
+        F.max("max_revenue").alias("max_revenue"),
     )
-    return totals.select(
+    ids = events.where(buys & F.col("transaction_id").isNotNull()).select("transaction_id").distinct()
+    distinct = ids.agg(F.count(F.lit(1)).alias("distinct_transactions"))
+    return with_one_row(totals, distinct).select(
         "purchase_events",
         "distinct_transactions",
         (F.col("purchase_events") - F.col("distinct_transactions")).alias("duplicate_or_null_id_events"),
@@ -176,20 +219,29 @@ def dq_purchases(raw: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
 
 def dq_daily_tracking(raw: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """Does each funnel event fire steadily?  Counts per day."""
-    buys = F.col("event_name") == "purchase"
-    revenue = F.col("ecommerce.purchase_revenue_in_usd")
+    return daily_tracking(_profile(raw, cfg))
+
+
+def daily_tracking(profile: DataFrame) -> DataFrame:
     tracked = ("view_item", "add_to_cart", "begin_checkout", "add_payment_info", "purchase")
-    daily = raw.groupBy("event_date").agg(
-        *[F.count_if(F.col("event_name") == name).alias(f"{name}_events") for name in tracked],
-        F.count_if(buys & _without_id(cfg)).alias("purchase_events_without_id"),
-        F.count_if(buys & (revenue.isNull() | (revenue == 0))).alias("purchase_events_zero_revenue"),
+
+    def of(name: str) -> Column:
+        return F.sum(F.when(F.col("event_name") == name, F.col("events")).otherwise(0)).alias(f"{name}_events")
+
+    return profile.groupBy("event_date").agg(
+        *[of(name) for name in tracked],
+        F.sum(F.col("null_transaction_id") + F.col("not_set_transaction_id")).alias("purchase_events_without_id"),
+        F.sum(F.col("null_revenue") + F.col("zero_revenue")).alias("purchase_events_zero_revenue"),
     )
-    return daily.withColumn("event_date", raw_date())
 
 
 def dq_new_vs_returning(raw: DataFrame) -> DataFrame:
     """How many users already look returning the first time they are seen."""
-    lowest = raw.groupBy("user_pseudo_id").agg(F.min(int_param("ga_session_number")).alias("number"))
+    return new_vs_returning(_profile(raw))
+
+
+def new_vs_returning(profile: DataFrame) -> DataFrame:
+    lowest = profile.groupBy("user_pseudo_id").agg(F.min("min_session_number").alias("number"))
     counts = lowest.agg(
         F.count(F.lit(1)).alias("users"),
         F.count_if(F.col("number") == 1).alias("new_in_period"),

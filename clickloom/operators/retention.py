@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
-from clickloom.functions.columns import MONEY, all_of, money_sum, pct, ratio, share_of_total, week_start
-from clickloom.functions.joins import salted_join
-from clickloom.operators.users import eligible_flag, first_session_key, returned_flag
+from clickloom.functions.columns import all_of, money_sum, pct, ratio, share_of_total, week_start
+from clickloom.operators.userdays import user_days
+from clickloom.operators.users import eligible_flag, returned_flag
+from clickloom.operators.visits import VISIT_SUMS, user_visits
 
 
 def new_vs_returning(users: DataFrame) -> DataFrame:
@@ -47,18 +48,15 @@ def _equal_window(users: DataFrame, sessions: DataFrame, label: str, days: int)
     """Activity of each eligible user in days 0 to ``days`` after the first visit.
 
     That is ``days + 1`` dates.  Every user has at least the first visit itself.
-    Sessions are folded to user-days before the join, so that no user brings more
-    rows to it than there are days in the data.
+    ``sessions`` may be the stored user-days, which meet the users without a shuffle;
+    sessions are folded to them first.
     """
     eligible = users.where(eligible_flag(days)).select("user_pseudo_id", label, "first_visit_date")
-    user_days = sessions.groupBy("user_pseudo_id", "session_date").agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.sum("orders").alias("orders"),
-        F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue"),
-    )
     age = F.date_diff("session_date", "first_visit_date")
     return (
-        user_days.join(eligible, "user_pseudo_id")
+        user_days(sessions)
+        .select("user_pseudo_id", "session_date", "sessions", "orders", "revenue")
+        .join(eligible, "user_pseudo_id")
         .where(age.between(0, days))
         .groupBy("user_pseudo_id", label)
         .agg(
@@ -231,44 +229,13 @@ def sessions_per_user(users: DataFrame) -> DataFrame:
 def revenue_by_visit_number(sessions: DataFrame, users: DataFrame) -> DataFrame:
     """First, second and later visits of each user type.
 
-    Only the first two visits of a user need numbering.  The limit on the row number
-    is applied before the shuffle, so a user with very many sessions contributes two
-    rows per task; later visits are all sessions less those two.
+    ``sessions`` may be the stored visits of each user (see ``visits.user_visits``); sessions are numbered first.
     """
-    user_types = users.select("user_pseudo_id", "user_type")
-    measures = ["sessions", "purchasing_sessions", "orders", "revenue"]
-    counts = [
-        F.count(F.lit(1)).alias("sessions"),
-        F.count_if("purchased").alias("purchasing_sessions"),
-        F.sum("orders").alias("orders"),
-        F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue"),
-    ]
-    columns = ["user_pseudo_id", "purchased", "orders", "revenue_usd"]
-    by_time = Window.partitionBy("user_pseudo_id").orderBy("session_start_ts", "ga_session_id")
-    early = (
-        sessions.select(*columns, F.row_number().over(by_time).alias("visit_number"))
-        .where(F.col("visit_number") <= 2)
-        .join(user_types, "user_pseudo_id")
-        .groupBy("user_type", "visit_number")
-        .agg(*counts)
-    )
-    every = sessions.select(*columns).join(user_types, "user_pseudo_id").groupBy("user_type").agg(*counts)
-    # Each early visit counts for its own number and against the later visits.
-    early_twice = early.select(
-        "user_type",
-        F.inline(
-            F.array(
-                F.struct("visit_number", *measures),
-                F.struct(F.lit(3).alias("visit_number"), *[(-F.col(m)).alias(m) for m in measures]),
-            )
-        ),
-    )
     visits = (
-        every.withColumn("visit_number", F.lit(3))
-        .unionByName(early_twice)
+        user_visits(sessions)
+        .join(users.select("user_pseudo_id", "user_type"), "user_pseudo_id")
         .groupBy("user_type", "visit_number")
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .where(F.col("sessions") > 0)
+        .agg(*[F.sum(m).alias(m) for m in VISIT_SUMS])
         .withColumn("revenue", F.col("revenue").cast("double"))
     )
     label = (
@@ -290,24 +257,10 @@ def revenue_by_visit_number(sessions: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def first_purchases(sessions: DataFrame) -> DataFrame:
-    """Per buyer, the visit number and date of the first purchase.
-
-    The visit number is one more than the sessions before it, so it is a count over
-    the sessions of buyers rather than a numbering of everybody's sessions.  A
-    buyer's sessions are counted in several tasks and the counts then added.
-    """
-    visit = first_session_key()
-    first_buy = (
-        sessions.where("purchased")
-        .groupBy("user_pseudo_id")
-        .agg(F.min(visit).alias("first_buy"), F.min("session_date").alias("first_buy_date"))
-    )
-    visits = sessions.select("user_pseudo_id", "session_start_ts", "ga_session_id")
-    return (
-        salted_join(visits, first_buy, "user_pseudo_id", ["session_start_ts", "ga_session_id"])
-        .where(visit <= F.col("first_buy"))
-        .groupBy("user_pseudo_id", "first_buy_date")
-        .agg(F.count(F.lit(1)).alias("first_buy_visit"))
+    """Per buyer, the visit number and date of the first purchase (from sessions, or from the visits of each user)."""
+    buys = user_visits(sessions).where(F.col("first_buy_visit").isNotNull())
+    return buys.groupBy("user_pseudo_id").agg(
+        F.min("first_buy_date").alias("first_buy_date"), F.min("first_buy_visit").alias("first_buy_visit")
     )
 
 

@@ -2,7 +2,8 @@
 
 Sessions are folded to (date, user) or (date, channel) before anything else.  The
 periods then meet a frame of at most a few rows per date, and no distinct count
-runs next to other aggregates over sessions.
+runs next to other aggregates over sessions.  Where a function needs users by
+date, ``sessions`` may be the stored user-days, which are not folded again.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
 from clickloom.functions.columns import (
-    MONEY,
     from_row,
     literal_table,
     money_sum,
@@ -22,8 +22,11 @@ from clickloom.functions.columns import (
     share_of_total,
     week_start,
 )
+from clickloom.operators.userdays import by_day
 from clickloom.schema import SEASON_PERIODS
 
+VALUE = ("sessions", "purchasing_sessions", "orders", "revenue")
+
 
 def season_periods(spark: SparkSession, cfg: AnalyticsConfig) -> DataFrame:
     """The named date ranges."""
@@ -40,19 +43,10 @@ def in_period(df: DataFrame, periods: DataFrame, day: str, how: str = "inner") -
     return df.join(F.broadcast(periods), F.col(day).between(F.col("start_date"), F.col("end_date")), how)
 
 
-def _user_days(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("session_date", "user_pseudo_id").agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.count_if("purchased").alias("purchasing_sessions"),
-        F.sum("orders").alias("orders"),
-        F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue"),
-    )
-
-
 def _fold_users(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
     """From user-days to groups: per (group, user) first, then per group."""
     per_user = rows.groupBy(*by, "user_pseudo_id").agg(
-        *[F.sum(c).alias(c) for c in ("sessions", "purchasing_sessions", "orders", "revenue")], *more
+        *[F.sum(c).alias(c) for c in VALUE], *more
     )
     known = F.col("user_pseudo_id").isNotNull()
     return per_user.groupBy(*by).agg(
@@ -71,9 +65,10 @@ def _fold_users(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
 def period_metrics(sessions: DataFrame, users: DataFrame, periods: DataFrame) -> DataFrame:
     """Unrounded totals and per-day rates of each period; one without sessions or new users counts 0."""
     # The users of each day, added up over the days, are the user-days of the period.
-    in_periods = in_period(_user_days(sessions), periods, "session_date")
+    per_day = by_day(sessions, *VALUE)
+    in_periods = in_period(per_day, periods, "session_date")
     totals = _fold_users(in_periods, ["period_order"], F.count(F.lit(1)).alias("user_days"))
-    dates = sessions.groupBy("session_date").agg(F.count(F.lit(1)).alias("sessions"))
+    dates = per_day.select("session_date").distinct()
     average = in_period(dates, periods, "session_date").groupBy("period_order").agg(F.count(F.lit(1)).alias("days_seen"))
     starts = users.groupBy("first_visit_date").agg(F.count_if(F.col("user_type") == "new").alias("new_users"))
     started = (
@@ -153,7 +148,7 @@ def weekly_trend(sessions: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
 
     The days seen in a week are gathered as seven bits, which combine like a sum.
     """
-    by_week = _user_days(sessions).withColumns(
+    by_week = by_day(sessions, *VALUE).withColumns(
         {"week_start": week_start("session_date"), "bit": F.expr("shiftleft(1, weekday(session_date))")}
     )
     weeks = _fold_users(
@@ -180,19 +175,14 @@ def daily_trend(sessions: DataFrame, users: DataFrame, cfg: AnalyticsConfig) ->
 
     A session belongs to the date on which it started.
     """
-    steps = {
-        "product_view_sessions": "reached_view_item",
-        "add_to_cart_sessions": "reached_add_to_cart",
-        "begin_checkout_sessions": "reached_begin_checkout",
-        "add_payment_sessions": "reached_add_payment_info",
-        "purchasing_sessions": "purchased",
-    }
-    per_user = sessions.groupBy(F.col("session_date").alias("date"), "user_pseudo_id").agg(
-        F.count(F.lit(1)).alias("sessions"),
-        *[F.count_if(flag).alias(name) for name, flag in steps.items()],
-        F.sum("orders").alias("orders"),
-        F.sum(F.col("revenue_usd").cast(MONEY)).alias("revenue"),
+    steps = (
+        "product_view_sessions",
+        "add_to_cart_sessions",
+        "begin_checkout_sessions",
+        "add_payment_sessions",
+        "purchasing_sessions",
     )
+    per_user = by_day(sessions, "sessions", *steps, "orders", "revenue").withColumnRenamed("session_date", "date")
     daily = per_user.groupBy("date").agg(
         F.count("user_pseudo_id").alias("users"),
         F.sum("sessions").alias("sessions"),

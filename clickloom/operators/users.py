@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
 from clickloom.functions.columns import all_of, money_sum, pct, with_one_row
+from clickloom.operators.userdays import STEP_COUNTS, build_user_days, day_bitmaps, visit_days, words_for
 
 REACHED_STEPS = (
     "reached_view_item",
@@ -17,11 +18,6 @@ REACHED_STEPS = (
 )
 
 
-def first_session_key() -> Column:
-    """Orders the sessions of a user by time; the session id settles equal times."""
-    return F.struct("session_start_ts", "ga_session_id")
-
-
 def returned_flag(days: int) -> str:
     return f"returned_within_{days}d"
 
@@ -31,33 +27,35 @@ def eligible_flag(days: int) -> str:
 
 
 def build_users(sessions: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
-    """Who the users are: first visit, user type, activity, returns and value.
+    """Who the users are: first visit, user type, activity, returns and value."""
+    return users_of(build_user_days(sessions), cfg)
+
 
-    Everything comes from one grouping by user.  The distinct visit dates of a user
-    (never more than the days in the data) give both the active days and the
-    returns, so sessions need not be joined back to the first visit.
+def users_of(user_days: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+    """Users from their days.
+
+    Active days and returns come from bitmaps of the days, everything else from sums and least values, so no
+    aggregate gathers a user's days.  Both groupings are by user; of a table that is kept by user, neither shuffles.
     """
-    first = F.struct("session_start_ts", "ga_session_id", "session_date", "device_category", "country")
-    per_user = sessions.groupBy("user_pseudo_id").agg(
+    words = words_for(cfg.long_window)
+    days = visit_days(day_bitmaps(user_days, words), words)
+    first = F.struct("first.session_start_ts", "first.ga_session_id", "device_category", "country")
+    per_user = user_days.groupBy("user_pseudo_id").agg(
         F.min(first).alias("first"),
-        F.min("ga_session_number").alias("min_session_number"),
-        F.min(F.struct("acq_channel", "acq_medium", "acq_source")).alias("acq"),
-        F.count(F.lit(1)).alias("sessions"),
-        F.collect_set("session_date").alias("dates"),
+        F.min("min_session_number").alias("min_session_number"),
+        F.min("acq").alias("acq"),
+        F.sum("sessions").alias("sessions"),
         F.sum("page_views").alias("page_views"),
-        *[F.bool_or(flag).alias(flag) for flag in REACHED_STEPS],
+        *[(F.sum(name) > 0).alias(flag) for name, flag in STEP_COUNTS.items() if flag in REACHED_STEPS],
         F.sum("orders").alias("orders"),
-        money_sum("revenue_usd").alias("revenue_usd"),
+        F.sum("revenue").cast("double").alias("revenue_usd"),
     )
-    last_date = sessions.agg(F.max("session_date").alias("last_date"))
-    first_date = F.col("first.session_date")
-
-    def returned(days: int) -> Column:
-        return F.exists("dates", lambda d: F.date_diff(d, first_date).between(1, days))
+    last_date = user_days.agg(F.max("session_date").alias("last_date"))
+    waited = F.date_diff("next_day", "first_day")
 
-    return with_one_row(per_user, last_date).select(
+    return with_one_row(per_user.join(days, "user_pseudo_id"), last_date).select(
         "user_pseudo_id",
-        first_date.alias("first_visit_date"),
+        F.col("first_day").alias("first_visit_date"),
         "min_session_number",
         F.when(F.col("min_session_number") == 1, "new").otherwise("returning").alias("user_type"),
         F.col("first.device_category").alias("first_device_category"),
@@ -67,14 +65,14 @@ def build_users(sessions: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
         "acq.acq_source",
         "sessions",
         (F.col("sessions") > 1).alias("repeat_visitor"),
-        F.size("dates").cast("bigint").alias("active_days"),
+        "active_days",
         "page_views",
         *REACHED_STEPS,
         "orders",
         (F.col("orders") > 0).alias("purchased"),
         "revenue_usd",
-        *[returned(n).alias(returned_flag(n)) for n in cfg.return_windows],
-        *[(first_date <= F.date_sub("last_date", n)).alias(eligible_flag(n)) for n in cfg.return_windows],
+        *[F.coalesce(waited <= n, F.lit(False)).alias(returned_flag(n)) for n in cfg.return_windows],
+        *[(F.col("first_day") <= F.date_sub("last_date", n)).alias(eligible_flag(n)) for n in cfg.return_windows],
     )
 
 

@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None) -> None:
     raw = read_events(spark, args.events, cfg.first_date, cfg.last_date)
     if raw.isEmpty():
         raise SystemExit(f"{args.events} has no events from {cfg.first_date} to {cfg.last_date}")
-    ws = Workspace(spark, raw, cfg, TableStore(spark, f"{args.output}/tables"))
+    ws = Workspace(spark, raw, cfg, TableStore(spark, f"{args.output}/tables"), by_date=True)
     for name in run(ws, f"{args.output}/reports", args.report):
         print(name)
 

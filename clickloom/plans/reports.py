@@ -34,14 +34,14 @@ class Report:
 
 
 REPORTS = (
-    Report("dq_overview", lambda w: quality.dq_overview(w.raw)),
-    Report("dq_events_by_name", lambda w: quality.dq_events_by_name(w.raw), ("-events",)),
-    Report("dq_daily_events", lambda w: quality.dq_daily_events(w.raw), ("event_date",)),
+    Report("dq_overview", lambda w: quality.overview(w.event_profile, w.events)),
+    Report("dq_events_by_name", lambda w: quality.events_by_name(w.event_profile), ("-events",)),
+    Report("dq_daily_events", lambda w: quality.daily_events(w.event_profile), ("event_date",)),
     Report("dq_obscured_values", lambda w: quality.dq_obscured_values(w.raw), ("-unusable_pct",)),
-    Report("dq_funnel_events", lambda w: quality.dq_funnel_events(w.raw, w.cfg), ("-events",)),
-    Report("dq_purchases", lambda w: quality.dq_purchases(w.raw, w.cfg)),
-    Report("dq_daily_tracking", lambda w: quality.dq_daily_tracking(w.raw, w.cfg), ("event_date",)),
-    Report("dq_new_vs_returning", lambda w: quality.dq_new_vs_returning(w.raw)),
+    Report("dq_funnel_events", lambda w: quality.funnel_events(w.event_profile, w.cfg), ("-events",)),
+    Report("dq_purchases", lambda w: quality.purchases(w.event_profile, w.events)),
+    Report("dq_daily_tracking", lambda w: quality.daily_tracking(w.event_profile), ("event_date",)),
+    Report("dq_new_vs_returning", lambda w: quality.new_vs_returning(w.event_profile)),
     Report("check_sessions", lambda w: sessions.check_sessions(w.events, w.sessions)),
     Report("sessions_by_channel", lambda w: sessions.sessions_by_channel(w.sessions), ("-users",)),
     Report("check_users", lambda w: users.check_users(w.users, w.cfg)),
@@ -66,31 +66,31 @@ REPORTS = (
     Report("new_vs_returning", lambda w: retention.new_vs_returning(w.users), ("-users",)),
     Report(
         "new_vs_returning_window",
-        lambda w: retention.new_vs_returning_window(w.users, w.sessions, w.cfg),
+        lambda w: retention.new_vs_returning_window(w.users, w.user_days, w.cfg),
         ("-users",),
     ),
-    Report("returner_value", lambda w: retention.returner_value(w.users, w.sessions, w.cfg), ("users",)),
+    Report("returner_value", lambda w: retention.returner_value(w.users, w.user_days, w.cfg), ("users",)),
     Report("retention_summary", lambda w: retention.retention_summary(w.users, w.cfg), ("user_type", "window_days")),
     Report("retention_by_channel", lambda w: retention.retention_by_channel(w.users, w.cfg), ("-new_users",)),
     Report("retention_by_cohort_week", lambda w: retention.retention_by_cohort_week(w.users, w.cfg), ("cohort_week",)),
     Report("sessions_per_user", lambda w: retention.sessions_per_user(w.users), ("min_sessions",)),
     Report(
         "revenue_by_visit_number",
-        lambda w: retention.revenue_by_visit_number(w.sessions, w.users),
+        lambda w: retention.revenue_by_visit_number(w.user_visits, w.users),
         ("user_type", "min_visit_number"),
     ),
     Report(
         "first_purchase_timing",
-        lambda w: retention.first_purchase_timing(w.sessions, w.users),
+        lambda w: retention.first_purchase_timing(w.user_visits, w.users),
         ("user_type", "min_visit_number"),
     ),
     Report(
         "period_summary",
-        lambda w: season.period_summary(w.sessions, w.users, w.periods, w.cfg),
+        lambda w: season.period_summary(w.user_days, w.users, w.periods, w.cfg),
         ("period_order",),
     ),
-    Report("weekly_trend", lambda w: season.weekly_trend(w.sessions, w.cfg), ("week_start",)),
-    Report("daily_trend", lambda w: season.daily_trend(w.sessions, w.users, w.cfg), ("date",)),
+    Report("weekly_trend", lambda w: season.weekly_trend(w.user_days, w.cfg), ("week_start",)),
+    Report("daily_trend", lambda w: season.daily_trend(w.user_days, w.users, w.cfg), ("date",)),
     Report("period_funnel", lambda w: season.period_funnel(w.sessions, w.periods), ("period_order",)),
     Report(
         "period_channel_mix",

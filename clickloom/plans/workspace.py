@@ -4,6 +4,11 @@ Each table is built on first use from the tables before it.  With a store it is
 written as Parquet and read back, so that later stages scan only the columns and
 dates they need and losing an executor never replays the whole history; without
 one the tables stay lazy and everything is one plan.
+
+Tables with a bounded number of rows a user (user-days, users, a user's visits) are
+kept by user, so that they meet and are grouped by user without a shuffle.  With
+``by_date``, events and sessions are written as a directory for each day, so that
+reports on a range of days open only these.
 """
 
 from __future__ import annotations
@@ -13,24 +18,42 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from clickloom.config import AnalyticsConfig
-from clickloom.operators import facts, funnel, product, season, sessions, users
+from clickloom.operators import facts, funnel, product, quality, season, sessions, userdays, users, visits
 from clickloom.operators.metrics import Dashboard
 from clickloom.sources.tables import TableStore
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, raw: DataFrame, cfg: AnalyticsConfig, store: TableStore | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        raw: DataFrame,
+        cfg: AnalyticsConfig,
+        store: TableStore | None = None,
+        by_date: bool = False,
+    ):
         self.spark = spark
         self.raw = raw
         self.cfg = cfg
         self.store = store
+        self.by_date = by_date
 
     def _table(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         return df if self.store is None else self.store.build(name, df, partition_by)
 
+    def _dated(self, name: str, df: DataFrame, day: str) -> DataFrame:
+        return self._table(name, df, day if self.by_date else None)
+
+    def _by_user(self, name: str, df: DataFrame) -> DataFrame:
+        return df if self.store is None else self.store.build(name, df, bucket_by="user_pseudo_id")
+
     @cached_property
     def events(self) -> DataFrame:
-        return self._table("events_clean", sessions.clean_events(self.raw))
+        return self._dated("events_clean", sessions.clean_events(self.raw), "event_date")
+
+    @cached_property
+    def event_profile(self) -> DataFrame:
+        return self._table("event_profile", quality.event_profile(self.events, self.cfg))
 
     @cached_property
     def first_touch(self) -> DataFrame:
@@ -38,11 +61,24 @@ class Workspace:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return self._table("sessions", sessions.build_sessions(self.events, self.cfg, self.first_touch))
+        built = sessions.build_sessions(self.events, self.cfg, self.first_touch)
+        return self._dated("sessions", built, "session_date")
+
+    @cached_property
+    def user_days(self) -> DataFrame:
+        return self._by_user("user_days", userdays.build_user_days(self.sessions))
 
     @cached_property
     def users(self) -> DataFrame:
-        return self._table("users", users.build_users(self.sessions, self.cfg))
+        return self._by_user("users", users.users_of(self.user_days, self.cfg))
+
+    @cached_property
+    def visit_numbers(self) -> DataFrame:
+        return self._table("visit_numbers", visits.visit_numbers(self.sessions, self.store))
+
+    @cached_property
+    def user_visits(self) -> DataFrame:
+        return self._by_user("user_visits", visits.fold_visits(self.visit_numbers))
 
     @cached_property
     def cart_sessions(self) -> DataFrame:
@@ -80,7 +116,7 @@ class Workspace:
 
     @cached_property
     def fact_sessions(self) -> DataFrame:
-        return self._table("fact_sessions", facts.fact_sessions(self.sessions, self.users, self.cfg))
+        return self._table("fact_sessions", facts.fact_sessions(self.user_days, self.users, self.cfg))
 
     @cached_property
     def fact_product_daily(self) -> DataFrame:

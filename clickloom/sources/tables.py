@@ -18,17 +18,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class TableStore:
-    """Parquet tables in one folder; writing one cuts the lineage behind it."""
+    """Parquet tables in one folder; writing one cuts the lineage behind it.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    Tables that are kept by a key are catalogue tables in ``buckets`` buckets (by default the session's shuffle
+    partitions), sorted by the key: joins and groupings by it need no shuffle.  One bucket is one task, so that is for
+    tables in which a key has a bounded number of rows.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._prefix = f"tables_{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def build(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
-        """Replace the table and return it as read back from storage."""
+    def build(
+        self, name: str, df: DataFrame, partition_by: str | None = None, bucket_by: str | None = None
+    ) -> DataFrame:
+        """Replace the table and return it as read back from storage.
+
+        ``partition_by`` writes a directory for each value, its rows in files of the advisory size.
+        """
+        if bucket_by is not None:
+            table = f"{self._prefix}_{name}"
+            whole = df.repartition(self.buckets, bucket_by)  # one file for each bucket
+            writer = whole.write.mode("overwrite").bucketBy(self.buckets, bucket_by).sortBy(bucket_by)
+            writer.option("path", self.path(name)).format("parquet").saveAsTable(table)
+            return self.spark.table(table)
         if partition_by is not None:
             df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(
                 self.path(name)

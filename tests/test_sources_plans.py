@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from checks import queries as registered
 from clickloom import schema
 from clickloom.config import AnalyticsConfig
-from clickloom.functions.joins import salted_join
 from clickloom.operators import metrics, product, quality, sessions
 from clickloom.plans import pipeline
 from clickloom.plans.reports import REPORTS
@@ -87,11 +86,10 @@ def test_no_plan_joins_without_bound(spark):
                 assert "FileScan" not in block.split("Aggregate")[0], name
 
 
-def test_visit_numbers_are_limited_before_the_shuffle(spark):
-    text = plan(registered.queries()["revenue_by_visit_number"](spark, SF))
-    final, partial = re.findall(r"WindowGroupLimit .* (Final|Partial)", text)[:2]
-    assert (final, partial) == ("Final", "Partial")
-    assert "Exchange" in text.split("WindowGroupLimit")[1]
+def test_visits_are_numbered_once_and_folded_before_they_meet_users(spark):
+    for name in ("revenue_by_visit_number", "first_purchase_timing"):
+        text = plan(registered.queries()[name](spark, SF))
+        assert "/user_visits]" in text and "/sessions]" not in text and "row_number" not in text
 
 
 def test_a_user_with_most_sessions_is_split_over_tasks(spark, tmp_path):
@@ -135,13 +133,6 @@ def test_a_user_with_most_sessions_is_split_over_tasks(spark, tmp_path):
             spark.conf.unset(key)
 
 
-def test_salted_join_equals_a_join(spark):
-    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("x"))
-    lookup = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("y"))
-    got = salted_join(rows, lookup, "k", ["x"], salts=4)
-    assert sorted(got.collect()) == sorted(rows.join(lookup, "k").collect())
-
-
 def test_table_store_reads_back_what_it_wrote(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     df = spark.createDataFrame([(1, "a", date(2020, 1, 1)), (2, None, date(2020, 1, 2))], "x int, y string, d date")
