@@ -76,7 +76,16 @@ def first_touch(events: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     Only the medium is tested.  A first pass keeps the earliest time of each
     medium and source with fixed-width aggregates; the second picks among those few.
     """
-    seen = events.groupBy("user_pseudo_id", "acq_medium", "acq_source").agg(F.min("event_ts").alias("ts"))
+    return pick_touch(touch_times(events), cfg)
+
+
+def touch_times(events: DataFrame, *more: str) -> DataFrame:
+    """The earliest time of each medium and source of a user (and of ``more``, such as the day)."""
+    return events.groupBy("user_pseudo_id", "acq_medium", "acq_source", *more).agg(F.min("event_ts").alias("ts"))
+
+
+def pick_touch(seen: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+    """The first touch of each user from such times, which may come from several sets of events."""
     touch = F.struct("ts", "acq_medium", "acq_source")
     named = ~F.col("acq_medium").isin(*cfg.obscured_mediums)
     picked = seen.groupBy("user_pseudo_id").agg(F.coalesce(F.min(F.when(named, touch)), F.min(touch)).alias("touch"))
@@ -101,8 +110,13 @@ def session_activity(events: DataFrame) -> DataFrame:
     one row per session, using fixed-width aggregates only.  The earliest device and
     country are then chosen among those rows, not among all events.
     """
+    return merge_activity(fold_activity(events))
+
+
+def fold_activity(events: DataFrame, *more: str) -> DataFrame:
+    """Events folded by session, device and country (and by ``more``, such as the day)."""
     is_event = {flag: F.col("event_name") == name for flag, name in REACHED.items()}
-    folded = events.groupBy(*SESSION_KEY, "device_category", "country").agg(
+    return events.groupBy(*SESSION_KEY, "device_category", "country", *more).agg(
         F.min("ga_session_number").alias("ga_session_number"),
         F.min("event_ts").alias("first_ts"),
         F.min("event_date").alias("session_date"),
@@ -111,6 +125,10 @@ def session_activity(events: DataFrame) -> DataFrame:
         *[F.bool_or(test).alias(flag) for flag, test in is_event.items()],
         F.count_if(F.col("event_name") == "purchase").alias("purchase_events"),
     )
+
+
+def merge_activity(folded: DataFrame) -> DataFrame:
+    """One row per session from folded events, which may come from several sets of events."""
     return folded.groupBy(*SESSION_KEY).agg(
         F.min("ga_session_number").alias("ga_session_number"),
         F.min("first_ts").alias("session_start_ts"),
@@ -133,10 +151,13 @@ def build_sessions(events: DataFrame, cfg: AnalyticsConfig, touch: DataFrame | N
     """
     if touch is None:
         touch = first_touch(events, cfg)
-    activity = session_activity(events)
+    return finish_sessions(session_activity(events), clean_orders(events, cfg), touch, cfg)
+
+
+def finish_sessions(activity: DataFrame, orders: DataFrame, touch: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
+    """Sessions from their activity, the orders and the users' first touch."""
     order_totals = (
-        clean_orders(events, cfg)
-        .groupBy(*SESSION_KEY)
+        orders.groupBy(*SESSION_KEY)
         .agg(F.count(F.lit(1)).alias("orders"), money_sum("purchase_revenue_usd").alias("revenue_usd"))
     )
     if cfg.null_safe_sessions:
@@ -145,7 +166,7 @@ def build_sessions(events: DataFrame, cfg: AnalyticsConfig, touch: DataFrame | N
         with_orders = activity.join(order_totals, same_session, "left")
     else:
         with_orders = activity.join(order_totals, SESSION_KEY, "left")
-    orders = F.coalesce("orders", F.lit(0))
+    number = F.coalesce("orders", F.lit(0))
     return with_orders.join(touch, "user_pseudo_id").select(
         *SESSION_KEY,
         "ga_session_number",
@@ -160,8 +181,8 @@ def build_sessions(events: DataFrame, cfg: AnalyticsConfig, touch: DataFrame | N
         "page_views",
         *REACHED,
         "purchase_events",
-        orders.alias("orders"),
-        (orders > 0).alias("purchased"),
+        number.alias("orders"),
+        (number > 0).alias("purchased"),
         F.coalesce("revenue_usd", F.lit(0.0)).alias("revenue_usd"),
     )
 
