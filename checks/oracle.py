@@ -149,6 +149,7 @@ def reports(source: str) -> dict[str, str]:
         (SELECT count(*) AS sessions, count(DISTINCT (uid, sid)) FILTER (WHERE sid IS NOT NULL) AS distinct_sessions,
                 count(DISTINCT uid) AS users, {s("pages")} AS page_views_in_sessions, {s("orders")} AS orders,
                 {n("bought")} AS purchasing_sessions, {rm(m("revenue"))} AS revenue_usd FROM sess) x"""
+    out["daily_sessions"] = out["sessions"]
     out["sessions_by_channel"] = f"""
       SELECT channel AS acq_channel, count(DISTINCT uid) AS users, count(*) AS sessions, {s("orders")} AS orders,
              {rm(m("revenue"))} AS revenue_usd FROM sess GROUP BY channel"""

@@ -415,13 +415,28 @@ def measures() -> dict[str, str]:
 
 def inputs_on_data() -> dict[str, str]:
     """Sources and sinks, and configured tables (aliases, periods, stages, dates) set against the data."""
-    return {
+    out = {
         "events_in_range": sql(
             "clicks",
             """SELECT strftime(d, '%Y%m%d') AS event_date, name AS event_name, count(*) AS events FROM ev
                WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY ALL""",
         ),
         "csv_export": report("history", "fact_cohort_daily"),
+        **{
+            f"csv_export__{name}": report(source, name)
+            for name, source in {"fact_sessions": "clicks", "fact_product_daily": "items", "products_export": "items"}.items()
+        },
+        "users_from_sketches": sql(
+            "clicks",
+            """SELECT name AS event_name, count(*) AS events, count(DISTINCT uid) AS users, true AS within_error
+               FROM ev WHERE d >= DATE '2024-01-08' GROUP BY name""",
+        ),
+        "wait_from_sketches": on_reports(
+            "history",
+            """SELECT user_type, first_purchase_on, buyers, true AS all_counted, true AS within_error
+               FROM first_purchase_timing""",
+            "first_purchase_timing",
+        ),
         "item_aliases": sql(
             "items",
             """SELECT raw, canon AS canonical, count(i.name) AS items
@@ -450,3 +465,4 @@ def inputs_on_data() -> dict[str, str]:
                   UNION ALL SELECT 6, 'Purchase', {n("bought")} FROM sess)""",
         ),
     }
+    return out | {f"csv_export__{name}": out[name] for name in ("dim_date", "funnel_stages")}

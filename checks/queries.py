@@ -8,18 +8,20 @@ the pipeline does.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import oracle, oracle_stats
+from clickloom.functions import sketches
 from clickloom.functions.columns import rounded, with_one_row
-from clickloom.operators import facts, funnel, inference, metrics, product, quality, sessions, userdays, users
+from clickloom.operators import facts, funnel, inference, metrics, product, quality, retention, sessions, userdays, users
 from clickloom.operators.season import in_period
+from clickloom.plans.daily import DailyTables
 from clickloom.plans.reports import BY_NAME
 from clickloom.plans.workspace import Workspace
-from clickloom.schema import cohort_csv
+from clickloom.schema import DASHBOARD_CSV, cohort_csv
 from clickloom.sources import sample
 from clickloom.sources.events import read_events
 from clickloom.sources.tables import TableStore, read_csv, write_csv
@@ -88,6 +90,16 @@ SECOND_SOURCES = {
     "items": ("check_sessions", "check_users", "dq_purchases", "device_performance", "period_summary"),
 }
 
+def _daily(ws: Workspace) -> DailyTables:
+    """The clickstream's tables, built in three instalments, the last of them a day that comes late."""
+    every = [ws.cfg.first_date + timedelta(days=k) for k in range((ws.cfg.last_date - ws.cfg.first_date).days + 1)]
+    tables = DailyTables(ws.spark, ws.store.path("daily"), ws.cfg)
+    late = every[11]
+    for days in ([d for d in every[:20] if d != late], every[20:], [late]):
+        tables.ingest(ws.raw, days)
+    return tables
+
+
 def _active_days(ws: Workspace) -> DataFrame:
     words = userdays.words_for(ws.cfg.long_window)
     return userdays.visit_days(userdays.day_bitmaps(ws.user_days, words), words)
@@ -111,6 +123,7 @@ TABLES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
     "user_days": ("clicks", lambda w: w.user_days.select(*userdays.USER_DAY, *userdays.SEGMENT, *userdays.SUMS).withColumn(
         "revenue", F.col("revenue").cast("double"))),
     "active_days": ("history", _active_days),
+    "daily_sessions": ("clicks", lambda w: _daily(w).read("sessions")),
     "visit_numbers": ("history", lambda w: w.visit_numbers.withColumn("revenue", F.col("revenue").cast("double"))),
     "event_profile": ("clicks", lambda w: w.event_profile.withColumn("revenue", F.col("revenue").cast("double"))),
     "cart_window_sessions": ("clicks", lambda w: w.cart_sessions),
@@ -159,17 +172,19 @@ def _period_events(ws: Workspace) -> DataFrame:
     )
 
 
-def _date_events(ws: Workspace) -> DataFrame:
+def _date_events(ws: Workspace, dates: DataFrame | None = None) -> DataFrame:
+    dates = ws.dim_date if dates is None else dates
     daily = ws.events.groupBy(F.col("event_date").alias("date")).agg(F.count(F.lit(1)).alias("n"))
-    return ws.dim_date.join(daily, "date", "left").select(
-        *ws.dim_date.columns, F.coalesce("n", F.lit(0)).alias("events")
+    return dates.join(daily, "date", "left").select(
+        *dates.columns, F.coalesce("n", F.lit(0)).alias("events")
     )
 
 
-def _stage_sessions(ws: Workspace) -> DataFrame:
+def _stage_sessions(ws: Workspace, stages: DataFrame | None = None) -> DataFrame:
+    stages = ws.funnel_stages if stages is None else stages
     counts = ws.sessions.agg(F.count(F.lit(1)).alias("sessions"), *funnel.main_step_counts())
     names = ["sessions", *funnel.MAIN_FLAGS]
-    return with_one_row(ws.funnel_stages, counts).select(
+    return with_one_row(stages, counts).select(
         "stage_order", "stage", F.element_at(F.array(*names), F.col("stage_order")).alias("sessions")
     )
 
@@ -188,15 +203,56 @@ def _events_in_range(ws: Workspace) -> DataFrame:
     return days.groupBy("event_date", "event_name").agg(F.count(F.lit(1)).alias("events"))
 
 
-def _csv_export(ws: Workspace) -> DataFrame:
-    path = ws.store.path("fact_cohort_daily_csv")
-    write_csv(ws.fact_cohort_daily, path)
-    return read_csv(ws.spark, path, cohort_csv(ws.cfg.return_windows))
+def _csv_export(name: str) -> Callable[[Workspace], DataFrame]:
+    def there_and_back(ws: Workspace) -> DataFrame:
+        path, report = ws.store.path(f"{name}_csv"), BY_NAME[name]
+        write_csv(report.frame(ws), path, report.small, report.keys())
+        schema = cohort_csv(ws.cfg.return_windows) if name == "fact_cohort_daily" else DASHBOARD_CSV[name]
+        return read_csv(ws.spark, path, schema)
+
+    return there_and_back
+
+
+def _users_from_sketches(ws: Workspace) -> DataFrame:
+    """Users by name from merged days, next to the exact count: is it within the stated error?"""
+    days = ws.store.build("user_sketches", quality.user_sketches(ws.event_profile))
+    some = F.col("event_date") >= F.lit(ws.cfg.cart_reliable_from)
+    merged = quality.events_by_name(None, days.where(some)).withColumnRenamed("users", "estimate")
+    exact = quality.events_by_name(ws.event_profile.where(some)).select("event_name", "users")
+    near = F.abs(F.col("estimate") - F.col("users")) <= F.ceil(F.col("users") * sketches.distinct_error())
+    return merged.join(exact, "event_name").select("event_name", "events", "users", near.alias("within_error"))
+
+
+def _wait_from_sketches(ws: Workspace) -> DataFrame:
+    """The median days until the first purchase from merged days: is its rank within the stated error?"""
+    buyers = retention.buyers(ws.user_visits, ws.users)
+    days = ws.store.build("wait_sketches", retention.wait_sketches(buyers))
+    by = ["user_type", "first_purchase_on"]
+    merged = sketches.merged_quantile(days, by, 0.5)
+    ranks = buyers.join(merged, by).groupBy(*by, "n").agg(
+        F.count(F.lit(1)).alias("buyers"),
+        F.count_if(F.col("days") < F.col("quantile")).alias("below"),
+        F.count_if(F.col("days") <= F.col("quantile")).alias("upto"),
+    )
+    slack = F.col("buyers") * sketches.rank_error() + 1
+    near = (F.col("below") <= F.col("buyers") / 2 + slack) & (F.col("upto") >= F.col("buyers") / 2 - slack)
+    return ranks.select(*by, "buyers", (F.col("n") == F.col("buyers")).alias("all_counted"), near.alias("within_error"))
 
 
 TABLES |= {
     "events_in_range": ("clicks", _events_in_range),
-    "csv_export": ("history", _csv_export),
+    "csv_export": ("history", _csv_export("fact_cohort_daily")),
+    "users_from_sketches": ("clicks", _users_from_sketches),
+    "wait_from_sketches": ("history", _wait_from_sketches),
+}
+
+
+CSV_SOURCES = {"fact_sessions": "clicks", "fact_product_daily": "items", "products_export": "items"}
+TABLES |= {f"csv_export__{name}": (source, _csv_export(name)) for name, source in CSV_SOURCES.items()}
+# Configured tables, read back and set against the data.
+TABLES |= {
+    "csv_export__dim_date": ("clicks", lambda w: _date_events(w, _csv_export("dim_date")(w))),
+    "csv_export__funnel_stages": ("history", lambda w: _stage_sessions(w, _csv_export("funnel_stages")(w))),
 }
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
 from clickloom.functions.columns import MONEY, int_param, pct, ratio, share_of_total, string_param, with_one_row
+from clickloom.functions.sketches import distinct_sketches, merged_distinct
 from clickloom.operators.sessions import clean_events
 
 
@@ -93,8 +94,14 @@ def dq_events_by_name(raw: DataFrame) -> DataFrame:
     return events_by_name(_profile(raw))
 
 
-def events_by_name(profile: DataFrame) -> DataFrame:
-    counts = _reach(profile, "event_name")
+def events_by_name(profile: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """From the profile, or approximately from the user sketches of the days that are asked for."""
+    if sketches is None:
+        counts = _reach(profile, "event_name")
+    else:
+        counts = merged_distinct(sketches, ["event_name"], F.sum("events").alias("events")).withColumnRenamed(
+            "distinct", "users"
+        )
     return counts.select("event_name", "events", share_of_total("events").alias("pct_of_events"), "users")
 
 
@@ -103,7 +110,17 @@ def dq_daily_events(raw: DataFrame) -> DataFrame:
     return daily_events(_profile(raw))
 
 
-def daily_events(profile: DataFrame) -> DataFrame:
+def user_sketches(profile: DataFrame) -> DataFrame:
+    """(event_date, event_name, sketch, events): the users of each name and day as mergeable sketches."""
+    return distinct_sketches(profile, ["event_date", "event_name"], "user_pseudo_id", F.sum("events").alias("events"))
+
+
+def daily_events(profile: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """From the profile, or approximately from user sketches."""
+    if sketches is not None:
+        return merged_distinct(sketches, ["event_date"], F.sum("events").alias("events")).select(
+            "event_date", "events", F.col("distinct").alias("users")
+        )
     return _reach(profile, "event_date").select("event_date", "events", "users")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.config import AnalyticsConfig
 from clickloom.functions.columns import all_of, money_sum, pct, ratio, share_of_total, week_start
+from clickloom.functions.sketches import quantile_sketches
 from clickloom.operators.userdays import user_days
 from clickloom.operators.users import eligible_flag, returned_flag
 from clickloom.operators.visits import VISIT_SUMS, user_visits
@@ -264,11 +265,10 @@ def first_purchases(sessions: DataFrame) -> DataFrame:
     )
 
 
-def first_purchase_timing(sessions: DataFrame, users: DataFrame) -> DataFrame:
-    """On which visit, and how long after the first visit, buyers buy for the first time."""
+def buyers(sessions: DataFrame, users: DataFrame) -> DataFrame:
+    """Buyers with the visit and date of their first purchase, and the days it took them since the first visit."""
     visit = F.col("first_buy_visit")
-    waited = F.date_diff("first_buy_date", "first_visit_date")
-    buyers = (
+    return (
         first_purchases(sessions)
         .join(users.select("user_pseudo_id", "user_type", "first_visit_date"), "user_pseudo_id")
         .select(
@@ -278,10 +278,20 @@ def first_purchase_timing(sessions: DataFrame, users: DataFrame) -> DataFrame:
             .otherwise("Third visit or later")
             .alias("first_purchase_on"),
             "first_buy_visit",
-            waited.alias("days"),
+            "first_buy_date",
+            F.date_diff("first_buy_date", "first_visit_date").alias("days"),
         )
     )
-    counts = buyers.groupBy("user_type", "first_purchase_on").agg(
+
+
+def wait_sketches(buyers: DataFrame) -> DataFrame:
+    """The days until the first purchase as mergeable sketches, by user type, visit and the date of the purchase."""
+    return quantile_sketches(buyers, ["user_type", "first_purchase_on", "first_buy_date"], "days")
+
+
+def first_purchase_timing(sessions: DataFrame, users: DataFrame) -> DataFrame:
+    """On which visit, and how long after the first visit, buyers buy for the first time."""
+    counts = buyers(sessions, users).groupBy("user_type", "first_purchase_on").agg(
         F.min("first_buy_visit").alias("min_visit_number"),
         F.count(F.lit(1)).alias("buyers"),
         F.count_if(F.col("days") == 0).alias("bought_on_first_day"),

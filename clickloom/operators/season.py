@@ -22,6 +22,7 @@ from clickloom.functions.columns import (
     share_of_total,
     week_start,
 )
+from clickloom.functions.intervals import join_on_range
 from clickloom.operators.userdays import by_day
 from clickloom.schema import SEASON_PERIODS
 
@@ -35,12 +36,8 @@ def season_periods(spark: SparkSession, cfg: AnalyticsConfig) -> DataFrame:
 
 
 def in_period(df: DataFrame, periods: DataFrame, day: str, how: str = "inner") -> DataFrame:
-    """Rows with the period their date falls in; a date in no period drops out, or has none with a left join.
-
-    A date range has no key to hash, and the periods come from the configuration, so
-    they are small enough to be held next to the rows.
-    """
-    return df.join(F.broadcast(periods), F.col(day).between(F.col("start_date"), F.col("end_date")), how)
+    """Rows with the period their date falls in; a date in no period drops out, or has none with a left join."""
+    return join_on_range(df, day, periods, "start_date", "end_date", how)
 
 
 def _fold_users(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:

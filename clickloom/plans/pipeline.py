@@ -43,7 +43,7 @@ def run(ws: Workspace, out: str, names: Iterable[str] | None = None) -> list[str
     """Build the tables a report needs, once, and export each report in order."""
     chosen = [BY_NAME[n] for n in names] if names is not None else list(REPORTS)
     for report in chosen:
-        write_csv(report.sorted_frame(ws), f"{out}/{report.name}", single_file=report.small)
+        write_csv(report.frame(ws), f"{out}/{report.name}", report.small, report.keys())
     return [report.name for report in chosen]
 
 

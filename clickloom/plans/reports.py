@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators import channel, funnel, product, quality, retention, season, segment, sessions, users
@@ -16,7 +16,8 @@ from clickloom.plans.workspace import Workspace
 class Report:
     """A named result; ``order`` lists sort columns, descending when prefixed with ``-``.
 
-    ``small`` results have a handful of rows by construction and go to one file.
+    ``small`` results have a handful of rows by construction and go to one file; others go to as many as they
+    fill, numbered in their order.
     """
 
     name: str
@@ -27,10 +28,8 @@ class Report:
     def frame(self, ws: Workspace) -> DataFrame:
         return self.build(ws)
 
-    def sorted_frame(self, ws: Workspace) -> DataFrame:
-        df = self.frame(ws)
-        keys = [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in self.order]
-        return df.orderBy(*keys) if keys else df
+    def keys(self) -> list[Column]:
+        return [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in self.order]
 
 
 REPORTS = (
@@ -54,12 +53,12 @@ REPORTS = (
     Report("cart_tracking_daily", lambda w: funnel.cart_tracking_daily(w.sessions, w.cfg), ("date",)),
     Report("channel_performance", lambda w: channel.channel_performance(w.users, w.cfg), ("-revenue_usd",)),
     Report("channel_funnel", lambda w: channel.channel_funnel(w.cart_users), ("-users",)),
-    Report("channel_sources", lambda w: channel.channel_sources(w.users, w.cfg), ("-users",)),
+    Report("channel_sources", lambda w: channel.channel_sources(w.users, w.cfg), ("-users",), small=False),
     Report("device_performance", lambda w: segment.device_performance(w.sessions), ("-sessions",)),
     Report("device_funnel_sessions", lambda w: segment.device_funnel_sessions(w.cart_sessions), ("-sessions",)),
     Report("device_funnel_users", lambda w: segment.device_funnel_users(w.users), ("-users",)),
-    Report("country_performance", lambda w: segment.country_performance(w.users), ("-users",)),
-    Report("products_export", lambda w: product.products_export(w.products), small=False),
+    Report("country_performance", lambda w: segment.country_performance(w.users), ("-users",), small=False),
+    Report("products_export", lambda w: product.products_export(w.products), ("item_name",), small=False),
     Report("product_groups", lambda w: product.product_groups(w.products), ("-revenue_usd",)),
     Report("product_quadrant_summary", lambda w: product.product_quadrant_summary(w.products), ("-revenue_usd",)),
     Report("check_products", lambda w: product.check_products(w.products, w.sessions, w.cfg)),
@@ -105,7 +104,7 @@ REPORTS = (
         small=False,
     ),
     Report("fact_product_daily", lambda w: w.fact_product_daily, ("date", "item_name"), small=False),
-    Report("fact_cohort_daily", lambda w: w.fact_cohort_daily, ("first_visit_date", "user_type")),
+    Report("fact_cohort_daily", lambda w: w.fact_cohort_daily, ("first_visit_date", "user_type"), small=False),
     Report("funnel_stages", lambda w: w.funnel_stages, ("stage_order",)),
 )
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -59,9 +60,18 @@ class TableStore:
         return self.spark.read.schema(schema).parquet(self.path(name)).select(*schema.fieldNames())
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
-    """Export with a header row; ``single_file`` is for results of a few rows."""
-    out = df.coalesce(1) if single_file else df
+def write_csv(df: DataFrame, path: str, single_file: bool = True, order: Sequence[str | Column] = ()) -> None:
+    """Export with a header row; ``single_file`` is for results of a few rows.
+
+    With an ``order``, the rows are dealt into ranges of it, one for each file and sorted in it, and files are numbered
+    in that order: read by name one after the other, they are the sorted result, which no single task has held.
+    """
+    if single_file:
+        out = (df.orderBy(*order) if order else df).coalesce(1)
+    elif order:
+        out = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    else:
+        out = df
     out.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 

@@ -62,13 +62,9 @@ def test_instalments_give_what_one_build_gives(raw, spark, tmp_path):
         tables.ingest(so_far, instalment)
     check(tables, so_far)
     again = FIRST + timedelta(days=3)
-    days[again] = random_day(rng, again, 12)
+    days[again], days[late] = random_day(rng, again, 12), []
     so_far = raw(*[e for d in come for e in days[d]])
-    tables.ingest(so_far, [again])
-    check(tables, so_far)
-    days[late] = []
-    so_far = raw(*[e for d in come for e in days[d]])
-    tables.ingest(so_far, [late])
+    tables.ingest(so_far, [again, late])
     check(tables, so_far)
 
 
