@@ -8,6 +8,7 @@ from checks.oracle_base import m, n, pc, q, r, rm, s, share, sql
 # windows, and the floors for sources and countries.
 SETTINGS = {
     "clicks": ("2024-01-08", "2024-01-28", 23, (1, 3), 3, 5),
+    "visitors": ("2024-01-08", "2024-01-28", 23, (1, 3), 3, 5),
     "history": ("1996-01-01", "2003-01-01", 3288, (30, 180), 20, 60),
     "items": ("1997-01-01", "2001-06-01", 1826, (30, 180), 300, 60),
 }
@@ -422,7 +423,7 @@ def reports(source: str) -> dict[str, str]:
             FROM sess JOIN period ON d BETWEEN a AND b AND cmp GROUP BY ALL)"""
 
     # Facts.
-    first, last = {"clicks": ("2024-01-01", "2024-01-30"), "history": ("1995-01-01", "2004-12-31"),
+    first, last = {"clicks": ("2024-01-01", "2024-01-30"), "visitors": ("2024-01-01", "2024-01-30"), "history": ("1995-01-01", "2004-12-31"),
                    "items": ("1995-01-01", "2001-12-31")}[source]
     out["dim_date"] = f"""
       SELECT dt AS date, dayname(dt) AS day_of_week, CAST(date_trunc('week', dt) AS DATE) AS week_start,

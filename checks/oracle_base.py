@@ -88,6 +88,22 @@ ev AS (
   FROM src
 )"""
 
+# The clickstream of many visitors with few events each.
+VISITORS = CLICKSTREAM
+for old, new in (
+    ("SELECT e.*,", "SELECT e.* REPLACE (user_id * 8 + event_id % 8 AS user_id),"),
+    ("customer ON c_custkey = user_id", "customer ON c_custkey = e.user_id"),
+    ("WHEN k < 60 THEN 'add_to_cart'", "WHEN k < 60 AND day NOT IN (9, 17) THEN 'add_to_cart'"),
+    ("CAST(strftime(ts, '%Y%m%d') AS BIGINT)", "CAST(day // 7 AS BIGINT)"),
+    ("CAST(greatest(1, day - 3) + (user_id % 10 = 0)::INTEGER AS BIGINT)",
+     "CAST(CASE WHEN user_id % 10 = 3 THEN 40 - day ELSE greatest(1, day - 3) + (user_id % 10 = 0)::INTEGER END AS BIGINT)"),
+    ("k BETWEEN 10 AND 14 THEN '(not set)'", "k BETWEEN 40 AND 44 THEN '(not set)'"),
+    ("k >= 15 THEN user_id", "k >= 45 THEN user_id"),
+    ("THEN 0.0 ELSE value END", "THEN 0.0 WHEN k < 40 THEN (k % 3) * 5.0::DOUBLE ELSE value END"),
+):
+    assert VISITORS.count(old) == 1, old
+    VISITORS = VISITORS.replace(old, new)
+
 ORDER_HISTORY = """
 src AS (
   SELECT o.*, CAST(o_orderdate AS DATE) + CAST(o_custkey % 7 * 180 AS INTEGER) AS d, n_name, c_mktsegment
@@ -292,6 +308,7 @@ prod AS (
 
 SOURCES = {
     "clicks": CLICKSTREAM + "," + derived("2024-01-08", (1, 3)),
+    "visitors": VISITORS + "," + derived("2024-01-08", (1, 3)),
     "history": ORDER_HISTORY + "," + derived("1996-01-01", (30, 180)),
     "items": ITEM_EVENTS + "," + derived("1997-01-01", (30, 180), items=True) + "," + item_tables("1997-01-01", 600),
 }
@@ -313,6 +330,8 @@ PERIODS = {
   (9, '1999-2001 (not compared)', DATE '1999-01-01', DATE '2001-12-31', false))""",
 }
 
+PERIODS["visitors"] = PERIODS["clicks"]
+
 
 def sql(source: str, body: str, **ctes: str) -> str:
     """A complete statement: the source's tables, any further CTEs, and the final SELECT."""

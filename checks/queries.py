@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from checks import oracle, oracle_stats
 from clickloom.functions import sketches
-from clickloom.functions.columns import rounded, with_one_row
-from clickloom.operators import facts, funnel, inference, metrics, product, quality, retention, sessions, userdays, users
+from clickloom.functions.columns import with_one_row
+from clickloom.operators import facts, funnel, inference, product, quality, retention, sessions, userdays, users
 from clickloom.operators.season import in_period
 from clickloom.plans.daily import DailyTables
 from clickloom.plans.reports import BY_NAME
+from clickloom.plans.statistics import MEASURES, STATISTICS
 from clickloom.plans.workspace import Workspace
 from clickloom.schema import DASHBOARD_CSV, cohort_csv
 from clickloom.sources import sample
@@ -32,6 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # clickstream is stored as daily directories; the others span thousands of days.
 SOURCES = {
     "clicks": (sample.clickstream, sample.CLICKSTREAM, "event_date"),
+    "visitors": (sample.visitors, sample.CLICKSTREAM, "event_date"),
     "history": (sample.order_history, sample.ORDER_HISTORY, None),
     "items": (sample.item_events, sample.ITEM_EVENTS, None),
 }
@@ -58,10 +60,6 @@ def _report(source: str, name: str) -> Query:
     return _on(source, lambda ws: BY_NAME[name].frame(ws))
 
 
-def _get(ws: Workspace, name: str) -> DataFrame:
-    return BY_NAME[name].frame(ws)
-
-
 # Reports by the source that exercises them best.
 REPORT_SOURCES = {
     "clicks": (
@@ -256,168 +254,57 @@ TABLES |= {
 }
 
 
-def _tested_countries(ws: Workspace) -> DataFrame:
-    return inference.segment_vs_rest(_get(ws, "country_performance"), ws.cfg)
-
-
 def _unmatched(ws: Workspace) -> DataFrame:
     # The sample has no product above its floor without orders, so the floor is lowered here.
     lowered = type(ws.cfg)(**{**ws.cfg.__dict__, "impression_floor": 5})
     return inference.unmatched_products(ws.products, lowered)
 
 
-STATISTICS: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
-    "channel_intervals": ("history", lambda w: inference.channel_intervals(_get(w, "channel_performance"), w.cfg)),
-    "channel_tests": ("history", lambda w: inference.channel_tests(_get(w, "channel_performance"), w.cfg)),
-    "device_tests": (
-        "clicks",
-        lambda w: inference.device_tests(
-            _get(w, "device_funnel_sessions"), _get(w, "device_performance"), _get(w, "device_funnel_users"), w.cfg
-        ),
-    ),
-    "segment_vs_rest": ("history", _tested_countries),
-    "lowest_segments": ("history", lambda w: inference.lowest_segments(_tested_countries(w))),
-    "small_segment_illusion": (
-        "history",
-        lambda w: inference.small_segment_illusion(_get(w, "country_performance"), w.cfg),
-    ),
-    "pareto": ("history", lambda w: inference.pareto(_get(w, "country_performance"))),
-    "tracking_gaps": ("clicks", lambda w: inference.tracking_gaps(quality.daily_tracking(w.event_profile), w.cfg)),
-    "tracking_daily_shares": (
-        "clicks",
-        lambda w: inference.tracking_daily_shares(quality.daily_tracking(w.event_profile)),
-    ),
-    "open_vs_strict": (
-        "clicks",
-        lambda w: inference.open_vs_strict(_get(w, "funnel_steps"), _get(w, "funnel_strict")),
-    ),
-    "whole_vs_window": (
-        "clicks",
-        lambda w: inference.whole_vs_window(_get(w, "funnel_whole_period"), _get(w, "funnel_steps")),
-    ),
-    "quadrant_yield": ("items", lambda w: inference.quadrant_yield(_get(w, "product_quadrant_summary"))),
-    "quadrant_leaders": ("items", lambda w: inference.quadrant_leaders(w.products)),
-    "revenue_concentration": ("items", lambda w: inference.revenue_concentration(w.products)),
-    "unmatched_products": ("items", _unmatched),
-    "impressions_conversion_corr": ("items", lambda w: inference.impressions_conversion_corr(w.products)),
-    "impression_reallocation": (
-        "items",
-        lambda w: inference.impression_reallocation(_get(w, "product_quadrant_summary"), w.cfg),
+# Statistics and measures by the source that exercises them best.
+STATISTIC_SOURCES = {
+    "history": (
+        "channel_intervals", "channel_tests", "segment_vs_rest", "lowest_segments",
+        "small_segment_illusion", "pareto", "retention_ci", "window_purchase_test", "multi_session_share",
+        "early_return_ratio", "baseline_sensitivity",
     ),
-    "retention_ci": ("history", lambda w: inference.retention_ci(_get(w, "retention_summary"), w.cfg)),
-    "window_purchase_test": (
-        "history",
-        lambda w: inference.window_purchase_test(_get(w, "new_vs_returning_window")),
+    "clicks": (
+        "device_tests", "tracking_gaps", "tracking_daily_shares", "open_vs_strict", "whole_vs_window",
+        "repeat_orders", "period_conversion_pivot", "full_weeks", "opportunity_sizing", "profile_users",
     ),
-    "multi_session_share": ("history", lambda w: inference.multi_session_share(_get(w, "sessions_per_user"))),
-    "early_return_ratio": (
-        "history",
-        lambda w: inference.early_return_ratio(_get(w, "retention_by_cohort_week"), w.cfg),
+    "items": (
+        "quadrant_yield", "quadrant_leaders", "revenue_concentration", "unmatched_products",
+        "impressions_conversion_corr", "impression_reallocation", "profile_items",
     ),
-    "repeat_orders": ("clicks", lambda w: inference.repeat_orders(w.events, w.cfg)),
-    "baseline_sensitivity": (
-        "history",
-        lambda w: inference.baseline_sensitivity(
-            _get(w, "period_summary"), inference.baseline_repeats(w.events, w.cfg), w.cfg
-        ),
+    "visitors": ("tracking_gaps", "repeat_orders", "baseline_sensitivity", "opportunity_sizing", "profile_users"),
+}
+
+MEASURE_SOURCES = {
+    "clicks": (
+        "measures_core", "measures_ratios", "measures_funnel", "measures_abandonment",
+        "measures_funnel_stages",
     ),
-    "period_conversion_pivot": (
-        "clicks",
-        lambda w: inference.period_conversion_pivot(_get(w, "period_channel_mix"), w.cfg),
+    "history": (
+        "measures_funnel__history", "measures_abandonment__history", "measures_repeat_visits",
+        "measures_return_rates",
     ),
-    "full_weeks": ("clicks", lambda w: inference.full_weeks(_get(w, "weekly_trend"))),
-    "opportunity_sizing": (
-        "clicks",
-        lambda w: inference.opportunity_sizing(
-            _get(w, "funnel_steps"),
-            _get(w, "funnel_abandonment"),
-            _get(w, "funnel_window_value"),
-            _get(w, "channel_funnel"),
-            _get(w, "retention_by_channel"),
-            _get(w, "returner_value"),
-            w.cfg,
-        ),
+    "items": (
+        "measures_product",
     ),
-    "profile_users": ("clicks", lambda w: inference.profile_users(w.events, w.sessions, w.cfg)),
-    "profile_items": ("items", lambda w: inference.profile_items(w.raw, w.cfg)),
-}
-
-
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: rounded(F.col(f"`{c}`"), 6) for c in names})
-
-
-def _board(ws: Workspace, *needed: str) -> metrics.Dashboard:
-    """The dashboard tables a measure needs; the others are left out."""
-    parts = {
-        "sessions": lambda: ws.fact_sessions,
-        "products_daily": lambda: ws.fact_product_daily,
-        "cohorts": lambda: ws.fact_cohort_daily,
-        "dates": lambda: ws.dim_date,
-        "products": lambda: ws.products,
-        "stages": lambda: ws.funnel_stages,
-    }
-    return metrics.Dashboard(**{name: part() if name in needed else None for name, part in parts.items()})
-
-
-def _core(ws: Workspace) -> DataFrame:
-    names = ["Total Sessions", "Total Users", "Total Orders", "Total Revenue", "Purchasing Sessions"]
-    return metrics.session_measures(_board(ws, "sessions", "dates"), names, ["acq_channel"])
-
-
-def _ratios(ws: Workspace) -> DataFrame:
-    names = ["Conversion Rate", "AOV", "Revenue per User", "Revenue per Session"]
-    board = _board(ws, "sessions", "dates")
-    return _rounded(metrics.session_measures(board, names, ["device_category"], {"user_type": "new"}), *names)
-
-
-def _funnel(ws: Workspace) -> DataFrame:
-    names = [name for _, name in metrics.STAGE_MEASURES]
-    return metrics.session_measures(_board(ws, "sessions", "dates"), names, ["period"])
-
-
-def _abandonment(ws: Workspace) -> DataFrame:
-    names = ["Funnel Conversion", "Cart Abandonment", "Checkout Abandonment"]
-    return _rounded(metrics.session_measures(_board(ws, "sessions", "dates"), names, ["country"]), *names)
-
-
-def _funnel_stages(ws: Workspace) -> DataFrame:
-    stages = metrics.funnel_by_stage(_board(ws, "sessions", "dates", "stages"), ["device_category"])
-    return _rounded(stages, "Step Conversion", "Step Drop-off")
-
-
-def _product(ws: Workspace) -> DataFrame:
-    names = ["Product Revenue", "Product Impressions", "Product Orders"]
-    return metrics.product_measures(_board(ws, "products_daily", "dates"), names, ["product_group", "quadrant"])
-
-
-def _repeat_visits(ws: Workspace) -> DataFrame:
-    rates = metrics.repeat_visit_rate(_board(ws, "cohorts", "dates"), ["month_label"])
-    return _rounded(rates, "Repeat-visit Rate")
-
-
-def _return_rates(ws: Workspace) -> DataFrame:
-    board, by = _board(ws, "cohorts", "dates"), ["period", "user_type"]
-    short, long = (metrics.return_rate(board, days, by) for days in ws.cfg.return_windows)
-    long = long.withColumnsRenamed({c: f"long_{c}" for c in by})
-    same = [F.col(c).eqNullSafe(F.col(f"long_{c}")) for c in by]
-    names = [f"{days}-day Return Rate" for days in ws.cfg.return_windows]
-    return _rounded(short.join(long, same).select(*by, *[f"`{c}`" for c in names]), *names)
+}
 
 
-MEASURES: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {
-    "measures_core": ("clicks", _core),
-    "measures_ratios": ("clicks", _ratios),
-    "measures_funnel": ("clicks", _funnel),
-    "measures_abandonment": ("clicks", _abandonment),
-    # Its periods leave most dates out.
-    "measures_funnel__history": ("history", _funnel),
-    "measures_abandonment__history": ("history", _abandonment),
-    "measures_funnel_stages": ("clicks", _funnel_stages),
-    "measures_product": ("items", _product),
-    "measures_repeat_visits": ("history", _repeat_visits),
-    "measures_return_rates": ("history", _return_rates),
-}
+def _statistics() -> dict[str, Query]:
+    """Queries of the statistics and measures; those of a second source are named after it."""
+    out: dict[str, Query] = {}
+    for source, names in STATISTIC_SOURCES.items():
+        for name in names:
+            out[f"{name}__{source}" if source == "visitors" else name] = _on(source, STATISTICS[name])
+    for source, names in MEASURE_SOURCES.items():
+        out |= {name: _on(source, MEASURES[name.split("__")[0]]) for name in names}
+    exact = lambda w: inference.baseline_sensitivity(
+        BY_NAME["period_summary"].frame(w), inference.baseline_repeats(w.events, w.cfg), w.cfg, exact=True
+    )
+    return out | {"unmatched_products": _on("items", _unmatched), "baseline_sensitivity_exact": _on("visitors", exact)}
 
 
 def queries() -> dict[str, Query]:
@@ -426,9 +313,7 @@ def queries() -> dict[str, Query]:
         out |= {name: _report(source, name) for name in names}
     for source, names in SECOND_SOURCES.items():
         out |= {f"{name}__{source}": _report(source, name) for name in names}
-    for group in (STATISTICS, MEASURES):
-        out |= {name: _on(source, build) for name, (source, build) in group.items()}
-    return out
+    return out | _statistics()
 
 
 def oracle_sql() -> dict[str, str]:

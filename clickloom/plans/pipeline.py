@@ -15,7 +15,8 @@ from datetime import date
 from pyspark.sql import SparkSession
 
 from clickloom.config import AnalyticsConfig
-from clickloom.plans.reports import BY_NAME, REPORTS
+from clickloom.plans.reports import REPORTS
+from clickloom.plans.statistics import STATISTIC_REPORTS
 from clickloom.plans.workspace import Workspace
 from clickloom.sources.events import read_events
 from clickloom.sources.tables import TableStore, write_csv
@@ -41,7 +42,8 @@ DATES = {
 
 def run(ws: Workspace, out: str, names: Iterable[str] | None = None) -> list[str]:
     """Build the tables a report needs, once, and export each report in order."""
-    chosen = [BY_NAME[n] for n in names] if names is not None else list(REPORTS)
+    every = {report.name: report for report in (*REPORTS, *STATISTIC_REPORTS)}
+    chosen = [every[n] for n in names] if names is not None else list(every.values())
     for report in chosen:
         write_csv(report.frame(ws), f"{out}/{report.name}", report.small, report.keys())
     return [report.name for report in chosen]

@@ -91,8 +91,22 @@ CLICKSTREAM = AnalyticsConfig(
 )
 
 
-def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as website events: sessions are user-days."""
+#: Visitors that ``visitors`` makes of a user of the sample, and days on which its cart tracking is out.
+VISITORS = 8
+CART_OUT = (9, 17)
+
+
+def visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as website events of many visitors with few events each.
+
+    Unlike the clickstream, not everybody reaches every step, sessions are weeks, some visitors' session numbers fall,
+    many purchases have no id and few different values, and there are days without cart events.
+    """
+    return clickstream(spark, sf_dir, VISITORS)
+
+
+def clickstream(spark: SparkSession, sf_dir: str, split: int = 1) -> DataFrame:
+    """``events`` as website events: sessions are user-days (``split``: see ``visitors``)."""
     customers = _table(spark, sf_dir, "customer").join(
         _table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
@@ -101,7 +115,9 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         .withColumn("day", F.date_diff(F.col("ts").cast("date"), F.lit(date(2024, 1, 1))))
         .join(customers.select("c_custkey", "n_name"), F.col("user_id") == F.col("c_custkey"), "left")
+        .withColumn("user_id", F.col("user_id") * split + F.col("event_id") % split)
     )
+    many = split > 1
     k, user, day, kind = F.col("k"), F.col("user_id"), F.col("day"), F.col("event_type")
     name = (
         F.when(kind == "purchase", "purchase")
@@ -110,12 +126,16 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", F.when(k < 70, "begin_checkout").otherwise("add_shipping_info"))
         .when(kind == "error", F.when(k < 50, "add_payment_info").otherwise("page_view"))
     )
+    if many:
+        name = F.when((name == "add_to_cart") & day.isin(*CART_OUT), "page_view").otherwise(name)
     buys = kind == "purchase"
+    first_id = 40 if many else 10
     transaction = F.when(
-        buys & (k >= 10),
-        F.when(k < 15, "(not set)").otherwise(F.concat_ws("-", user.cast("string"), k.cast("string"))),
+        buys & (k >= first_id),
+        F.when(k < first_id + 5, "(not set)").otherwise(F.concat_ws("-", user.cast("string"), k.cast("string"))),
     )
-    revenue = F.when(buys, F.when((k < 15) & (k % 2 == 0), 0.0).otherwise(F.col("value")))
+    value = F.when(k < first_id, (k % 3).cast("double") * 5).otherwise(F.col("value")) if many else F.col("value")
+    revenue = F.when(buys, F.when((k < 15) & (k % 2 == 0), 0.0).otherwise(value))
     medium = F.when(user % 7 == 0, _pick(k % 2, "<Other>", "(data deleted)")).otherwise(
         F.when(
             k % 8 != 7,
@@ -126,6 +146,9 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.col("event_id") % 97 != 0
     session_id = F.date_format("ts", "yyyyMMdd").cast("bigint")
     session_number = F.greatest(F.lit(1), day - 3) + F.when(user % 10 == 0, 1).otherwise(0)
+    if many:
+        session_id = F.floor(day / 7).cast("bigint")
+        session_number = F.when(user % 10 == 3, 40 - day).otherwise(session_number)
     return _raw(
         events,
         [

@@ -15,6 +15,7 @@ from clickloom.config import AnalyticsConfig
 from clickloom.operators import metrics, product, quality, sessions
 from clickloom.plans import pipeline
 from clickloom.plans.reports import REPORTS
+from clickloom.plans.statistics import STATISTIC_REPORTS
 from clickloom.plans.workspace import Workspace
 from clickloom.sources.events import read_events, write_events
 from clickloom.sources.tables import TableStore, read_csv, write_csv
@@ -145,8 +146,8 @@ def test_pipeline_exports_every_report_with_header(spark, tmp_path):
     base = registered.workspace(spark, SF, "items")
     ws = Workspace(spark, base.raw, base.cfg, TableStore(spark, str(tmp_path / "tables")))
     names = pipeline.run(ws, str(tmp_path / "reports"))
-    assert names == [r.name for r in REPORTS]
-    assert len(names) == 48
+    assert names == [r.name for r in (*REPORTS, *STATISTIC_REPORTS)]
+    assert len(names) == 48 + 28 + 8
     back = read_csv(spark, str(tmp_path / "reports/products_export"), schema.DASHBOARD_CSV["products_export"])
     assert back.count() == ws.products.count()
     assert one(back.agg(F.sum("order_lines").alias("n"))) == one(ws.products.agg(F.sum("order_lines").alias("n")))
