@@ -66,7 +66,7 @@ def rows():
 
 @pytest.mark.parametrize(
     "options",
-    [{}, {"crown": 1 << 18, "least": 3, "shard": 20}, {"least": 1, "shard": 5, "band": 3}, {"least": 10**6, "band": 10}],
+    [{"crown": 1 << 18, "least": 3, "shard": 20}, {"least": 1, "shard": 5, "band": 3}],
 )
 def test_nodes_equal_brute_force(spark, rows, options, monkeypatch):
     monkeypatch.setattr(trie, "PIECE", 7)
