@@ -140,6 +140,8 @@ def formatted(events: DataFrame, *order: Column | str, conv: str = "conv_id") ->
 def events_of_turns(turns: DataFrame, delta: int = 256) -> tuple[DataFrame, list[str]]:
     """The event log of a table (conv_id, turn, role, text): each turn opens a message and streams its text in deltas.
 
+    As in a chat's own log, half of the turns (by a hash of their content) are not right at once: a draft is streamed
+    first, and then edited away, or for a quarter of the turns dropped by a regeneration, before the text comes.
     Returns the log and the columns it is ordered by.  Rows that share a turn stay apart, ordered by content.
     """
     rows = turns.select(
@@ -150,16 +152,25 @@ def events_of_turns(turns: DataFrame, delta: int = 256) -> tuple[DataFrame, list
         F.xxhash64("role", "text").alias("tie"),
         F.monotonically_increasing_id().alias("message"),
     )
-    parts = F.sequence(F.lit(0), F.ceil(F.length("_text") / delta).cast("int"))
-    log = rows.withColumn("part", F.explode(parts)).select(
+    # Part -2 opens the message, -1 is the draft and 0 what takes it away; the text follows from 1.
+    parts = F.sequence(F.lit(-2), F.ceil(F.length("_text") / delta).cast("int"))
+    drafted = F.pmod("tie", F.lit(2)) == 0
+    undo = F.when(F.pmod("tie", F.lit(4)) == 0, "regenerate").otherwise("edit")
+    text = (
+        F.when(F.col("part") == -1, F.concat(F.lit("Draft: "), F.substring("_text", 1, 64)))
+        .when(F.col("part") == 0, F.when(undo == "edit", ""))
+        .when(F.col("part") > 0, F.substring("_text", (F.col("part") - 1) * delta + 1, F.lit(delta)))
+    )
+    events = rows.withColumn("part", F.explode(parts)).where(~F.col("part").isin(-1, 0) | drafted)
+    log = events.select(
         "conv_id",
         "turn",
         "tie",
         "message",
         "part",
-        F.when(F.col("part") == 0, "start").otherwise("delta").alias("kind"),
+        F.when(F.col("part") == -2, "start").when(F.col("part") == 0, undo).otherwise("delta").alias("kind"),
         "role",
-        F.when(F.col("part") > 0, F.substring("_text", (F.col("part") - 1) * delta + 1, F.lit(delta))).alias("text"),
+        text.alias("text"),
     )
     return log, ["turn", "tie", "message", "part"]
 

@@ -79,3 +79,60 @@ FROM nodes JOIN below ON below.name = nodes.name
 LEFT JOIN children ON children.name = nodes.name
 LEFT JOIN nodes p ON p.depth = nodes.depth - 1 AND p.name = nodes.name[1:nodes.depth - 1]
 """
+
+_COMPONENTS = """reach(a, b) AS (
+    SELECT id, id FROM node
+    UNION
+    SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+), component AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+OP6 = f"""
+WITH RECURSIVE node AS (
+    SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v,
+           embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+    FROM embeddings
+), link AS (
+    SELECT p.id AS a, q.id AS b FROM node p JOIN node q
+    ON p.usable AND q.usable AND p.id <> q.id AND list_cosine_similarity(p.v, q.v) >= 0.95
+), {_COMPONENTS}
+SELECT node.id AS vec_id, coalesce(n, 0) AS n_links, component_id, node.id = component_id AS kept
+FROM node JOIN component USING (id) LEFT JOIN (SELECT a AS id, count(*) AS n FROM link GROUP BY a) USING (id)
+"""
+
+OP10 = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id AS id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), node AS (
+    SELECT id, list_distinct(list_transform(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 3, 2) END),
+                                            lambda k: array_to_string(w[k:k + 4], ' '))) AS s
+    FROM words
+), shingle AS (
+    SELECT id, unnest(s) AS s FROM node
+), link AS (
+    SELECT a, b FROM (SELECT p.id AS a, q.id AS b, count(*) AS n FROM shingle p JOIN shingle q ON p.s = q.s AND p.id <> q.id GROUP BY ALL)
+    JOIN node x ON x.id = a JOIN node y ON y.id = b
+    WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+), {_COMPONENTS}
+SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM node JOIN component USING (id)
+"""
+
+#: A turn is its opener, its text with one more backslash before every control string, and its closer.
+OP5 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER () AS i FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 0
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 0
+), rendered AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '\\*(?:</?s>|\[/?INST\]|<</?SYS>>|<</?TURN)')) + 3
+        + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+               ELSE 17 + coalesce(1 + length(url_encode(role)), 0) END AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM rendered GROUP BY conv_id
+"""

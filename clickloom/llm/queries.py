@@ -102,4 +102,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_decontamination": check_sql.OP11, "op13_prefix_trie": check_sql.OP13}
+    return {
+        "op5_chat_formatting": check_sql.OP5,
+        "op6_embedding_near_dedup": check_sql.OP6,
+        "op10_ngram_jaccard": check_sql.OP10,
+        "op11_decontamination": check_sql.OP11,
+        "op13_prefix_trie": check_sql.OP13,
+    }

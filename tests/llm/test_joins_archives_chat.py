@@ -193,6 +193,17 @@ def test_formatting_on_spark(spark):
     assert chat.digests(chat.formatted(empty, *order)).count() == 0
 
 
+def test_drafts_in_a_log_are_edited_and_regenerated_away(spark):
+    turns = spark.createDataFrame([(c, t, "user", f"text {c} {t} " + "x" * 300) for c in range(6) for t in range(8)], "conv_id long, turn long, role string, text string")
+    log, order = chat.events_of_turns(turns)
+    assert {r[0] for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    whole = lambda rows: {r["conv_id"]: r["formatted"] for r in chat.formatted(rows, *order).collect()}
+    told = whole(log)
+    assert not any("Draft" in text for text in told.values())
+    for kind in ("edit", "regenerate"):  # the text comes out wrong without either
+        assert whole(log.where(log["kind"] != kind)) != told
+
+
 class Bytes(io.BytesIO):
     def size(self):
         return len(self.getvalue())
