@@ -62,8 +62,9 @@ def fit(
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     chosen = chosen.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key", "_label").limit(sample)  # bounded, so it may be broadcast
-    rows = df.join(F.broadcast(chosen), F.col(key) == F.col("_key"))
-    got = rows.select("_label", *(x.alias(f"x{i}") for i, x in enumerate(features(F.col(text))))).toPandas()
+    named = df.select(F.col(key).alias("_of"), F.col(text).alias("_text"))
+    rows = named.join(F.broadcast(chosen), F.col("_of") == F.col("_key"))
+    got = rows.select("_label", *(x.alias(f"x{i}") for i, x in enumerate(features(F.col("_text"))))).toPandas()
     got = got.sort_values(list(got), ignore_index=True).to_numpy(float)  # the order of tasks does not count
     y, x = got[:, 0], got[:, 1:]
     if len(y) == 0 or y.min() == y.max():
@@ -121,15 +122,18 @@ def classified(
     probability of at least ``least`` are kept.
 
     Null and empty texts have the features of an empty text, null hosts and paths are sites like others, repeated
-    rows count each, an empty table gives an empty result; columns of df stay and must not begin with _.
+    rows count each, an empty table gives an empty result.  Columns of df stay, whatever their names; one that is
+    named like an added column is replaced by it.
     """
     logit = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), model.logit(F.col(text))))
-    scored = df.withColumn("_doc_logit", logit)
+    # The row travels as one column, so that its names meet no others.
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    scored = df.select(whole, F.col(host).alias("_of_host"), F.col(path).alias("_of_path"), logit.alias("_doc_logit"))
     chance = 1 / (1 + F.exp(-F.col("_doc_logit")))
-    found, rate, upper, lower = sites(scored.select(host, path, chance.alias("_p")), host, path)
+    found, rate, upper, lower = sites(scored.select("_of_host", "_of_path", chance.alias("_p")), "_of_host", "_of_path")
     # Sites are joined without a hint: they are broadcast where their stored size is under the session's limit.
     joined = scored.withColumn("_p", chance).join(
-        found, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path"))
+        found, F.col("_of_host").eqNullSafe(F.col("_host")) & F.col("_of_path").eqNullSafe(F.col("_path"))
     )
     of_host = (F.col("host_s") - F.col("_p") + upper * rate) / (F.col("host_n") - 1 + upper)
     of_site = (F.col("s") - F.col("_p") + lower * of_host) / (F.col("n") - 1 + lower)
@@ -137,4 +141,6 @@ def classified(
     shift = F.log(F.col("_site_rate") / (1 - F.col("_site_rate"))) - F.lit(float(np.log(rate / (1 - rate))))
     joined = joined.withColumn("_probability", 1 / (1 + F.exp(-(F.col("_doc_logit") + shift))))
     kept = F.col("_probability") >= least
-    return joined.withColumn("_kept", kept).select(*df.columns, "_doc_logit", "_site_rate", "_probability", "_kept")
+    added = ["_doc_logit", "_site_rate", "_probability", "_kept"]
+    own = [F.col("_row")[c].alias(c) for c in df.columns if c not in added]
+    return joined.withColumn("_kept", kept).select(*own, *added)

@@ -159,19 +159,23 @@ def rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "s
 
 
 def cleaned(df: DataFrame, text: str = "text", host: str = "source", chars: str | None = "n_chars") -> DataFrame:
-    """The documents that the rules keep, without boilerplate lines; columns as before.
+    """The documents that the rules keep, without boilerplate lines; columns as before, whatever their names.
 
-    Texts without such a line stay as they are; where one goes, ``chars`` (if the table has it) is counted anew.
+    Texts without such a line stay as they are; where one goes, ``chars`` (if the table has it) is counted anew.  A null
+    or empty text fails the base rules, so its row goes; a null host is a host; repeated rows are judged each; an empty
+    table gives an empty result.
     """
-    # Stored, so that the measures are taken once, and not again inside the filter that Spark would push below them.
-    rows = stored(measured(df, text), "measures")
-    frequent = boilerplate(rows, host)
-    kept = judged(rows, frequent, host).where("_kept")
+    # The row travels as one column, so that its names meet no others.  Stored, so that the measures are taken once, and
+    # not again inside the filter that Spark would push below them.
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    named = df.select(whole, F.col(text).alias("_text"), F.col(host).alias("_host"))
+    rows = stored(measured(named, "_text").drop("_text"), "measures")
+    kept = judged(rows, boilerplate(rows, "_host"), "_host").where("_kept")
     stays = lambda x: ~(has_word(x) & F.array_contains(F.col("_frequent"), line_hash(x)))
-    rest = F.array_join(F.filter(F.split(F.col(text), "\n"), stays), "\n")
-    new = {text: F.when(F.col("_removed_lines") > 0, rest).otherwise(F.col(text))}
-    out = kept.withColumns(new)
+    old = F.col("_row")[text]
+    rest = F.array_join(F.filter(F.split(old, "\n"), stays), "\n")
+    changed = F.col("_removed_lines") > 0
+    new = {text: F.when(changed, rest).otherwise(old)}
     if chars in df.columns:
-        length = F.length(text).cast(df.schema[chars].dataType)
-        out = out.withColumn(chars, F.when(F.col("_removed_lines") > 0, length).otherwise(F.col(chars)))
-    return out.select(*df.columns)
+        new[chars] = F.when(changed, F.length(rest).cast(df.schema[chars].dataType)).otherwise(F.col("_row")[chars])
+    return kept.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in df.columns])
