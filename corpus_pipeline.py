@@ -33,16 +33,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id; texts without words stay."""
+    """One document of each group of near copies: the one with the smallest id; texts without words stay.
+
+    Rows without an id stay.  Rows that share one are a group too: the last in the order of their JSON stays.  Other
+    columns may have any names and types; an empty table gives an empty result.
+    """
     groups = stored(jaccard.similar_groups(docs), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     docs = docs.join(stored(gone, "gone"), "doc_id", "left_anti")
     # Rows that share an id are one group too; usually there are none, and then nothing is shuffled.
     again = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     again = stored(again.where("n > 1").select("doc_id"), "again")
-    one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = one.agg(F.max(F.struct(*rest)).alias("row")).select("doc_id", *(F.col("row")[c].alias(c) for c in rest))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(row, F.to_json(row)).alias("_row"))
+    one = one.select("_row.*")
     return docs.join(again, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
 
 
