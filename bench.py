@@ -23,9 +23,9 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
 
 BUILDS = {
-    "clicks": ("events", "sessions", "users", "cart_users", "fact_sessions"),
-    "history": ("events", "sessions", "users", "fact_sessions"),
-    "items": ("events", "sessions", "users", "item_activity", "products", "fact_product_daily"),
+    "clicks": ("events", "event_profile", "sessions", "user_days", "users", "cart_users", "fact_sessions"),
+    "history": ("events", "sessions", "user_days", "users", "user_visits", "fact_sessions"),
+    "items": ("events", "sessions", "user_days", "users", "item_activity", "products", "fact_product_daily"),
 }
 HEADLINES = (
     "dq_overview",
