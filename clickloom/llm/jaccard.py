@@ -22,9 +22,13 @@ RARE = 32
 #: Bits of the map of frequent shingles, whatever the corpus; it is what is broadcast (4 MB).
 MAP_BITS = 25
 #: Index entries or shingles that a bucket is meant for.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Sets that are compared with one set in one place.
 PART = 256
+#: Members of a posting that meet in one place; longer postings are cut into blocks, which meet pair by pair.
+BLOCK = 2048
+#: Rows of a group of narrow rows, set names that a task remembers, and pairs that it holds before it sends them on.
+MANY = 200_000
 _PAIR = np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -60,9 +64,37 @@ def _cut(values: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(top[starts].tolist(), starts, np.r_[starts[1:], len(values)], strict=True)
 
 
-def _spread(key: str | None) -> int:
-    """One of a few dozen groups for narrow rows that need no group."""
-    return xxhash.xxh3_64_intdigest(key or "") % 61
+def _spread(key: str | None, groups: int) -> int:
+    """One of the groups for narrow rows that need no group."""
+    return xxhash.xxh3_64_intdigest(key or "") % groups
+
+
+def parities(tokens: np.ndarray) -> bytes:
+    """The parity of the number of shingles on each of 2n to 4n bits: the XOR of two is that of what one set alone has.
+
+    So its bits are at most the size of the symmetric difference, which bounds the similarity from above.
+    """
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """The parity bits of the members of a posting, in the order of their sizes."""
+
+    def __init__(self, packed: list[bytes]):
+        self.width = np.array([len(b) for b in packed])
+        self.at: dict[int, tuple[int, np.ndarray]] = {}
+        for w in np.unique(self.width).tolist():
+            lo, mid, hi = np.searchsorted(self.width, [w, w + 1, 2 * w + 1])
+            same = np.frombuffer(b"".join(packed[lo:mid]), np.uint64).reshape(mid - lo, -1)
+            wider = np.frombuffer(bytearray().join(packed[mid:hi]), np.uint64).reshape(hi - mid, 2, w // 8)
+            self.at[w] = lo, np.concatenate([same, wider[:, 0] ^ wider[:, 1]])  # folded to the same width
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """A lower bound of the shingles that only one has, for member i and others that are no smaller, nor twice its size."""
+        lo, rows = self.at[int(self.width[i])]
+        return np.bitwise_count(rows[others - lo] ^ rows[i - lo]).sum(axis=1, dtype=np.int64)
 
 
 @dataclass(frozen=True)
@@ -126,6 +158,11 @@ class Scheme:
         """Whether sets of these sizes can be similar."""
         return 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
 
+    def most_apart(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The most shingles that only one of two similar sets of these sizes has."""
+        both = n + m
+        return both - 2 * -(-both * self.percent // (100 + self.percent))
+
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         shared = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * shared >= self.percent * (len(a) + len(b) - shared)
@@ -143,8 +180,10 @@ def _sets(
 
 
 def _new(batch: list, seen: set[int]) -> list:
-    """The sets of a batch that the task has not met: copies count once in a task."""
+    """The sets of a batch that the task has not met, as far as it remembers: most copies count once in a task."""
     out = []
+    if len(seen) > MANY:
+        seen.clear()
     for row in batch:
         if row[1] not in seen:
             seen.add(row[1])
@@ -152,8 +191,8 @@ def _new(batch: list, seen: set[int]) -> list:
     return out
 
 
-def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
-    """(_key, node, size) of every row (its set's name and size; null and 0 without one), and the frequent shingles.
+def profiled(rows: DataFrame, total: int, groups: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(_key, node, size) of every row (its set's name and size; null and 0 without one), (node, parities), the frequent shingles.
 
     Every task counts the shingles of its batches and sends them on by range of hash; a bucket adds them up and gives
     its piece of a map by their top bits, of fixed size.  A rare shingle that falls on the bit of a frequent one counts
@@ -164,12 +203,13 @@ def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for batch in _sets(frames, empty=True):
+        for batch in _sets(frames, 1 << 22, empty=True):
             out = []
             # Without nulls, which pandas would meet by turning the whole numbers into floats.
             known = [node or 0 for _, node, _ in batch], [len(s) for _, _, s in batch]
-            out.append((-1 - _spread(batch[0][0]), None, None, [k for k, _, _ in batch], *known))
+            row = (-1 - _spread(batch[0][0], groups), None, None, [k for k, _, _ in batch], *known)
             batch = _new([row for row in batch if len(row[2])], seen)
+            out.append((*row, [node for _, node, _ in batch], [parities(s) for _, _, s in batch]))
             if batch:
                 values = np.sort(np.concatenate([s for _, _, s in batch]))
                 first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
@@ -177,16 +217,18 @@ def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
                 values = values[first]
                 for k, lo, hi in _cut(values, bits):
                     short = (values[lo:hi] >> low).astype(np.uint32)  # what the bucket leaves open
-                    out.append((k, _pack_sorted(short), _pack(n[lo:hi]), None, None, None))
-            yield pd.DataFrame(out, columns=["bucket", "part", "n", "keys", "nodes", "sizes"])
+                    out.append((k, _pack_sorted(short), _pack(n[lo:hi]), *[None] * 5))
+            yield pd.DataFrame(out, columns=["bucket", "part", "n", "keys", "nodes", "sizes", "news", "parities"])
 
     piece = max(1, (1 << MAP_BITS) >> bits)
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         bucket = parts["bucket"].iloc[0]
         if bucket < 0:
-            out = pd.DataFrame({c: [x for xs in parts[f"{c}s"] for x in xs] for c in ("key", "node", "size")})
-            return out.rename(columns={"key": "_key"}).assign(bucket=bucket, marks=None)
+            told = pd.DataFrame({c: [x for xs in parts[f"{c}s"] for x in xs] for c in ("key", "node", "size")})
+            told = told.rename(columns={"key": "_key"}).assign(bucket=bucket, marks=None)
+            bits = pd.DataFrame({"node": [x for xs in parts["news"] for x in xs], "marks": [x for xs in parts["parities"] for x in xs]})
+            return pd.concat([told, bits.drop_duplicates("node").assign(_key=None, size=-1, bucket=bucket)])
         short = np.concatenate([_unpack_sorted(b, np.uint32) for b in parts["part"]])
         n = np.concatenate([_unpack(b, np.uint32) for b in parts["n"]])
         order = np.argsort(short, kind="stable")
@@ -199,6 +241,7 @@ def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
         return pd.DataFrame({"bucket": [bucket], "marks": [np.packbits(mark).tobytes()], **empty})
 
     kinds = "bucket int, part binary, n binary, keys array<string>, nodes array<long>, sizes array<long>"
+    kinds += ", news array<long>, parities array<binary>"
     found = rows.mapInPandas(count, kinds).groupBy("bucket")
     kinds = "_key string, node long, size long, bucket int, marks binary"
     found = stored(found.applyInPandas(lambda x: add(x)[["_key", "node", "size", "bucket", "marks"]], kinds), "profile")
@@ -206,7 +249,9 @@ def profiled(rows: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
     for r in found.where("bucket >= 0").select("bucket", "marks").collect():
         out[r["bucket"] * piece : (r["bucket"] + 1) * piece] = np.unpackbits(np.frombuffer(r["marks"], np.uint8))[:piece]
     node = F.when(F.col("size") > 0, F.col("node")).alias("node")
-    return found.where("bucket < 0").select("_key", node, "size"), np.packbits(out)
+    known = found.where("bucket < 0 and size >= 0").select("_key", node, "size")
+    bits = found.where("bucket < 0 and size < 0").select("node", F.col("marks").alias("parities"))
+    return known, bits.dropDuplicates(["node"]), np.packbits(out)
 
 
 def _marked(marks: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -313,31 +358,51 @@ def to_pivots(runs: DataFrame, scheme: Scheme) -> DataFrame:
     return _counted(runs.select("n", "nodes", "traits").mapInPandas(run, _PAIRS), scheme)
 
 
-def across(runs: DataFrame, reached: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b) in the postings whose sets are not yet in one component, fit in size and share keys enough."""
+def across(runs: DataFrame, reached: DataFrame, bits: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs (a, b) in the postings whose sets are not yet in one component, fit in size and share keys enough.
+
+    Pairs whose parities differ in more bits than similar sets may differ in shingles never become rows.  Of a long
+    posting any two blocks meet, each pair of blocks in its own place.
+    """
     lists = runs.groupBy("run").agg(F.sum("n").alias("n"), F.first(F.arrays_zip("nodes", "traits")).alias("m"))
     entries = lists.select("run", "n", F.explode("m").alias("m")).select("run", "n", "m.nodes", "m.traits")
     known = reached.select(F.col("node").alias("_node"), "component")
     entries = entries.join(known, F.col("nodes") == F.col("_node"), "left")
     entries = entries.select("run", "n", "nodes", "traits", F.coalesce("component", "nodes").alias("c"))
     entries = stored(entries, "entries")
-    several = entries.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    left = entries.join(several.select(F.col("run").alias("_run")), F.col("run") == F.col("_run")).drop("_run")
-    lists = left.groupBy("run", "n").agg(F.collect_list(F.struct("nodes", "traits", "c")).alias("m"))
-    lists = lists.select("n", "m.nodes", "m.traits", "m.c")
+    several = entries.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"))
+    several = several.where("lo <> hi").select(F.col("run").alias("_run"), F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+    left = entries.join(several, F.col("run") == F.col("_run"))
+    left = left.join(bits.withColumnRenamed("node", "_node"), F.col("nodes") == F.col("_node"))
+    left = left.withColumn("block", F.pmod(F.xxhash64("nodes"), F.col("k")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    left = left.withColumn("cell", F.explode(meets))
+    member = F.struct("nodes", "traits", "c", "block", "parities")
+    lists = left.groupBy("run", "n", "cell").agg(F.collect_list(member).alias("m"))
+    lists = lists.select("n", (F.col("cell.i") != F.col("cell.j")).alias("two"), *(F.col(f"m.{c}") for c in ("nodes", "traits", "c", "block", "parities")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = []
-            for n, nodes, traits, cs in zip(*(frame[c] for c in ("n", "nodes", "traits", "c")), strict=True):
+            found, held = [], 0
+            for n, two, nodes, traits, cs, block, packed in frame.itertuples(index=False):
                 order = np.argsort(traits, kind="stable")
-                nodes, traits, cs = nodes[order], traits[order], cs[order]
+                nodes, traits, cs, block = nodes[order], traits[order], cs[order], block[order]
+                parity = Parities([packed[i] for i in order])
                 sizes = traits >> 1
                 ends = np.searchsorted(sizes, sizes * 100 // scheme.percent, side="right")
                 for i, end in enumerate(ends.tolist()):  # partners of i are no smaller, and fit
-                    other = np.flatnonzero(cs[i + 1 : end] != cs[i]) + i + 1
+                    other = cs[i + 1 : end] != cs[i]
+                    if two:
+                        other &= block[i + 1 : end] != block[i]
+                    other = np.flatnonzero(other) + i + 1
+                    if len(other):
+                        other = other[parity.apart(i, other) <= scheme.most_apart(sizes[i], sizes[other])]
                     if len(other):
                         found.append((nodes[i], traits[i], nodes[other], traits[other], n))
+                        held += len(other)
+                    if held > MANY:
+                        yield _pairs_frame(found)
+                        found, held = [], 0
             yield _pairs_frame(found)
 
     return _counted(lists.mapInPandas(run, _PAIRS), scheme)
@@ -424,8 +489,8 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", perce
     Two rows link when 100 * shared shingles >= percent * shingles of either.  Rows with equal sets are one node, so
     copies cost nothing.  Candidates come from the index of ``Scheme.keys`` and are compared in full.  First
     every posting's members meet a pivot; that joins nearly all that belongs together, at one comparison a member.  Then
-    all pairs of a posting that are still in different components are compared, so no link between components is
-    missed, and only pairs that cannot change them are passed over.
+    all pairs of a posting that are still in different components and that their parities do not tell apart are compared,
+    so no link between components is missed, and only pairs that cannot change them are passed over.
 
     The component is the smallest key in it.  Rows without words link with nothing and are their own component, as
     are rows with a null key (null component).  Repeated keys with different texts join what each of them links with.
@@ -434,13 +499,13 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", perce
     scheme = Scheme(percent)
     kind = df.schema[key].dataType
     rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
-    letters = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("n")).first()["n"]
-    total = letters // 6  # shingles, about: it only sizes the buckets
-    known, marks = profiled(rows, total)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    total = size["n"] // 6  # shingles, about: it only sizes the buckets
+    known, bits, marks = profiled(rows, total, max(61, size["rows"] // MANY))
     runs = stored(postings(rows, marks, scheme, total), "postings")
     pairs = stored(to_pivots(runs, scheme), "pairs")
     links = stored(verified(pairs, set_table(rows, known, pairs), scheme), "similar")
-    more = across(runs, components(links), scheme)
+    more = across(runs, components(links), bits, scheme)
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.union(stored(verified(more, set_table(rows, known, more), scheme), "similar"))
     return _told(known, links, key, kind)

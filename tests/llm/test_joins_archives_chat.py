@@ -117,8 +117,9 @@ def copies(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, component_id string, node int")
 
 
-@pytest.mark.parametrize("percent", [75, 60, 90])
-def test_jaccard_join(copies, percent):
+@pytest.mark.parametrize("percent,block", [(75, 2048), (60, 2048), (90, 2048), (75, 3)])
+def test_jaccard_join(copies, percent, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)  # the shortest cuts every posting into blocks
     rows = [(r["doc_id"], shingle_set(r["text"])) for r in copies.collect()]
     named = [(k, s) for k, s in rows if k is not None]
     linked = [
@@ -147,6 +148,27 @@ def test_similar_sets_share_a_key(percent):
             assert len(np.intersect1d(scheme.keys(a, marks(a))[0], scheme.keys(b, marks(b))[0]))
 
 
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_parities_pass_every_similar_pair(percent):
+    rng, scheme = np.random.default_rng(percent), jaccard.Scheme(percent)
+    pool, sets = rng.integers(0, 1 << 63, 400).astype(np.uint64), []
+    for _ in range(250):
+        start = rng.integers(0, 40)
+        some = pool[start : start + rng.integers(1, 300)]
+        sets.append(np.unique(some[rng.random(len(some)) < rng.choice([0.8, 0.95, 1])]))
+    sets = sorted((s for s in sets if len(s)), key=len)
+    bits, sizes, far, passed = jaccard.Parities([jaccard.parities(s) for s in sets]), np.array([len(s) for s in sets]), 0, 0
+    for i, a in enumerate(sets):
+        others = np.flatnonzero(scheme.fits(sizes, sizes[i]) & (np.arange(len(sets)) > i))
+        low, most = bits.apart(i, others), scheme.most_apart(sizes[i], sizes[others])
+        for j, bound, limit in zip(others, low, most, strict=True):
+            apart = len(np.setxor1d(a, sets[j]))
+            assert bound <= apart and (apart <= limit) == scheme.similar(a, sets[j])
+            if apart > 2 * limit:
+                far, passed = far + 1, passed + (bound <= limit)
+    assert far > 500 and passed < 0.1 * far  # of pairs twice as far apart as allowed, few get through
+
+
 def test_jaccard_empty(copies):
     assert jaccard.similar_groups(copies.limit(0)).count() == 0
 
