@@ -29,6 +29,8 @@ PART = 256
 BLOCK = 2048
 #: Rows of a group of narrow rows, set names that a task remembers, and pairs that it holds before it sends them on.
 MANY = 200_000
+#: Entries of postings that are meant for one place when those of one component are dealt out.
+ROOM = 30_000
 _PAIR = np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -321,8 +323,7 @@ def _pairs_frame(found: list[tuple]) -> pd.DataFrame:
     """Distinct pairs (a < b) with their traits (x, y), and the keys they share (w), from (nodes, traits, nodes, traits, n)."""
     if not found:
         return pd.DataFrame({c: np.empty(0, np.int64) for c in "abxyw"})
-    a, x, b, y = (np.concatenate([np.broadcast_to(f[i], np.shape(f[2])) for f in found]) for i in range(4))
-    w = np.repeat([f[4] for f in found], [len(f[2]) for f in found])
+    a, x, b, y, w = (np.concatenate([np.broadcast_to(f[i], np.shape(f[2])) for f in found]) for i in range(5))
     turn = a > b
     frame = {"a": np.where(turn, b, a), "b": np.where(turn, a, b), "x": np.where(turn, y, x), "y": np.where(turn, x, y)}
     return pd.DataFrame(frame | {"w": w}).groupby(["a", "b"], as_index=False).agg({"x": "first", "y": "first", "w": "sum"})
@@ -362,7 +363,8 @@ def across(runs: DataFrame, reached: DataFrame, bits: DataFrame, scheme: Scheme)
     """Pairs (a, b) in the postings whose sets are not yet in one component, fit in size and share keys enough.
 
     Pairs whose parities differ in more bits than similar sets may differ in shingles never become rows.  Of a long
-    posting any two blocks meet, each pair of blocks in its own place.
+    posting any two blocks meet, each pair of blocks in its own place.  Sets that share one key mostly share many, so
+    postings with the same smallest component go to the same place, as far as there is room, and a pair leaves it once.
     """
     lists = runs.groupBy("run").agg(F.sum("n").alias("n"), F.first(F.arrays_zip("nodes", "traits")).alias("m"))
     entries = lists.select("run", "n", F.explode("m").alias("m")).select("run", "n", "m.nodes", "m.traits")
@@ -371,19 +373,24 @@ def across(runs: DataFrame, reached: DataFrame, bits: DataFrame, scheme: Scheme)
     entries = entries.select("run", "n", "nodes", "traits", F.coalesce("component", "nodes").alias("c"))
     entries = stored(entries, "entries")
     several = entries.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"))
-    several = several.where("lo <> hi").select(F.col("run").alias("_run"), F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+    several = stored(several.where("lo <> hi"), "several")
+    large = several.groupBy(F.col("lo").alias("_lo")).agg(F.ceil(F.sum("m") / ROOM).alias("places")).where("places > 1")
+    several = several.join(large, F.col("lo") == F.col("_lo"), "left").select(
+        F.col("run").alias("_run"), "lo", F.coalesce("places", F.lit(1)).alias("places"), F.ceil(F.col("m") / BLOCK).cast("int").alias("k")
+    )
     left = entries.join(several, F.col("run") == F.col("_run"))
     left = left.join(bits.withColumnRenamed("node", "_node"), F.col("nodes") == F.col("_node"))
     left = left.withColumn("block", F.pmod(F.xxhash64("nodes"), F.col("k")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     left = left.withColumn("cell", F.explode(meets))
+    left = left.withColumn("place", F.pmod(F.xxhash64("run", "cell.i", "cell.j"), F.col("places"))).repartition("lo", "place")
     member = F.struct("nodes", "traits", "c", "block", "parities")
-    lists = left.groupBy("run", "n", "cell").agg(F.collect_list(member).alias("m"))
+    lists = left.groupBy("lo", "place", "run", "n", "cell").agg(F.collect_list(member).alias("m"))
     lists = lists.select("n", (F.col("cell.i") != F.col("cell.j")).alias("two"), *(F.col(f"m.{c}") for c in ("nodes", "traits", "c", "block", "parities")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, held = [], 0
         for frame in frames:
-            found, held = [], 0
             for n, two, nodes, traits, cs, block, packed in frame.itertuples(index=False):
                 order = np.argsort(traits, kind="stable")
                 nodes, traits, cs, block = nodes[order], traits[order], cs[order], block[order]
@@ -401,9 +408,13 @@ def across(runs: DataFrame, reached: DataFrame, bits: DataFrame, scheme: Scheme)
                         found.append((nodes[i], traits[i], nodes[other], traits[other], n))
                         held += len(other)
                     if held > MANY:
-                        yield _pairs_frame(found)
-                        found, held = [], 0
-            yield _pairs_frame(found)
+                        pairs = _pairs_frame(found)
+                        if len(pairs) > MANY // 2:
+                            yield pairs
+                            found, held = [], 0
+                        else:
+                            found, held = [tuple(pairs[c].to_numpy() for c in "axbyw")], len(pairs)
+        yield _pairs_frame(found)
 
     return _counted(lists.mapInPandas(run, _PAIRS), scheme)
 
