@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import os
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.llm.common import as_text
-from clickloom.llm.units import UnitCache, batches, split_units
+from clickloom.llm.units import UNIT_START, UnitCache, batches, split_units
 
 
 def library(path: str):
@@ -29,32 +28,33 @@ def library(path: str):
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> UnitCache:
+def _loaded(path: str) -> tuple:
     tokenizer = library(path)
-    return UnitCache(lambda units: [len(e.ids) for e in tokenizer.encode_batch(units, add_special_tokens=False)])
+    return tokenizer, UnitCache(lambda units: [len(e.ids) for e in tokenizer.encode_batch(units, add_special_tokens=False)])
 
 
 class Window:
-    """An encoded chunk of a text: where its units begin in the text, and the tokens before each of them."""
+    """A chunk of a text, encoded with offsets when it is first asked for; offsets are places in the whole text."""
 
-    def __init__(self, text: str, start: int, end: int):
-        self.start, self.end = start, end
-        self.units = split_units(text[start:end])
-        self.starts = [0, *accumulate(len(u) + 1 for u in self.units[:-1])]
-        self.starts = [start + s - (i > 0) for i, s in enumerate(self.starts)]  # at the space before the unit
+    def __init__(self, tokenizer, text: str, start: int, end: int):
+        self.tokenizer, self.text, self.start, self.end = tokenizer, text, start, end
 
-    def count(self, cache: UnitCache) -> None:
-        self.before = [0, *accumulate(cache.values(self.units))]
+    @cached_property
+    def encoded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and where each token begins and ends."""
+        e = self.tokenizer.encode(self.text[self.start : self.end], add_special_tokens=False)
+        return np.array(e.ids, np.int64), np.array(e.offsets, np.int64).reshape(-1, 2) + self.start
 
-    def boundaries(self, low: int, high: int) -> list[int]:
-        """Stable unit starts in [low, high): not the window's first, which may lie inside a unit."""
-        i, j = max(1, bisect_left(self.starts, low)), bisect_left(self.starts, high)
-        return self.starts[i:j]
+    def between(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens that begin in [low, high)."""
+        ids, places = self.encoded
+        chosen = (places[:, 0] >= low) & (places[:, 0] < high)
+        return ids[chosen], places[chosen]
 
-    def tokens(self, low: int, high: int | None) -> int:
-        """Tokens from the boundary ``low`` to the boundary ``high`` (the window's end if None)."""
-        to = len(self.units) if high is None else bisect_left(self.starts, high)
-        return self.before[to] - self.before[bisect_right(self.starts, low) - 1]
+    def crossed(self, at: int) -> bool:
+        """Whether a token lies on both sides of the space at ``at``."""
+        _, places = self.encoded
+        return bool(((places[:, 0] < at) & (places[:, 1] > at + 1)).any())
 
 
 def spans(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
@@ -66,37 +66,47 @@ def spans(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-def spliced(text: str, windows: list[Window], cache: UnitCache, overlap: int) -> int:
-    """Tokens of the whole text from its encoded windows.
+def stable_boundary(here: Window, following: Window, after: int) -> int | None:
+    """The last place beyond ``after`` in both windows where they may be spliced.
 
-    Neighbouring windows are joined at the last boundary that both show in their overlap.  A boundary is a space
-    with a non-space after it, which no token crosses and which makes the tokens on either side independent of the
-    text on the other.  Where an overlap has none, it is widened, to double its length each time, back to the
-    boundary at which the window before began; from there on both windows are encoded as one.
+    It is a space with a non-space after it, where both windows end a token and begin another, and both encode the
+    unit before it and the unit after it to the same ids at the same places.  The units of a window that its edges
+    may cut are no such units, unless they come out alike all the same.  No token crosses such a space, and neither
+    side's tokens depend on the other side's text, so the splice gives the tokens of the whole text.
     """
-
-    def encoded(start: int, end: int) -> Window:
-        w = Window(text, start, end)
-        cache.add([w.units])
-        w.count(cache)
-        return w
-
-    total, at, here = 0, 0, windows[0]
-    for following in windows[1:]:
+    low, high = max(after + 1, following.start), min(here.end, following.end)
+    places = [m.start() for m in UNIT_START.finditer(here.text, low, high)]
+    for before, at, behind in reversed(list(zip(places, places[1:], places[2:], strict=False))):
+        if here.crossed(at) or following.crossed(at):
+            continue
+        if all(np.array_equal(x, y) for x, y in zip(here.between(before, behind), following.between(before, behind), strict=True)):
+            return at
+    return None
+
+
+def spliced(tokenizer, text: str, chunk: int, overlap: int) -> int:
+    """Tokens of a text from overlapping chunks of it.
+
+    Neighbouring chunks are spliced at their stable boundary.  Where their overlap has none, it is widened, to double
+    its length each time, by encoding the later chunk from further back; once it reaches the last splice, the two
+    chunks become one.  Chunks without a place to try are not encoded before, so a text without spaces is encoded once.
+    """
+    chunks = [Window(tokenizer, text, *span) for span in spans(len(text), chunk, overlap)]
+    total, at, here = 0, 0, chunks[0]
+    for i in range(1, len(chunks)):
+        following, chunks[i] = chunks[i], None  # what is spliced may be let go
         width = overlap
-        while True:
-            shared = set(here.boundaries(max(at + 1, following.start), here.end - 1))
-            both = [b for b in following.boundaries(following.start, here.end - 1) if b in shared]
-            if both:
-                total += here.tokens(at, both[-1])
-                at, here = both[-1], following
-                break
+        while (boundary := stable_boundary(here, following, at)) is None:
             width *= 2
             if here.end - width <= at:
-                here = encoded(at, following.end)
                 break
-            following = encoded(here.end - width, following.end)
-    return total + here.tokens(at, None)
+            following = Window(tokenizer, text, here.end - width, following.end)
+        if boundary is None:
+            here = Window(tokenizer, text, at, following.end)
+        else:
+            total += len(here.between(at, boundary)[0])
+            at, here = boundary, following
+    return total + len(here.between(at, len(text) + 1)[0])
 
 
 def token_counts(
@@ -110,8 +120,9 @@ def token_counts(
 ) -> DataFrame:
     """Tokens of each whole text as the tokenizers library gives them with the vocabulary at ``path``.
 
-    Texts longer than ``chunk`` characters are encoded in chunks that overlap and spliced (see ``spliced``).  In
-    memory are a batch of texts, their units and the bounded unit cache.  Returns (key, n_bytes, n_tokens,
+    Texts longer than ``chunk`` characters are encoded in chunks that overlap and spliced (see ``spliced``); of the
+    shorter ones each distinct unit is encoded once.  In memory are a batch of texts, their units, the bounded unit
+    cache and the encodings of two chunks.  Returns (key, n_bytes, n_tokens,
     over_limit), a row for each row: null and empty texts have 0 bytes and tokens, null keys and repeated rows stay,
     an empty table gives an empty result.  Special strings in a text count as the library's default has it.
     """
@@ -119,18 +130,16 @@ def token_counts(
     schema = schema.add("n_tokens", T.LongType()).add("n_bytes", T.LongType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _loaded(path)
+        tokenizer, cache = _loaded(path)
         for frame in frames:
             texts = frame["_text"].fillna("").tolist()
             counts: list[int] = []
             for start, end in batches(texts):
-                windows = [[Window(t, s, e) for s, e in spans(len(t), chunk, overlap)] for t in texts[start:end]]
-                cache.add([w.units for ws in windows for w in ws])
-                for ws in windows:  # all before the first splice, which may make the cache begin anew
-                    for w in ws:
-                        w.count(cache)
-                for t, ws in zip(texts[start:end], windows, strict=True):
-                    counts.append(spliced(t, ws, cache, overlap))
+                some = texts[start:end]
+                units = [split_units(t) if len(t) <= chunk else [] for t in some]
+                cache.add(units)
+                short = [sum(cache.values(u)) for u in units]
+                counts += [n if len(t) <= chunk else spliced(tokenizer, t, chunk, overlap) for n, t in zip(short, some, strict=True)]
             yield pd.DataFrame({"_key": frame["_key"], "n_tokens": counts, "n_bytes": frame["n_bytes"]})
 
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")

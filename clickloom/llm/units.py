@@ -11,13 +11,13 @@ import re
 from collections.abc import Callable, Iterable
 
 _SPACE_THEN_SPACE = re.compile(r" (?=\s|[\x1c-\x1f]|$)")
-_UNIT_START = re.compile(r" (?=[^\s\x1c-\x1f])")
+UNIT_START = re.compile(r" (?=[^\s\x1c-\x1f])")
 
 
 def split_units(text: str) -> list[str]:
     """Pieces between unit starts; every piece but the first is to be read with a space before it."""
     if _SPACE_THEN_SPACE.search(text):
-        return _UNIT_START.split(text)
+        return UNIT_START.split(text)
     return text.split(" ")
 
 

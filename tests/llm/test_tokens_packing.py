@@ -51,15 +51,56 @@ def test_units_encoded_together_match_units_alone():
     assert [b"".join(cache.values(u)) for u in units] == want
 
 
-@pytest.mark.parametrize("chunk,overlap", [(1 << 15, 256), (20, 4), (9, 2), (7, 3)])
-def test_spliced_chunks_count_like_whole_texts(chunk, overlap):
-    texts, cache = odd_texts(600), tokens._loaded(WORD)
-    for text, e in zip(texts, tokens.library(WORD).encode_batch(texts, add_special_tokens=False), strict=True):
-        windows = [tokens.Window(text, s, t) for s, t in tokens.spans(len(text), chunk, overlap)]
-        cache.add([w.units for w in windows])
-        for w in windows:
-            w.count(cache)
-        assert tokens.spliced(text, windows, cache, overlap) == len(e.ids)
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("chunk,overlap", [(1 << 15, 256), (40, 12), (20, 4), (9, 2), (7, 3)])
+def test_spliced_chunks_count_like_whole_texts(chunk, overlap, path):
+    library = tokens.library(path)
+    texts = odd_texts(600) + [" ".join(odd_texts(30)), "the quick brown fox " * 200]
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert tokens.spliced(library, text, chunk, overlap) == len(e.ids)
+
+
+def test_chunk_edges_change_tokens_and_overlaps_are_widened(monkeypatch):
+    library = tokens.library(WORD)
+    whole = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["internationalization", "antidisestablishmentarianism", "a", "of"]) for _ in range(400))
+    cut = sum(whole(text[i : i + 100]) for i in range(0, len(text), 100))
+    assert cut != whole(text) == tokens.spliced(library, text, 100, 10)
+    starts, made = [], tokens.Window.__init__
+
+    def record(self, tokenizer, text, start, end):
+        starts.append((start, end))
+        made(self, tokenizer, text, start, end)
+
+    monkeypatch.setattr(tokens.Window, "__init__", record)
+    tokens.spliced(library, text, 100, 10)
+    assert set(starts) - set(tokens.spans(len(text), 100, 10))  # an overlap of ten characters is too short
+    encoded = []
+    plain = "x" * 3000
+    monkeypatch.setattr(tokens.Window, "encoded", property(lambda w: encoded.append(w) or (np.zeros(0, int), np.zeros((0, 2), int))))
+    tokens.spliced(library, plain, 100, 10)
+    assert [(w.start, w.end) for w in encoded] == [(0, 3000)]  # no space: encoded once
+
+
+def test_windows_that_disagree_are_not_spliced():
+    library = tokens.library(WORD)
+    text = "one two three four five six seven eight"
+    a, b = tokens.Window(library, text, 0, 30), tokens.Window(library, text, 6, len(text))
+    at = tokens.stable_boundary(a, b, 0)
+    assert text[at] == " " and 6 < at < 30
+    ids, places = b.encoded
+    b.encoded = ids + 1, places
+    assert tokens.stable_boundary(a, b, 0) is None
+
+
+def test_texts_beyond_a_chunk(spark):
+    rng, library = random.Random(4), tokens.library(WORD)
+    texts = [" ".join(rng.choice(PARTS) for _ in range(30_000)), "word" * 12_000, "two words " * 9_000, "é" * 40_000 + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(df, WORD, 2048).collect()}
+    assert min(map(len, texts)) > 1 << 15
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
 def test_token_counts_and_round_trip(docs):
