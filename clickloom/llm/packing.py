@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,11 @@ class UnitIds:
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.begins[spaced] = True
 
+    def some(self, texts: list[str], at_once: int = 16) -> Iterator[bytes]:
+        """Ids of each text; the library's encodings, far larger than ids, are held of a few texts at once."""
+        for i in range(0, len(texts), at_once):
+            yield from self.ids(texts[i : i + at_once])
+
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -42,7 +48,7 @@ class UnitIds:
         for i, u in enumerate(units):
             (plain if u[:1] == " " and " " not in u[1:] and "<|" not in u else other).append(i)
         groups = [plain[i : i + self.together] for i in range(0, len(plain), self.together)]
-        for group, ids in zip(groups, self.ids(["".join(units[i] for i in g) for g in groups]), strict=True):
+        for group, ids in zip(groups, self.some(["".join(units[i] for i in g) for g in groups]), strict=True):
             cuts = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")]) * 4
             for i, lo, hi in zip(group, cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True):
                 out[i] = ids[lo:hi]
@@ -79,8 +85,9 @@ def pieces(
         cache = _loaded(path)
         end = array("I", [end_id]).tobytes()
         for frame in frames:
+            pa.default_memory_pool().release_unused()  # what earlier steps left with this worker
             keys, texts, rows = frame["_key"].tolist(), frame["_text"].fillna("").tolist(), []
-            for first, last in batches(texts):
+            for first, last in batches(texts, 1 << 19):
                 units = [split_units(t) for t in texts[first:last]]
                 cache.add(units)
                 for k, u in zip(keys[first:last], units, strict=True):
