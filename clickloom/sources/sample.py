@@ -248,23 +248,37 @@ ITEM_EVENTS = AnalyticsConfig(
 
 def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as product views, cart adds and purchases that carry items."""
-    lines = (
-        _table(spark, sf_dir, "lineitem")
-        .join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(
-            _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
-        )
+    # Lines meet parts and orders once, whatever events they become, and carry only what these need.  Orders come last:
+    # where the join is by sorting, that leaves an order's events together, so that what folds them folds early.
+    line = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"),
+        F.col("l_shipdate").cast("date").alias("day"),
+        (F.col("l_returnflag") != "N").alias("counted"),
+        (F.col("l_linestatus") == "F").alias("added"),
+        (F.col("l_returnflag") != "A").alias("bought"),
     )
-    size, part, user = F.col("p_size"), F.col("p_partkey"), F.col("o_custkey")
-    name = (
+    size = F.col("p_size")
+    shown_name = (
         F.when(size == 7, "(not set)")
         .when(size == 8, "")
         .when(size == 10, F.concat(F.lit("&quot;"), F.col("p_name"), F.lit("&quot;")))
         .when(size != 9, F.col("p_name"))
     )
-    quantity = F.col("l_quantity").cast("bigint")
-    amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    parts = _table(spark, sf_dir, "part").select(
+        "p_partkey", "p_size", shown_name.alias("name"), F.concat_ws(" ", "p_brand", "p_type").alias("other")
+    )
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = line.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    part, user = F.col("l_partkey"), F.col("o_custkey")
+    name, other = F.col("name"), F.col("other")
+    quantity, amount, day = F.col("quantity"), F.col("amount"), F.col("day")
 
     def items(event: str) -> Column:
         def item(item_name: Column, qty: Column, revenue: Column) -> Column:
@@ -275,7 +289,6 @@ def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 revenue.cast("double").alias("item_revenue_in_usd"),
             )
 
-        other = F.concat_ws(" ", "p_brand", "p_type")
         if event == "view_item":
             shown = F.array(
                 item(name, F.lit(None), F.lit(None)),
@@ -287,7 +300,7 @@ def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         if event == "add_to_cart":
             # Only the item that was added carries a quantity, and it is not always known.
             return F.array(
-                item(name, F.when(F.col("l_returnflag") != "N", quantity), F.lit(None)),
+                item(name, F.when(F.col("counted"), quantity), F.lit(None)),
                 item(other, F.lit(None), F.lit(None)),
             )
         return F.array(item(name, quantity, amount))
@@ -298,34 +311,31 @@ def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     revenue = F.when((F.col("l_linenumber") == 3) & (F.col("l_suppkey") % 10 < 2), 0.0).otherwise(amount)
 
-    def stream(event: str, rows: DataFrame) -> DataFrame:
-        buys = event == "purchase"
-        day = F.col("l_shipdate").cast("date")
-        return _raw(
-            rows,
-            [
-                _param("ga_session_id", int_value=F.col("l_orderkey")),
-                _param("ga_session_number", int_value=F.col("l_linenumber")),
-            ],
-            event_date=F.date_format(day, "yyyyMMdd"),
-            event_timestamp=F.unix_date(day).cast("bigint") * 86_400 * MICROS
-            + (F.col("l_partkey") % 80_000) * MICROS
-            + F.col("l_suppkey"),
-            event_name=F.lit(event),
-            user_pseudo_id=user,
-            category=_pick(part % 3, "desktop", "mobile", "tablet"),
-            country=F.concat(F.lit("Country "), (user % 20).cast("string")),
-            source=F.lit("src"),
-            medium=_pick(user % 5, "organic", "cpc", "referral", "(none)", "<Other>"),
-            transaction_id=transaction if buys else F.lit(None),
-            revenue=revenue if buys else F.lit(None),
-            items=items(event),
-        )
-
-    return (
-        stream("view_item", lines)
-        .unionByName(stream("add_to_cart", lines.where(F.col("l_linestatus") == "F")))
-        .unionByName(stream("purchase", lines.where(F.col("l_returnflag") != "A")))
+    kinds = F.array(F.lit("view_item"), F.when(F.col("added"), "add_to_cart"), F.when(F.col("bought"), "purchase"))
+    event = F.col("event")
+    buys = event == "purchase"
+    carried = F.when(buys, items("purchase").cast(ITEM_ARRAY))
+    for kind in ("add_to_cart", "view_item"):
+        carried = carried.when(event == kind, items(kind).cast(ITEM_ARRAY))
+    return _raw(
+        lines.withColumn("event", F.explode(F.array_compact(kinds))),
+        [
+            _param("ga_session_id", int_value=F.col("l_orderkey")),
+            _param("ga_session_number", int_value=F.col("l_linenumber")),
+        ],
+        event_date=F.date_format(day, "yyyyMMdd"),
+        event_timestamp=F.unix_date(day).cast("bigint") * 86_400 * MICROS
+        + (F.col("l_partkey") % 80_000) * MICROS
+        + F.col("l_suppkey"),
+        event_name=event,
+        user_pseudo_id=user,
+        category=_pick(part % 3, "desktop", "mobile", "tablet"),
+        country=F.concat(F.lit("Country "), (user % 20).cast("string")),
+        source=F.lit("src"),
+        medium=_pick(user % 5, "organic", "cpc", "referral", "(none)", "<Other>"),
+        transaction_id=F.when(buys, transaction),
+        revenue=F.when(buys, revenue),
+        items=carried,
     )
 
 

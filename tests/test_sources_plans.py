@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
-from datetime import date
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from clickloom.plans import pipeline
 from clickloom.plans.reports import REPORTS
 from clickloom.plans.statistics import STATISTIC_REPORTS
 from clickloom.plans.workspace import Workspace
+from clickloom.sources import sample
 from clickloom.sources.events import read_events, write_events
 from clickloom.sources.tables import TableStore, read_csv, write_csv
 from tests.conftest import event, one
@@ -234,3 +236,86 @@ def test_command_line_builds_only_what_a_report_needs(spark, stored, tmp_path, c
         "sessions",
         "users_cart_window",
     ]
+
+
+def _items_folder(spark, folder, lines, orders, parts):
+    """The three tables that ``item_events`` reads, from rows of a test."""
+    spark.createDataFrame(
+        lines,
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(
+        parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    ).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_lines_are_read_and_joined_once_for_all_their_events(spark, tmp_path):
+    at = datetime(1998, 5, 4)
+    folder = _items_folder(
+        spark,
+        tmp_path,
+        [
+            (1, 5, 2, 1, 3.0, 10.0, 0.1, "N", "F", at),  # seen, added without a quantity, bought
+            (1, 6, 2, 2, 4.0, 10.0, 0.0, "A", "F", at),  # seen, added
+            (1, 6, 2, 3, 4.0, 10.0, 0.0, "R", "O", at),  # seen, bought
+            (1, 6, 2, 4, 4.0, 10.0, 0.0, None, None, at),  # seen
+            (2, 6, 2, 1, 4.0, 10.0, 0.0, "N", "F", at),  # of an order that is not there
+            (None, 6, 2, 1, 4.0, 10.0, 0.0, "N", "F", at),
+        ],
+        [(1, 70), (1, 80), (None, 90)],  # an order that is there twice
+        [(5, "old rod", "B", "T", 1), (6, "ring", "B", "T", 10)],
+    )
+    raw = sample.item_events(spark, folder)
+    text = plan(raw)
+    assert len(re.findall(r"FileScan parquet .*l_orderkey", text)) == 1
+    found = raw.groupBy("event_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_pseudo_id").alias("u"))
+    assert {r.event_name: (r.n, r.u) for r in found.collect()} == {
+        "view_item": (8, 2), "add_to_cart": (4, 2), "purchase": (4, 2)
+    }
+    added = raw.where("event_name = 'add_to_cart' AND user_pseudo_id = '70'").select(F.inline("items"))
+    assert sorted(((r.item_name, r.quantity) for r in added.collect()), key=str) == [
+        ("&quot;ring&quot;", 4), ("B T", None), ("B T", None), ("old rod", None)
+    ]
+    assert {r[0] for r in raw.where("event_name != 'purchase'").select("ecommerce.transaction_id").collect()} == {None}
+
+
+def test_item_activity_moves_events_and_orders_only(spark, stored):
+    raw = read_events(spark, stored)
+    activity = product.item_activity(raw, product.item_aliases(spark, CFG), CFG)
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(activity))
+    assert len(moved) == 2  # views by user, date and quarter of an hour; purchases by transaction
+    assert not [keys for keys in moved if "item_name" in keys]
+
+
+def test_products_fold_flags_by_user_not_sums(spark, frame):
+    activity = frame(
+        "event_date date, item_name string, user_pseudo_id string, impressions long, cart_adds long, "
+        "order_lines long, units long, revenue decimal(28,4)",
+        (CFG.cart_reliable_from, "a", "u", 2, 0, 0, 0, Decimal(0)),
+        (CFG.first_date, "a", "u", 1, 0, 0, 0, Decimal(0)),
+        (CFG.cart_reliable_from, "a", None, 1, 1, 0, 0, Decimal(0)),
+        (CFG.cart_reliable_from, "a", "v", 0, 0, 1, 3, Decimal(7)),
+        (CFG.first_date, "a", "v", 0, 0, 1, 2, Decimal(5)),
+    )
+    totals = product.product_totals(activity, CFG)
+    by_user = [line for line in plan(totals).split("\n") if "Aggregate(keys=[item_name" in line and "user_pseudo_id" in line]
+    assert by_user
+    assert not [line for line in by_user if "sum(" in line]
+    assert one(totals) == {
+        "item_name": "a", "impressions": 4, "impression_users": 1, "impressions_cart_window": 3, "cart_adds": 1,
+        "cart_users": 0, "order_lines": 2, "order_lines_cart_window": 1, "buyers": 1, "units": 5, "revenue_usd": 12.0,
+    }
+
+
+def test_stored_tables_are_zstd(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rows = spark.range(10).withColumn("k", F.col("id") % 2)
+    assert store.build("plain", rows).count() == 10
+    assert store.build("split", rows, partition_by="k").count() == 10
+    assert store.build("kept", rows, bucket_by="id").count() == 10
+    files = [p.name for p in tmp_path.rglob("*.parquet")]
+    assert len(files) >= 3
+    assert all("zstd" in name for name in files)
