@@ -61,15 +61,16 @@ def _items(events: DataFrame, keys: list[str], fields: dict[str, str], cfg: Anal
 
 
 SHOWN = ["event_date", "item_name", "user_pseudo_id", "quarter_hour"]
+VISIT = ["user_pseudo_id", "event_date", "quarter_hour"]
 
 
 def _shown(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
-    """Distinct impressions, partitioned by date, product, user and quarter of an hour.
+    """Distinct impressions, partitioned by user, date and quarter of an hour.
 
-    A name repeated inside an event is dropped before the event is exploded, which
-    leaves the distinct over all events little to remove.  Both the distinct and a
-    count by the partition columns then need no further shuffle, and even a product
-    that one user is shown all day is spread over a hundred partitions.
+    Events are shuffled, not the names in them: both the distinct and a count by
+    product as well then need no further shuffle, and a user who is shown products
+    all day is spread over a hundred partitions.  A name repeated inside an event is
+    dropped before.
     """
     usable = F.filter("items.item_name", lambda n: _usable(n, cfg))
     names = F.array_distinct(F.transform(usable, _unescaped))
@@ -80,10 +81,9 @@ def _shown(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFram
         F.floor(F.col("event_timestamp") / 900_000_000).alias("quarter_hour"),
         names.alias("names"),
     )
-    shown = events.select(
-        "user_pseudo_id", "event_timestamp", "event_date", "quarter_hour", F.explode("names").alias("item_name")
-    )
-    return _canonical(shown, aliases).repartition(*SHOWN).distinct()
+    together = events.where(F.size("names") > 0).repartition(*VISIT)
+    shown = together.select(*VISIT, "event_timestamp", F.explode("names").alias("item_name"))
+    return _canonical(shown, aliases).distinct()
 
 
 def item_impressions(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
@@ -141,17 +141,14 @@ def item_activity(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> D
     what one key has may come in several rows.
     """
     keys = ["event_date", "item_name", "user_pseudo_id"]
-    rows = F.count(F.lit(1))
-    shown = _shown(raw, aliases, cfg).groupBy(*SHOWN).agg(rows.alias("impressions"))
-    added = item_cart_adds(raw, aliases, cfg).groupBy(*keys).agg(rows.alias("cart_adds"))
-    bought = (
-        item_purchases(raw, aliases, cfg)
-        .groupBy(*keys)
-        .agg(
-            rows.alias("order_lines"),
-            F.coalesce(F.sum("quantity"), F.lit(0)).alias("units"),
-            F.coalesce(F.sum(F.col("revenue").cast(MONEY)), F.lit(0)).cast("decimal(28,4)").alias("revenue"),
-        )
+    one = F.lit(1).cast("bigint")
+    shown = _shown(raw, aliases, cfg).groupBy(*SHOWN).agg(F.count(F.lit(1)).alias("impressions"))
+    added = item_cart_adds(raw, aliases, cfg).select(*keys, one.alias("cart_adds"))
+    bought = item_purchases(raw, aliases, cfg).select(
+        *keys,
+        one.alias("order_lines"),
+        F.coalesce("quantity", F.lit(0)).alias("units"),
+        F.coalesce(F.col("revenue").cast(MONEY), F.lit(0)).cast("decimal(28,4)").alias("revenue"),
     )
     return stack([shown, added, bought], keys, list(ACTIVITY))
 
@@ -159,31 +156,36 @@ def item_activity(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> D
 def product_totals(activity: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """One row per product with its counts.
 
-    Users are counted by folding to (product, user) first, so that a product shown
-    to everyone is reduced in every task before it is gathered.
+    Sums combine in every task.  Only what counts users is folded to (product, user),
+    and that carries a flag for each count instead of the sums.
     """
     in_window = F.col("event_date") >= F.lit(cfg.cart_reliable_from)
-    by_user = activity.groupBy("item_name", "user_pseudo_id").agg(
+    sums = activity.groupBy("item_name").agg(
         *[F.sum(c).alias(c) for c in ACTIVITY],
         F.sum(F.when(in_window, F.col("impressions")).otherwise(0)).alias("impressions_cart_window"),
         F.sum(F.when(in_window, F.col("order_lines")).otherwise(0)).alias("order_lines_cart_window"),
     )
-
-    def users(having: str) -> Column:
-        return F.count(F.when(F.col(having) > 0, F.col("user_pseudo_id")))
-
-    return by_user.groupBy("item_name").agg(
-        F.sum("impressions").alias("impressions"),
-        users("impressions").alias("impression_users"),
-        F.sum("impressions_cart_window").alias("impressions_cart_window"),
-        F.sum("cart_adds").alias("cart_adds"),
-        users("cart_adds").alias("cart_users"),
-        F.sum("order_lines").alias("order_lines"),
-        F.sum("order_lines_cart_window").alias("order_lines_cart_window"),
-        users("order_lines").alias("buyers"),
-        F.sum("units").alias("units"),
-        F.sum("revenue").cast("double").alias("revenue_usd"),
+    counted = {"impression_users": "impressions", "cart_users": "cart_adds", "buyers": "order_lines"}
+    by_user = activity.groupBy("item_name", "user_pseudo_id").agg(
+        *[F.bool_or(F.col(c) > 0).alias(name) for name, c in counted.items()]
     )
+    users = by_user.groupBy("item_name").agg(
+        *[F.count(F.when(F.col(name), F.col("user_pseudo_id"))).alias(name) for name in counted]
+    )
+    order = [
+        "impressions",
+        "impression_users",
+        "impressions_cart_window",
+        "cart_adds",
+        "cart_users",
+        "order_lines",
+        "order_lines_cart_window",
+        "buyers",
+        "units",
+        "revenue",
+    ]
+    totals = stack([sums, users], ["item_name"], order).groupBy("item_name").agg(*[F.sum(c).alias(c) for c in order])
+    return totals.withColumn("revenue", F.col("revenue").cast("double")).withColumnRenamed("revenue", "revenue_usd")
 
 
 def product_rates(totals: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
