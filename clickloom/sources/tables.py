@@ -18,6 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: How the files of stored tables are written.
+STORED = {"compression": "zstd"}
+
+
 class TableStore:
     """Parquet tables in one folder; writing one cuts the lineage behind it.
 
@@ -40,20 +44,20 @@ class TableStore:
     ) -> DataFrame:
         """Replace the table and return it as read back from storage.
 
+        Files are compressed with zstd, which makes them about half as large as the default does.
         ``partition_by`` writes a directory for each value, its rows in files of the advisory size.
         """
         if bucket_by is not None:
             table = f"{self._prefix}_{name}"
             whole = df.repartition(self.buckets, bucket_by)  # one file for each bucket
             writer = whole.write.mode("overwrite").bucketBy(self.buckets, bucket_by).sortBy(bucket_by)
-            writer.option("path", self.path(name)).format("parquet").saveAsTable(table)
+            writer.options(path=self.path(name), **STORED).format("parquet").saveAsTable(table)
             return self.spark.table(table)
         if partition_by is not None:
-            df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(
-                self.path(name)
-            )
+            writer = df.hint("rebalance", partition_by).write.mode("overwrite").options(**STORED)
+            writer.partitionBy(partition_by).parquet(self.path(name))
         else:
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.mode("overwrite").options(**STORED).parquet(self.path(name))
         return self.read(name, df.schema)
 
     def read(self, name: str, schema: T.StructType) -> DataFrame:
