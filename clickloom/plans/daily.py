@@ -68,8 +68,11 @@ class DailyTables:
 
     def _replace(self, name: str, rows: DataFrame, days: Iterable[date]) -> None:
         """Put rows in the place of what the table has on these days; a day without rows goes."""
+        self._put(name, self._staged(name, rows), days)
+
+    def _put(self, name: str, staged: DataFrame, days: Iterable[date]) -> None:
+        """The same with rows that are written aside already."""
         day = DAYS[name]
-        staged = self._staged(name, rows)
         left = {r[0] for r in staged.select(day).distinct().collect()}
         writer = staged.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(day).parquet(self.path(name))
@@ -101,15 +104,17 @@ class DailyTables:
             "touch_parts": self._by_day(sessions.touch_times(new, "event_date")),
             "order_parts": self._by_day(self._orders_of_days(new)),
         }
+        # Each is read several times below: by the ids, the users, and the table it goes to.
+        parts = {name: self._staged(name, part) for name, part in parts.items()}
         self._schemas = {name: part.schema for name, part in parts.items()} | {"orders": parts["order_parts"].schema}
         in_days = F.col("event_date").isin(*days)
         before = {name: self.read(name, part).where(in_days) for name, part in parts.items()}
         ids = self._touched_ids(before["order_parts"], parts["order_parts"])
         touched = self._touched_users(before["session_parts"], parts["session_parts"], ids, parts["order_parts"])
 
-        self._replace("events_clean", new, days)
+        self._put("events_clean", new, days)
         for name, part in parts.items():
-            self._replace(name, part, days)
+            self._put(name, part, days)
         self._update_orders(ids, days)
         changed = self._update_sessions(self._staged("touched", touched))
         self._delete(f"{self.folder}/_pending")
@@ -183,7 +188,10 @@ class DailyTables:
         rebuilt = self._staged("rebuilt", sessions.finish_sessions(activity, of_users("orders"), touch, self.cfg))
         every = self.read("sessions", rebuilt)
         old = every.join(touched, USER, "left_semi")
-        differ = rebuilt.exceptAll(old).select("session_date").union(old.exceptAll(rebuilt).select("session_date"))
+        # A row that is not there as often on both sides differs; one grouping sees it from either side.
+        both = rebuilt.withColumn("_n", F.lit(1)).unionByName(old.withColumn("_n", F.lit(-1)))
+        differ = both.groupBy(*rebuilt.columns).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
+        differ = differ.select("session_date")
         days = sorted(r[0] for r in differ.distinct().collect())
         if days:
             here = F.col("session_date").isin(*days)

@@ -100,3 +100,15 @@ def test_no_days_and_days_without_events(raw, spark, tmp_path):
     tables.ingest(raw(event("a", "2020-11-01T10:00", "page_view")), [FIRST])
     assert tables.ingest(raw(event("a", "2020-11-01T10:00", "page_view")), [date(2020, 11, 9)]) == []
     assert tables.read("sessions").agg(F.count("*")).first()[0] == 1
+
+
+def test_an_instalment_writes_its_parts_aside_once(raw, spark, tmp_path, monkeypatch):
+    aside, staged = [], DailyTables._staged
+    monkeypatch.setattr(DailyTables, "_staged", lambda self, name, rows: aside.append(name) or staged(self, name, rows))
+    tables = DailyTables(spark, str(tmp_path), CFG)
+    days = [date(2020, 11, 1)]
+    events = raw(event("u", "2020-11-01T10:00", "purchase", transaction_id="a", revenue=1.0))
+    assert tables.ingest(events, days) == days
+    assert tables.ingest(events, days) == []  # the same again: no session differs
+    for name in ("events_clean", "event_profile", "session_parts", "touch_parts", "order_parts"):
+        assert aside.count(name) == 2
