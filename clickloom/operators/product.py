@@ -60,17 +60,15 @@ def _items(events: DataFrame, keys: list[str], fields: dict[str, str], cfg: Anal
     )
 
 
-SHOWN = ["event_date", "item_name", "user_pseudo_id", "quarter_hour"]
 VISIT = ["user_pseudo_id", "event_date", "quarter_hour"]
 
 
 def _shown(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
     """Distinct impressions, partitioned by user, date and quarter of an hour.
 
-    Events are shuffled, not the names in them: both the distinct and a count by
-    product as well then need no further shuffle, and a user who is shown products
-    all day is spread over a hundred partitions.  A name repeated inside an event is
-    dropped before.
+    Events are shuffled, not the names in them: the distinct then needs no further
+    shuffle, and a user who is shown products all day is spread over a hundred
+    partitions.  A name repeated inside an event is dropped before.
     """
     usable = F.filter("items.item_name", lambda n: _usable(n, cfg))
     names = F.array_distinct(F.transform(usable, _unescaped))
@@ -142,7 +140,7 @@ def item_activity(raw: DataFrame, aliases: DataFrame, cfg: AnalyticsConfig) -> D
     """
     keys = ["event_date", "item_name", "user_pseudo_id"]
     one = F.lit(1).cast("bigint")
-    shown = _shown(raw, aliases, cfg).groupBy(*SHOWN).agg(F.count(F.lit(1)).alias("impressions"))
+    shown = _shown(raw, aliases, cfg).select(*keys, one.alias("impressions"))
     added = item_cart_adds(raw, aliases, cfg).select(*keys, one.alias("cart_adds"))
     bought = item_purchases(raw, aliases, cfg).select(
         *keys,
