@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,28 +14,24 @@ from pyspark.sql import types as T
 
 from clickloom.llm.common import as_text
 from clickloom.llm.numpy_bpe import loaded
-from clickloom.llm.units import UnitCache, batches, split_units
+from clickloom.llm.units import Flat, batches
 
-
-def _ids(texts: list[str], path: str) -> Iterator[list[int]]:
-    bpe, cache = loaded(path)
-    for start, end in batches(texts):
-        units = [split_units(t) for t in texts[start:end]]
-        cache.add(units)
-        for u in units:
-            yield list(chain.from_iterable(cache.values(u)))
+#: Characters of the texts that are encoded together.
+BATCH = 1 << 19
 
 
-@lru_cache(maxsize=2)
-def _told(path: str) -> UnitCache:
-    """For each unit: the number of its ids, the ids in decimal, and the bytes that they decode to."""
-    bpe, _ = loaded(path)
+def _ids(texts: list[str], path: str) -> Iterator[list[int]]:
+    _, table = loaded(path)
+    for start, end in batches(texts, BATCH):
+        ids = table(texts[start:end])
+        for low, n in zip(ids.starts.tolist(), ids.counts.tolist(), strict=True):
+            yield ids.values[low : low + n].tolist()
 
-    def told(units: list[str]) -> list[tuple[int, bytes, bytes]]:
-        ids = bpe.encode_units(units)
-        return [(len(i), ",".join([bpe.decimal[k] for k in i]).encode(), bpe.decode(i).encode()) for i in ids]
 
-    return UnitCache(told)
+def _spans(parts: Flat, ids: Flat) -> tuple[memoryview, list[tuple[int, int]]]:
+    """What the ids of all texts stand for, and from where to where that of each text goes."""
+    edges = np.r_[0, np.cumsum(parts.counts)][np.r_[0, np.cumsum(ids.counts)]].tolist()
+    return memoryview(parts.values), list(pairwise(edges))
 
 
 def encoded(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -69,18 +65,17 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     kind = df.schema[key].dataType
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _told(path)
+        bpe, table = loaded(path)
         for frame in frames:
             texts, rows = frame["_text"].fillna("").tolist(), []
-            for start, end in batches(texts):
-                units = [split_units(t) for t in texts[start:end]]
-                cache.add(units)
-                for u in units:
-                    told = cache.values(u)
-                    joined = b",".join([d for _, d, _ in told if d])
-                    back = b"".join([t for _, _, t in told])
-                    n = sum([k for k, _, _ in told])
-                    rows.append((n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest()))
+            for start, end in batches(texts, BATCH):
+                ids = table(texts[start:end])
+                decimal, told = _spans(bpe.decimals.take(ids.values), ids)
+                spelled, back = _spans(bpe.spelled.take(ids.values), ids)
+                for n, (i, j), (k, m) in zip(ids.counts.tolist(), told, back, strict=True):
+                    listed = hashlib.sha256(decimal[i : max(i, j - 1)])  # without the last comma
+                    text = str(spelled[k:m], "utf-8", "replace").encode()
+                    rows.append((n, listed.hexdigest(), hashlib.sha256(text).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "_key", frame["_key"].to_numpy())
             yield out

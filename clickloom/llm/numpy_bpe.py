@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import regex
 
-from clickloom.llm.units import UnitCache
+from clickloom.llm.units import Flat, UnitTable
 
 #: The word pattern of byte-level BPE vocabularies of this kind.
 WORDS = regex.compile(
@@ -52,13 +54,14 @@ class ByteBpe:
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]  # sorted; the rank is the place in the file
         self.made = np.array([vocab[x + y] for x, y in merges], np.int64)
-        self.decimal = [str(i) for i in range(size)]
+        self.decimals = Flat.of([b"%d," % i for i in range(size)])
+        self.spelled = Flat.of(self.bytes_of)
         found = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.special_split = regex.compile(f"({found})") if found else None
 
     def words(self, unit: str) -> list[str]:
         """Words of a unit; special strings stay whole."""
-        if self.special_split is None or not any(s in unit for s in self.special):
+        if self.special_split is None or not self.special_split.search(unit):
             return WORDS.findall(unit)
         out: list[str] = []
         for part in self.special_split.split(unit):
@@ -109,21 +112,22 @@ class ByteBpe:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.bincount(owner, minlength=len(words))
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit."""
+    def encode_units(self, units: list[str]) -> Flat:
+        """Ids of each unit, from those of its distinct words."""
         split = [self.words(u) for u in units]
-        number: dict[str, int] = {}
-        for ws in split:
-            for w in ws:
-                if w not in self.special:
-                    number.setdefault(w, len(number))
-        flat, counts = self.merge([w.encode() for w in number])
-        flat_ids, ends = flat.tolist(), np.cumsum(counts).tolist()
-        starts = [0, *ends[:-1]] if ends else []
-        ids_of = {w: flat_ids[starts[i] : ends[i]] for w, i in number.items()} | {
-            s: [i] for s, i in self.special.items()
-        }
-        return [[i for w in ws for i in ids_of[w]] for ws in split]
+        number: dict[str, int] = defaultdict(count().__next__)
+        rows = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64)
+        words = Flat(rows, np.array([len(ws) for ws in split], np.int64))
+        plain = [w not in self.special for w in number]
+        flat, counts = self.merge([w.encode() if p else b"" for w, p in zip(number, plain, strict=True)])
+        special = [i for i, p in enumerate(plain) if not p]
+        if special:
+            names = list(number)
+            flat = np.insert(flat, (np.cumsum(counts) - counts)[special], [self.special[names[i]] for i in special])
+            counts[special] = 1
+        ids = Flat(flat.astype(np.uint32), counts).take(words.values)
+        ends = np.r_[0, np.cumsum(ids.counts)][np.r_[0, np.cumsum(words.counts)]]
+        return Flat(ids.values, np.diff(ends))
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, special ones included."""
@@ -131,7 +135,7 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def loaded(path: str) -> tuple[ByteBpe, UnitCache]:
-    """One vocabulary and cache for each Python worker."""
+def loaded(path: str) -> tuple[ByteBpe, UnitTable]:
+    """One vocabulary and table of units for each Python worker."""
     bpe = ByteBpe(path)
-    return bpe, UnitCache(bpe.encode_units)
+    return bpe, UnitTable(bpe.encode_units)

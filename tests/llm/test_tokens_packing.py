@@ -13,7 +13,7 @@ import pytest
 
 from clickloom.llm import bpe, packing, sharding, tokens
 from clickloom.llm.numpy_bpe import loaded
-from clickloom.llm.units import UnitCache, split_units
+from clickloom.llm.units import Flat, UnitCache, UnitTable, split_lines, split_units
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 PARTS = [
@@ -51,6 +51,48 @@ def test_units_encoded_together_match_units_alone():
     assert [b"".join(cache.values(u)) for u in units] == want
 
 
+def lined_texts(n: int = 800) -> list[str]:
+    """Texts without white space in a row, whose lines end between other characters; some begin with a line's end."""
+    rng, parts = random.Random(11), [p for p in PARTS if not p.isspace()]
+    return [
+        rng.choice(["", "\n"]) + "".join(rng.choice(parts).strip() + rng.choice(["", " ", "\n", "\n"]) for _ in range(rng.randint(0, 40))) + "."
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("encode", [loaded(BYTE)[0].encode_units])
+@pytest.mark.parametrize("size", [5, 60, 100_000])
+def test_tables_of_units_match_the_library(encode, size):
+    texts, table = [*odd_texts(), *lined_texts(), "", "\n", " "], UnitTable(encode, size)
+    want = [e.ids for e in tokens.library(BYTE).encode_batch(texts, add_special_tokens=False)]
+    assert any(u[:1] == "\n" for t in texts for u in split_lines(t)[1:])
+    for i in range(0, len(texts), 50):
+        ids = table(texts[i : i + 50])
+        got = [ids.values[low : low + n].tolist() for low, n in zip(ids.starts, ids.counts, strict=True)]
+        assert got == want[i : i + 50]
+        assert len(table.rows) == len(table.ids.counts) == len(table.used) <= size
+    assert table([]).counts.size == 0
+
+
+def test_units_in_use_are_encoded_once():
+    """A full table lets go of the units not used for longest, not of all."""
+    table = UnitTable(loaded(BYTE)[1].encode, 40)
+    assert type(table) is type(loaded(BYTE)[1])
+    seen, encode = [], table.encode
+    table.encode = lambda units: seen.extend(units) or encode(units)
+    for i in range(60):
+        table([f"x the often used {i}a {i}b {i}c\nlines"])
+    assert all(seen.count(u) == 1 for u in ["x", " the", " often", " used", "\nlines"]) and len(seen) == 5 + 3 * 60
+
+
+def test_units_without_ids_are_forgotten():
+    table = UnitTable(lambda units: 1 // 0)
+    with pytest.raises(ZeroDivisionError):
+        table(["a b"])
+    table.encode = lambda units: Flat.of([b"\1\0\0\0"] * len(units), "<u4")
+    assert table(["a b", "c"]).counts.tolist() == [2, 1]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 @pytest.mark.parametrize("chunk,overlap", [(1 << 15, 256), (40, 12), (20, 4), (9, 2), (7, 3)])
 def test_spliced_chunks_count_like_whole_texts(chunk, overlap, path):
