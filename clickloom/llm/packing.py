@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -17,22 +19,32 @@ from pyspark.sql import types as T
 
 from clickloom.llm.common import as_text, ranked, stored
 from clickloom.llm.tokens import library
-from clickloom.llm.units import UnitCache, batches, split_units
+from clickloom.llm.units import Flat, UnitTable, batches
+
+
+LINE = re.compile(r"\n[^\s\x1c-\x1f]+")
 
 
 class UnitIds:
     """Ids (32-bit, as bytes) of units, encoded many at a time.
 
-    Plain units, a space and then no other, are joined to one text: each begins with the only token in it
-    whose first byte is a space, so the ids are cut there.  All others are encoded alone.
+    Units of a space and then no other are joined to one text: each begins with the only token in it whose first byte
+    is a space, so the ids are cut there.  So are units of a line's end and then no white space.  All others are
+    encoded alone.
     """
 
     def __init__(self, path: str, together: int = 500):
         self.tokenizer = library(path)
         self.together = together
-        spaced = [i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.begins[spaced] = True
+        self.begins = np.zeros((2, self.tokenizer.get_vocab_size()), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[:, i] = token.startswith("\u0120"), token.startswith("\u010a")
+
+    def kind(self, unit: str) -> int:
+        """Which units it is joined with: 0 those of a space, 1 of a line's end, 2 none."""
+        if "<|" in unit:
+            return 2
+        return 0 if not unit.rfind(" ") else 1 if LINE.fullmatch(unit) else 2
 
     def some(self, texts: list[str], at_once: int = 16) -> Iterator[bytes]:
         """Ids of each text; the library's encodings, far larger than ids, are held of a few texts at once."""
@@ -43,32 +55,40 @@ class UnitIds:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, units: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(units)
-        plain, other = [], []
-        for i, u in enumerate(units):
-            (plain if u[:1] == " " and " " not in u[1:] and "<|" not in u else other).append(i)
-        groups = [plain[i : i + self.together] for i in range(0, len(plain), self.together)]
-        for group, ids in zip(groups, self.some(["".join(units[i] for i in g) for g in groups]), strict=True):
-            cuts = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")]) * 4
-            for i, lo, hi in zip(group, cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True):
-                out[i] = ids[lo:hi]
-        for i, ids in zip(other, self.ids([units[i] for i in other]), strict=True):
-            out[i] = ids
-        return out
+        flat = self.flat(units)
+        ids, ends = flat.values.tobytes(), (4 * np.cumsum(flat.counts)).tolist()
+        return [ids[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+    def flat(self, units: list[str]) -> Flat:
+        kind = np.fromiter(map(self.kind, units), np.int8, len(units))
+        found = Flat.of(self.ids(list(compress(units, kind == 2))), "<u4")
+        for k in (1, 0):
+            some = list(compress(units, kind == k))
+            groups = ["".join(some[i : i + self.together]) for i in range(0, len(some), self.together)]
+            ids = np.frombuffer(b"".join(self.some(groups)), "<u4")
+            found = Flat(ids, np.diff(np.flatnonzero(self.begins[k, ids]), append=len(ids))).followed_by(found)
+        return found.take(np.argsort(np.argsort(kind, kind="stable")))
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> UnitCache:
-    return UnitCache(UnitIds(path))
+def _loaded(path: str, size: int = 600_000) -> UnitTable:
+    return UnitTable(UnitIds(path).flat, size)
 
 
 def pieces(
-    df: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = False
+    df: DataFrame,
+    path: str,
+    capacity: int,
+    end_id: int,
+    key: str = "doc_id",
+    text: str = "text",
+    with_ids: bool = False,
+    units: int = 600_000,
 ) -> DataFrame:
     """Cut each document's ids (its text's, then ``end_id``) into pieces of at most ``capacity``.
 
     Only longer documents are cut; all their pieces but the first are full.  Returns (key, piece, start, length,
-    ids_crc32), and the ids themselves if asked for.
+    ids_crc32), and the ids themselves if asked for.  Each Python worker keeps the ids of up to ``units`` units.
     """
     fields = [
         T.StructField("_key", T.StringType()),
@@ -82,23 +102,24 @@ def pieces(
     names = [f.name for f in fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _loaded(path)
-        end = array("I", [end_id]).tobytes()
+        table = _loaded(path, units)
         for frame in frames:
             pa.default_memory_pool().release_unused()  # what earlier steps left with this worker
             keys, texts, rows = frame["_key"].tolist(), frame["_text"].fillna("").tolist(), []
             for first, last in batches(texts, 1 << 19):
-                units = [split_units(t) for t in texts[first:last]]
-                cache.add(units)
-                for k, u in zip(keys[first:last], units, strict=True):
-                    ids = memoryview(b"".join(cache.values(u)) + end)
-                    n = len(ids) // 4
+                found = table(texts[first:last])
+                ends = np.cumsum(found.counts)
+                ids = np.insert(found.values, ends, end_id)
+                view = memoryview(ids).cast("B")
+                stops = (ends + np.arange(1, len(ends) + 1)).tolist()
+                for k, low, high in zip(keys[first:last], [0, *stops], stops, strict=False):
+                    n = high - low
                     start, stop, piece = 0, n % capacity or capacity, 0
                     stop = min(stop, n)
                     while start < n:
-                        part = ids[4 * start : 4 * stop]
-                        row = (k, piece, start, stop - start, zlib.crc32(part))
-                        rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
+                        crc = zlib.crc32(view[4 * (low + start) : 4 * (low + stop)])
+                        row = (k, piece, start, stop - start, crc)
+                        rows.append((*row, ids[low + start : low + stop].astype(np.int32)) if with_ids else row)
                         start, stop, piece = stop, stop + capacity, piece + 1
             yield pd.DataFrame(rows, columns=names)
 
@@ -218,11 +239,13 @@ def pack(
     key: str = "doc_id",
     text: str = "text",
     with_ids: bool = False,
+    units: int = 600_000,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns, a row for each piece: (key, piece, start, length, ids_crc32, sequence_id, offset), and ids if asked
     for.  Null and empty texts are the end token alone.  Repeated rows and null keys are packed like others; which
-    of equal rows comes first does not matter.  An empty table gives an empty result.
+    of equal rows comes first does not matter.  An empty table gives an empty result.  More ``units`` (see ``pieces``)
+    take more memory, and fewer more time.
     """
-    return packed(pieces(df, path, capacity, end_id, key, text, with_ids), capacity, key)
+    return packed(pieces(df, path, capacity, end_id, key, text, with_ids, units), capacity, key)

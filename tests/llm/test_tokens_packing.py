@@ -60,7 +60,7 @@ def lined_texts(n: int = 800) -> list[str]:
     ]
 
 
-@pytest.mark.parametrize("encode", [loaded(BYTE)[0].encode_units])
+@pytest.mark.parametrize("encode", [packing.UnitIds(BYTE, together=7).flat, loaded(BYTE)[0].encode_units])
 @pytest.mark.parametrize("size", [5, 60, 100_000])
 def test_tables_of_units_match_the_library(encode, size):
     texts, table = [*odd_texts(), *lined_texts(), "", "\n", " "], UnitTable(encode, size)
@@ -74,10 +74,11 @@ def test_tables_of_units_match_the_library(encode, size):
     assert table([]).counts.size == 0
 
 
-def test_units_in_use_are_encoded_once():
+@pytest.mark.parametrize("owner", ["op3", "op9"])
+def test_units_in_use_are_encoded_once(owner):
     """A full table lets go of the units not used for longest, not of all."""
-    table = UnitTable(loaded(BYTE)[1].encode, 40)
-    assert type(table) is type(loaded(BYTE)[1])
+    table = UnitTable((packing._loaded if owner == "op3" else lambda p: loaded(p)[1])(BYTE).encode, 40)
+    assert type(table) is type(packing._loaded(BYTE)) is type(loaded(BYTE)[1])
     seen, encode = [], table.encode
     table.encode = lambda units: seen.extend(units) or encode(units)
     for i in range(60):
