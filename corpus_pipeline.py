@@ -53,7 +53,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents, cut and packed into sequences of 2048 tokens."""
     # Executors hold the memory of the steps before, so fewer units are kept than by default.
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, 0, units=300_000)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, 0, units=100_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
